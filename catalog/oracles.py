@@ -521,3 +521,5 @@ ORACLES["q_posts_range"] = f"""WITH feeds AS (
 p AS (SELECT feed, ativo, CAST(make_timestamp(t * 1000000) AS DATE) AS data, seq, trim(title, {TRIM}) AS texto FROM feeds)
 SELECT feed, ativo, data, seq, length(texto) AS n_chars FROM p
 WHERE texto <> '' AND data BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'"""
+
+ORACLES["q_stream_bars"] = ORACLES["q_hour_bars"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +31,16 @@ from pricetide.operators.series import (
     span_alpha,
     tail_rows,
 )
+from pricetide.operators.online import ONE_MINUTE_LOOP, THIRTY_MINUTE_LOOP
 from pricetide.plans import daily as D
+from pricetide.plans import forecast as L
 from pricetide.plans.features import FEATURES, ONE_MINUTE, THIRTY_MINUTES, feature_matrix
 from pricetide.sources import readers as R
+from pricetide.session import scratch_path
 from pricetide.sources import tables as W
+from pricetide.sources.readers import read_table
+from pricetide.streaming.ingest import start, stream_bars, tick_stream, upsert_sink, without_duplicates
+from pricetide.streaming.online import forecast_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -638,3 +645,70 @@ def q_posts_range(spark, sf_dir):
     posts = R.read_posts([docs, talk])
     kept = posts.where(F.col("data").between("2024-01-05", "2024-01-09"))
     return kept.select("feed", "ativo", "data", "seq", F.length("texto_original").cast("bigint").alias("n_chars"))
+
+
+# ---- learning and streaming -------------------------------------------------------------------
+
+
+@query
+def q_walkforward(spark, sf_dir):
+    """Errors of the 36 walk-forward runs of each symbol on its newest 12000 rows."""
+    features = feature_matrix(V.ticks(spark, sf_dir), ONE_MINUTE, TICK_LAYOUT, limit=12000)
+    return _r(L.walk_forward(features), 9, "mae")
+
+
+@query
+def q_grid_winner(spark, sf_dir):
+    winner = L.calibrate(V.ticks(spark, sf_dir), TICK_LAYOUT)
+    return _r(winner, 9, "mae")
+
+
+@query
+def q_light_calibration(spark, sf_dir):
+    winner = L.calibrate(V.ticks(spark, sf_dir), TICK_LAYOUT, light=True)
+    return _r(winner, 9, "mae")
+
+
+@query
+def q_online_forecast(spark, sf_dir):
+    return L.replay(V.ticks(spark, sf_dir), ONE_MINUTE_LOOP, ONE_MINUTE, TICK_LAYOUT)
+
+
+@query
+def q_online_forecast_h30(spark, sf_dir):
+    return L.replay(V.ticks(spark, sf_dir), THIRTY_MINUTE_LOOP, THIRTY_MINUTES, TICK_LAYOUT)
+
+
+def _event_stream(spark, sf_dir):
+    schema = V.table(spark, sf_dir, "events").schema
+    stream = tick_stream(spark, sf_dir, schema, "events.parquet")
+    return stream.select(
+        F.col("event_type").alias("symbol"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_id").alias("seq"),
+        (F.lit(100.0) + F.col("value") / 100.0).alias("price"),
+        F.get_json_object("props", "$.k").try_cast("double").alias("volume"),
+    )
+
+
+@query
+def q_stream_bars(spark, sf_dir):
+    """Hour bars built by a stream and upserted batch by batch, read back as the newest per key."""
+    out, state = scratch_path(spark, "bars"), scratch_path(spark, "bars-state")
+    bars_stream = stream_bars(_event_stream(spark, sf_dir), "1 hour")
+    start(bars_stream, upsert_sink(out, ["symbol", "minute"]), state, mode="update", every=None).awaitTermination()
+    log = read_table(spark, out)
+    return W.latest(log, ["symbol", "minute"]).drop(W.VERSION)
+
+
+@query
+def q_stream_forecast(spark, sf_dir):
+    """Forecasts of the stateful stream over minute bars of the tick stream."""
+    loop = replace(ONE_MINUTE_LOOP, min_history=100)
+    ticks = without_duplicates(_event_stream(spark, sf_dir))
+    minute = stream_bars(ticks, "1 minute", watermark=None)
+    minute = minute.withColumns({"open": F.col("price"), "return_pct": F.lit(0.0)})
+    out, state = scratch_path(spark, "forecasts"), scratch_path(spark, "forecasts-state")
+    sink = upsert_sink(out, ["symbol", "target"])
+    start(forecast_stream(minute, loop, ONE_MINUTE), sink, state, every=None).awaitTermination()
+    return W.latest(read_table(spark, out), ["symbol", "target"]).drop(W.VERSION)
