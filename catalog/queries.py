@@ -676,7 +676,8 @@ def q_online_forecast(spark, sf_dir):
 
 @query
 def q_online_forecast_h30(spark, sf_dir):
-    return L.replay(V.ticks(spark, sf_dir), THIRTY_MINUTE_LOOP, THIRTY_MINUTES, TICK_LAYOUT)
+    loop = replace(THIRTY_MINUTE_LOOP, min_history=1000)
+    return L.replay(V.ticks(spark, sf_dir), loop, THIRTY_MINUTES, TICK_LAYOUT)
 
 
 def _event_stream(spark, sf_dir):

@@ -74,8 +74,13 @@ MEMBER_RULES: dict[str, Callable[..., Update]] = {
 }
 
 
+def finite(x) -> np.ndarray:
+    """Inputs as numbers: missing and infinite values become 0."""
+    return np.nan_to_num(np.asarray(x, dtype=float), nan=0.0, posinf=0.0, neginf=0.0)
+
+
 class Learner:
-    """One member with its scaler."""
+    """One member with its scaler. Inputs must be ``finite``."""
 
     def __init__(self, name: str, settings: Mapping[str, float], size: int):
         self.rule = MEMBER_RULES[name](**settings)
@@ -85,27 +90,28 @@ class Learner:
         self.mean = np.zeros(size)
         self.spread = np.zeros(size)
 
-    @staticmethod
-    def _finite(x) -> np.ndarray:
-        return np.nan_to_num(np.asarray(x, dtype=float), nan=0.0, posinf=0.0, neginf=0.0)
-
     def _observe(self, block: np.ndarray) -> None:
         n = len(block)
         mean = block.mean(axis=0)
-        spread = ((block - mean) ** 2).sum(axis=0)
         gap = mean - self.mean
         total = self.seen + n
-        self.spread += spread + gap * gap * (self.seen * n / total)
+        self.spread += ((block - mean) ** 2).sum(axis=0) + gap * gap * (self.seen * n / total)
         self.mean = self.mean + gap * (n / total)
         self.seen = total
 
+    def _observe_one(self, x: np.ndarray) -> None:
+        self.seen += 1.0
+        gap = x - self.mean
+        self.mean = self.mean + gap / self.seen
+        self.spread += gap * (x - self.mean)
+
     def _scaled(self, x: np.ndarray) -> np.ndarray:
-        deviation = np.sqrt(self.spread / self.seen) if self.seen else np.ones_like(self.mean)
-        return (x - self.mean) / np.where(deviation > 0.0, deviation, 1.0)
+        deviation = np.sqrt(self.spread / max(self.seen, 1.0))
+        deviation[deviation == 0.0] = 1.0
+        return (x - self.mean) / deviation
 
-    def fit(self, block, targets) -> None:
+    def fit(self, block: np.ndarray, targets: np.ndarray) -> None:
         """Learn a block: the scaler sees all of it, then the rule its rows in time order."""
-        block = self._finite(block)
         if not len(block):
             return
         self._observe(block)
@@ -113,11 +119,13 @@ class Learner:
             self.w = self.rule(self.w, self.steps, x, float(y))
             self.steps += 1
 
-    def update(self, x, y: float) -> None:
-        self.fit(np.atleast_2d(x), [y])
+    def update(self, x: np.ndarray, y: float) -> None:
+        self._observe_one(x)
+        self.w = self.rule(self.w, self.steps, self._scaled(x), y)
+        self.steps += 1
 
-    def predict(self, x) -> float:
-        return float(self.w[:-1] @ self._scaled(self._finite(x)) + self.w[-1])
+    def predict(self, x: np.ndarray) -> float:
+        return float(self.w[:-1] @ self._scaled(x) + self.w[-1])
 
     def dump(self) -> list:
         return [self.steps, self.seen, self.w.tolist(), self.mean.tolist(), self.spread.tolist()]

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from pricetide.operators.learners import DEFAULTS, Learner
+from pricetide.operators.learners import DEFAULTS, Learner, finite
 
 MINUTE = 60
 
@@ -59,9 +59,9 @@ class ForecastLoop:
         self.spec = spec
         self.members = {m: Learner(m, s, size) for m, s in settings.items()}
         self.error = {m: spec.seed_error for m in self.members}
-        self.waiting: dict[int, tuple[float, list[float]]] = {}
+        self.waiting: dict[int, tuple[float, np.ndarray]] = {}
         self.open: dict[int, dict[str, float]] = {}
-        self.last: tuple[float, list[float]] | None = None
+        self.last: tuple[float, np.ndarray] | None = None
         self.last_minute = -1
         self.rows = 0
 
@@ -73,7 +73,7 @@ class ForecastLoop:
     def _clipped(self, r: float) -> float:
         return min(max(r, -self.spec.ret_clip), self.spec.ret_clip)
 
-    def _learn(self, old: tuple[float, list[float]] | None, price: float) -> bool:
+    def _learn(self, old: tuple[float, np.ndarray] | None, price: float) -> bool:
         if old is None or not old[0]:
             return False
         label = self._clipped(price / old[0] - 1.0)
@@ -95,7 +95,7 @@ class ForecastLoop:
         """Fit the first rows of a history at once; ``labels`` may hold NaN where there is none."""
         known = ~np.isnan(np.asarray(labels, dtype=float))
         for member in self.members.values():
-            member.fit(x[known], np.asarray(labels, dtype=float)[known])
+            member.fit(finite(x)[known], np.asarray(labels, dtype=float)[known])
         self.rows += len(x)
 
     def step(self, minute: int, price: float, x: Sequence[float]) -> dict | None:
@@ -104,7 +104,7 @@ class ForecastLoop:
         if minute <= self.last_minute:
             return None
         horizon = spec.horizon_min * spec.bar_seconds
-        x = list(x)
+        x = finite(x)
         before = self.last
         if spec.label_by_time:
             learned = self._learn(self.waiting.pop(minute - horizon, None), price)
@@ -148,9 +148,9 @@ class ForecastLoop:
         return {
             "members": {m: member.dump() for m, member in self.members.items()},
             "error": self.error,
-            "waiting": [[m, p, x] for m, (p, x) in self.waiting.items()],
+            "waiting": [[m, p, x.tolist()] for m, (p, x) in self.waiting.items()],
             "open": [[m, v] for m, v in self.open.items()],
-            "last": list(self.last) if self.last else None,
+            "last": [self.last[0], self.last[1].tolist()] if self.last else None,
             "last_minute": self.last_minute,
             "rows": self.rows,
         }
@@ -159,8 +159,9 @@ class ForecastLoop:
         for m, member in self.members.items():
             member.load(state["members"][m])
         self.error = dict(state["error"])
-        self.waiting = {m: (p, x) for m, p, x in state["waiting"]}
+        self.waiting = {m: (p, np.asarray(x)) for m, p, x in state["waiting"]}
         self.open = {m: v for m, v in state["open"]}
-        self.last = tuple(state["last"]) if state["last"] else None
+        last = state["last"]
+        self.last = (last[0], np.asarray(last[1])) if last else None
         self.last_minute, self.rows = state["last_minute"], state["rows"]
         return self

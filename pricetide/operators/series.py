@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -44,23 +45,37 @@ class Layout:
 
     def rows(self) -> WindowSpec:
         """All rows of a run in series order."""
-        return Window.partitionBy(self.key, "chunk").orderBy("sub", "gi")
+        return self._rows
 
     def upto(self) -> WindowSpec:
-        return self.rows().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return self._upto
 
     def last(self, n: int) -> WindowSpec:
-        return self.rows().rowsBetween(-(n - 1), Window.currentRow)
+        return self._rows.rowsBetween(-(n - 1), Window.currentRow)
 
     def in_sub(self) -> WindowSpec:
-        return (
-            Window.partitionBy(self.key, "chunk", "sub")
-            .orderBy("gi")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
+        return self._in_sub
 
     def sub_before(self, n: int) -> WindowSpec:
-        return Window.partitionBy(self.key, "chunk").orderBy("sub").rangeBetween(-n, -n)
+        return self._subs.rangeBetween(-n, -n)
+
+    # Built once per layout: every spec costs several calls into the JVM.
+    @cached_property
+    def _rows(self) -> WindowSpec:
+        return Window.partitionBy(self.key, "chunk").orderBy("sub", "gi")
+
+    @cached_property
+    def _upto(self) -> WindowSpec:
+        return self._rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    @cached_property
+    def _in_sub(self) -> WindowSpec:
+        whole = Window.partitionBy(self.key, "chunk", "sub").orderBy("gi")
+        return whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    @cached_property
+    def _subs(self) -> WindowSpec:
+        return Window.partitionBy(self.key, "chunk").orderBy("sub")
 
 
 def _cell(layout: Layout) -> Column:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.operators.learners import DEFAULTS, Learner
+from pricetide.operators.learners import DEFAULTS, Learner, finite
 from pricetide.operators.online import ForecastLoop, LoopSpec
 from pricetide.operators.series import Layout
 from pricetide.plans.features import FEATURES, ONE_MINUTE, FeatureSpec, feature_matrix
@@ -131,7 +131,7 @@ def walk_forward(
         pdf = pdf.sort_values("gi")
         if max_rows is not None:
             pdf = pdf.tail(max_rows)
-        x, y = pdf[names].to_numpy(float), pdf[target].to_numpy(float)
+        x, y = finite(pdf[names]), pdf[target].to_numpy(float)
         split, end = folds.bounds(int(fold), len(y))
         learner = Learner(member, settings[int(hp)][member], len(names))
         learner.fit(x[:split], y[:split])

@@ -32,11 +32,14 @@ def get_session(app: str = "pricetide", cores: str = "*", shuffle_partitions: in
 def configure(spark: SparkSession) -> SparkSession:
     """Settings every job relies on.
 
-    UTC times; and generated methods small enough for the JVM to compile: HotSpot leaves methods
-    above 8000 bytes interpreted, which the wide feature projections would otherwise reach.
+    UTC times. Generated methods small enough for the JVM to compile: HotSpot leaves methods above
+    8000 bytes interpreted, which the wide feature projections would otherwise reach. Shuffles of a
+    few megabytes still feed all cores, because windows and Python groups cost far more per byte
+    than a scan; large shuffles are sized by the cluster's own settings.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     return spark
 
 
