@@ -60,7 +60,7 @@ def histogram(df: DataFrame, column: str, bins: int = 50, by: Sequence[str] = ()
     width = F.col("hi") - F.col("lo")
     place = F.floor(F.try_divide(F.col("_x") - F.col("lo"), width) * bins)
     binned = (values.join(edges, list(by)) if by else values.join(F.broadcast(edges))).withColumn(
-        "bin", F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0)).cast("int")
+        "bin", F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).cast("int")
     )
     counts = binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
     every = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
