@@ -13,7 +13,7 @@ from pricetide.functions import scalars as S
 from pricetide.operators.bars import bars
 from pricetide.operators.evaluate import evaluated
 from pricetide.operators.series import Layout, home_rows, series
-from pricetide.session import configure
+from pricetide.session import configure, stage
 from pricetide.sources.readers import read_table
 
 # An hour bar series has at most 1440 rows in such a cell, a daily one 1440 days.
@@ -39,7 +39,8 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks with the day's opening price; one row per (symbol, day) is joined back."""
     base = base_ticks(spark, sf_dir).withColumn("day", F.to_date("ts"))
     opens = base.groupBy("symbol", "day").agg(F.min_by("price", F.struct("ts", "seq")).alias("open"))
-    joined = base.join(opens, ["symbol", "day"]).drop("day")
+    # A left join on the grouping key: Spark leaves it out of passes that do not need the open.
+    joined = base.join(opens, ["symbol", "day"], "left").drop("day")
     return joined.withColumn("return_pct", S.tick_return_pct("price", "open"))
 
 
@@ -142,12 +143,12 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lower-case words of the benchmark texts with a score from their length."""
+    """Lower-case words of the benchmark texts with a score from their length, as a stored table."""
     words = table(spark, sf_dir, "benchmark").select(
         F.explode(F.split(F.lower("text"), "[\\t\\n\\f\\r ]+")).alias("word")
     )
     score = (F.length("word") % 5 - 2) / 2.0
-    return words.where("word != ''").distinct().withColumn("score", score)
+    return stage(words.where("word != ''").distinct().withColumn("score", score), "lexicon")
 
 
 def evaluated_preds(spark: SparkSession, sf_dir: str) -> DataFrame:

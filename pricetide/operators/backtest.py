@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.operators.evaluate import recent
-from pricetide.operators.series import Layout, home_rows, running_product, series
+from pricetide.operators.series import Layout, home_rows, join_runs, running_product, series
 
 LAYOUT = Layout(order=("target",))
 
@@ -68,7 +68,7 @@ def _with_equity(df: DataFrame, cut: Layout) -> DataFrame:
         }
     )
     carried = carried.withColumn("_peak_in", F.max(F.col("_model_in") * F.col("_top")).over(earlier))
-    df = df.join(carried.select(key, "chunk", "_model_in", "_hold_in", "_peak_in"), [key, "chunk"], "left")
+    df = join_runs(df, cut, carried.select(key, "chunk", "_model_in", "_hold_in", "_peak_in"))
     return df.withColumns(
         {
             "eq_model": running_product(cut, model, "_model_in"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.functions import scalars as S
-from pricetide.operators.series import Ema, Layout, ema, halo_rows, home_rows, series, tail_rows
+from pricetide.operators.series import Ema, Layout, ema, halo_rows, home_rows, per_series, series, tail_rows
 from pricetide.schemas import MEMBERS
 
 
@@ -117,7 +117,7 @@ def alerts(
     if window_min is not None:
         newest = rows.groupBy("symbol").agg(F.max("target").alias("_newest"))
         start = F.col("_newest") - F.make_dt_interval(mins=F.lit(window_min))
-        rows = rows.join(newest, "symbol").where(F.col("target") > start)
+        rows = rows.join(per_series(newest, "newest"), "symbol").where(F.col("target") > start)
     figures = rows.groupBy("symbol").agg(mae().alias("mae"), (100.0 * F.avg("acerto_dir")).alias("acc_dir"))
     state = (
         F.when(F.col("mae") > F.col("err_limit"), "error")

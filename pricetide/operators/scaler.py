@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetide.operators.series import Layout
+from pricetide.operators.series import Layout, join_runs
 
 
 def expanding(df: DataFrame, layout: Layout, columns: Sequence[str]) -> DataFrame:
@@ -44,7 +44,7 @@ def expanding(df: DataFrame, layout: Layout, columns: Sequence[str]) -> DataFram
         local[f"_n1_{c}"] = F.count(own[c]).over(layout.upto())
         local[f"_m1_{c}"] = F.avg(own[c]).over(layout.upto())
         local[f"_v1_{c}"] = F.var_pop(own[c]).over(layout.upto())
-    out = df.join(runs, [key, "chunk"], "left").withColumns(local)
+    out = join_runs(df, layout, runs).withColumns(local)
     for c in columns:
         n0, n1 = F.col(f"_n0_{c}"), F.col(f"_n1_{c}")
         here = F.coalesce(F.col(f"_m1_{c}") - F.col(f"_c_{c}"), F.lit(0.0))

@@ -13,16 +13,13 @@ WORD_BREAK = "[\\t\\n\\f\\r ]+"
 def polarity(posts: DataFrame, lexicon: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """Mean score of the lexicon words in each whole text, 0.0 where none occurs.
 
-    ``lexicon`` has one (word, score) row per word; ``keys`` name a post. Words are counted per post
-    before the join, so a frequent word costs one row per post; Spark broadcasts the list while it
-    is below its size threshold and joins by shuffle beyond it.
+    ``lexicon`` has one (word, score) row per word; ``keys`` name a post. While the list is below
+    Spark's broadcast threshold, words are looked up where they are read and only one partial result
+    per post is shuffled; a larger list is joined by shuffle, where Spark splits frequent words.
     """
     words = posts.select(*keys, F.explode_outer(F.split(F.lower(text), WORD_BREAK)).alias("word"))
-    counted = words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("_n"))
-    scored = counted.join(lexicon.select("word", "score"), "word", "left")
-    hits = F.sum(F.when(F.col("score").isNotNull(), F.col("_n")))
-    total = F.sum(F.col("score") * F.col("_n"))
-    return scored.groupBy(*keys).agg(F.coalesce(F.try_divide(total, hits), F.lit(0.0)).alias("sentimento"))
+    scored = words.join(lexicon.select("word", "score"), "word", "left")
+    return scored.groupBy(*keys).agg(F.coalesce(F.avg("score"), F.lit(0.0)).alias("sentimento"))
 
 
 def daily_means(posts: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from pricetide.session import stage
+
 # A term this small relative to the newest one is lost in a double anyway.
 FADE = -math.log(1e-18)
 # exp of this is still far from the largest double.
@@ -143,7 +145,7 @@ def chunk(indexed: DataFrame, layout: Layout, back: int = 0, ahead: int = 0) ->
     back = math.ceil(back / sub_rows) * sub_rows
     rows = max(layout.chunk_rows, back, ahead)
     rows = math.ceil(rows / sub_rows) * sub_rows
-    own = F.floor(F.col("gi") / rows).cast("bigint")
+    own = F.expr(f"gi div {rows}")
     pos = F.col("gi") % rows
     targets = [own]
     if back:
@@ -151,7 +153,7 @@ def chunk(indexed: DataFrame, layout: Layout, back: int = 0, ahead: int = 0) ->
     if ahead:
         targets.append(F.when((pos < ahead) & (own > 0), own - 1))
     out = indexed.withColumn("chunk", F.explode(F.array_compact(F.array(*targets))))
-    out = out.withColumn("sub", F.floor(F.col("gi") / sub_rows).cast("bigint")).withColumn(
+    out = out.withColumn("sub", F.expr(f"gi div {sub_rows}")).withColumn(
         "home", F.col("chunk") == own
     )
     # Runs without a row of their own (copies behind the end of a series) vanish with the home filter.
@@ -233,7 +235,7 @@ def carry_in(df: DataFrame, layout: Layout, totals: Mapping[str, tuple[str, Colu
 
     ``totals`` maps a column name to (kind, expression): ``sum``, ``product``, ``max`` or ``last``
     (last non-NULL). One row per run is aggregated, so the per-symbol window sees rows/chunk_rows
-    rows; the join back finds the data already partitioned by (symbol, chunk).
+    rows.
     """
     key = layout.key
     earlier = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -256,7 +258,25 @@ def carry_in(df: DataFrame, layout: Layout, totals: Mapping[str, tuple[str, Colu
         else:
             raise ValueError(f"unknown kind {kind!r}")
     per_run = df.groupBy(key, "chunk").agg(*aggs).select(key, "chunk", *carries)
-    return df.join(per_run, [key, "chunk"], "left")
+    return join_runs(df, layout, per_run)
+
+
+def join_runs(df: DataFrame, layout: Layout, per_run: DataFrame) -> DataFrame:
+    """Bring one row per run to the run's rows.
+
+    The rows are already partitioned by (symbol, chunk) and keep their order through a hash join, so
+    neither a shuffle nor a sort of them is added; the hashed side has one row per run.
+    """
+    return df.join(per_run.hint("shuffle_hash"), [layout.key, "chunk"], "left")
+
+
+def per_series(stats: DataFrame, name: str) -> DataFrame:
+    """One row per series, written once to the shared folder.
+
+    Spark then knows its size before planning the join with the data: below the broadcast threshold
+    the data is not shuffled at all, above it the join is by shuffle with skewed keys split.
+    """
+    return stage(stats, name)
 
 
 def running_sum(layout: Layout, expr: Column, carry: str) -> Column:
@@ -291,7 +311,7 @@ def tail_rows(df: DataFrame, layout: Layout, n: int) -> DataFrame:
     )
     newest_first = Window.partitionBy(key).orderBy(*[F.desc(c) for c in layout.order])
     return (
-        celled.join(oldest, key)
+        celled.join(per_series(oldest, "oldest"), key)
         .where(F.col("_cell") >= F.col("_oldest"))
         .withColumn("_rn", F.row_number().over(newest_first))
         .where(F.col("_rn") <= n)

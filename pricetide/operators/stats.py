@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.operators.series import Layout, home_rows, series
+from pricetide.operators.series import Layout, home_rows, per_series, series
 from pricetide.sources.readers import numeric_columns
 
 MAX_CORRELATED = 30
@@ -56,9 +56,10 @@ def histogram(df: DataFrame, column: str, bins: int = 50, by: Sequence[str] = ()
     edges = values.groupBy(*by).agg(
         F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count(F.lit(1)).alias("total")
     )
-    edges = edges.where("total > 0")
+    edges = per_series(edges.where("total > 0"), "edges")
     width = F.col("hi") - F.col("lo")
     place = F.floor(F.try_divide(F.col("_x") - F.col("lo"), width) * bins)
+    # Without groups ``edges`` is a single row.
     binned = (values.join(edges, list(by)) if by else values.join(F.broadcast(edges))).withColumn(
         "bin", F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).cast("int")
     )
@@ -127,4 +128,4 @@ def zscore(df: DataFrame, column: str, out: str, key: str = "symbol") -> DataFra
     """
     stats = df.groupBy(key).agg(F.avg(column).alias("_mu"), F.stddev_samp(column).alias("_sd"))
     score = F.when(F.col("_sd") > 0, (F.col(column) - F.col("_mu")) / F.col("_sd")).otherwise(F.lit(0.0))
-    return df.join(stats, key).withColumn(out, score).drop("_mu", "_sd")
+    return df.join(per_series(stats, "zscore"), key).withColumn(out, score).drop("_mu", "_sd")

@@ -21,7 +21,6 @@ from pricetide.operators.online import ForecastLoop, LoopSpec
 from pricetide.operators.series import Layout
 from pricetide.plans.features import FEATURES, ONE_MINUTE, FeatureSpec, feature_matrix
 from pricetide.schemas import HYPERPARAMETERS, MEMBERS
-from pricetide.sources.readers import with_history
 
 FORECAST_SCHEMA = (
     "symbol string, target timestamp, y_hat double, y_hat_ret double, baseline double, mae double, "
@@ -63,11 +62,13 @@ def replay(
     matrix = feature_matrix(ticks, whole, layout, limit=loop.max_rows)
     target = features.target
     unit = F.lit(loop.bar_seconds)
-    rows = with_history(matrix, layout.key, loop.min_history).withColumn(
+    rows = matrix.withColumn(
         "_minute", (F.floor(F.unix_seconds(layout.order[0]) / unit) * unit).cast("bigint")
     )
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < loop.min_history:
+            return forecast_frame(key[0], [])
         pdf = pdf.sort_values("gi")
         x = pdf[list(FEATURES)].to_numpy(float)
         price, minute = pdf["price"].to_numpy(float), pdf["_minute"].to_numpy()
@@ -125,9 +126,12 @@ def walk_forward(
     ]
     settings = [dict(g) for g in grid]
     limit, names, target = spec.target_clip, list(FEATURES), spec.target
+    out_columns = ["symbol", "hp_id", "fold", "pos", "pred", "y"]
 
     def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         symbol, hp, fold, member = group
+        if len(pdf) < min_rows:
+            return pd.DataFrame(columns=out_columns)
         pdf = pdf.sort_values("gi")
         if max_rows is not None:
             pdf = pdf.tail(max_rows)
@@ -142,10 +146,9 @@ def walk_forward(
         scored = len(made) - target_offset
         out = pd.DataFrame({"pos": np.arange(split, split + scored), "pred": made[:scored]})
         out["y"] = y[split + target_offset : end]
-        return out.assign(symbol=symbol, hp_id=hp, fold=fold)[["symbol", "hp_id", "fold", "pos", "pred", "y"]]
+        return out.assign(symbol=symbol, hp_id=hp, fold=fold)[out_columns]
 
-    enough = with_history(features, key, min_rows).select(key, "gi", *names, target)
-    spread = enough.withColumn("_run", F.explode(F.array(*structs))).select(
+    spread = features.select(key, "gi", *names, target).withColumn("_run", F.explode(F.array(*structs))).select(
         key, "gi", *names, target, "_run.hp_id", "_run.fold", "_run.member"
     )
     preds = spread.groupBy(key, "hp_id", "fold", "member").applyInPandas(

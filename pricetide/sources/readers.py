@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricetide.functions import scalars as S
+from pricetide.session import stage
 
 # The spellings accepted for each column.
 COLUMN_NAMES = {
@@ -120,9 +121,12 @@ def between_days(df: DataFrame, ts: str, first, last) -> DataFrame:
 
 
 def with_history(df: DataFrame, key: str, at_least: int) -> DataFrame:
-    """Rows of those series that have at least so many rows."""
+    """Rows of those series that have at least so many rows.
+
+    The list of series is written once, so the join with the data is planned on its real size.
+    """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= at_least)
-    return df.join(counts.select(key), key, "left_semi")
+    return df.join(stage(counts.select(key), "history"), key, "left_semi")
 
 
 def read_posts(feeds: Sequence[DataFrame]) -> DataFrame:
