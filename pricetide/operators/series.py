@@ -35,13 +35,18 @@ CELL_CHOICES = (86400, 3600, 60, 1)
 
 @dataclass(frozen=True)
 class Layout:
-    """How a series is cut: ``chunk_rows`` per task, ``sub_rows`` per closed-form block."""
+    """How a series is cut: ``chunk_rows`` per task, ``sub_rows`` per closed-form block.
+
+    640 rows let an average of span 30 fade out, so one block of copies in front of a run suffices
+    (4 % more rows at the default size). The step over all runs of one symbol sees rows/chunk_rows
+    rows: 20 million for a symbol of 3.3e11 rows, 2.5 million with ``chunk_rows=133120``.
+    """
 
     key: str = "symbol"
     order: tuple[str, ...] = ("ts", "seq")
     cell_seconds: int = 60
-    chunk_rows: int = 16384
-    sub_rows: int = 1024
+    chunk_rows: int = 16640
+    sub_rows: int = 640
     back: int = 0
     ahead: int = 0
 
@@ -126,7 +131,7 @@ def _fade_subs(alpha: float, sub_rows: int) -> int:
     return math.ceil(FADE / (sub_rows * -math.log1p(-alpha)))
 
 
-def sub_rows_for(alphas: Sequence[float], default: int = 1024) -> int:
+def sub_rows_for(alphas: Sequence[float], default: int = 640) -> int:
     """The closed form scales by q**-k, which must not overflow inside one block."""
     limit = default
     for a in alphas:

@@ -23,6 +23,8 @@ def get_session(app: str = "pricetide", cores: str = "*", shuffle_partitions: in
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # A feature plan alone generates more classes than the default cache of 100 holds.
+        .config("spark.sql.codegen.cache.maxEntries", "5000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -35,11 +37,13 @@ def configure(spark: SparkSession) -> SparkSession:
     UTC times. Generated methods small enough for the JVM to compile: HotSpot leaves methods above
     8000 bytes interpreted, which the wide feature projections would otherwise reach. Shuffles of a
     few megabytes still feed all cores, because windows and Python groups cost far more per byte
-    than a scan; large shuffles are sized by the cluster's own settings.
+    than a scan; large shuffles are sized by the cluster's own settings. A run of a series fits the
+    window buffer before it goes to the spilling sorter.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+    spark.conf.set("spark.sql.windowExec.buffer.in.memory.threshold", "20000")
     return spark
 
 
