@@ -166,6 +166,8 @@ SELECT symbol, ts, seq, price, volume, open, {r('return_pct')} AS return_pct,
 ORACLES["q_feed_projection"] = f"""WITH {TICKS}
 SELECT symbol, date_trunc('millisecond', ts)::TIMESTAMP AS ts, price, open, volume,
        {r('return_pct')} AS return_pct FROM ticks"""
+ORACLES["q_minute_keys"] = f"""WITH {BASE}
+SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:00') AS minute_key, count(*) AS n FROM base GROUP BY 1, 2"""
 ORACLES["q_minute_bars"] = f"""WITH {BASE}
 SELECT symbol, date_trunc('minute', ts)::TIMESTAMP AS minute, arg_max(price, row(ts, seq)) AS price,
        sum(volume) AS volume, count(*) AS n FROM base GROUP BY 1, 2"""
@@ -448,6 +450,9 @@ SELECT i.d, symbol, open, high, low, close, volume, {rr(IND, 4)},
        {_FLAG.format(d='i.d', k='halving')}, {_FLAG.format(d='i.d', k='fork')},
        {r('coalesce(m, 0.0)', 4)} AS media_sentimento
 FROM ind i CROSS JOIN st LEFT JOIN sent ON sent.d = i.d WHERE gi >= 33"""
+ORACLES["q_asset_calendar"] = """SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'halving' WHEN '2-HIGH' THEN 'fork'
+       ELSE o_orderpriority END AS evento, count(*) AS n, CAST(min(o_orderdate) AS DATE) AS first_date
+FROM orders GROUP BY 1"""
 ORACLES["q_volume_z"] = f"""WITH {BASE},
 st AS (SELECT symbol, avg(volume) AS mu, stddev_samp(volume) AS sd FROM base GROUP BY symbol)
 SELECT symbol, seq, volume, {r('CASE WHEN sd > 0 THEN (volume - mu) / sd ELSE 0.0 END')} AS volume_norm
@@ -478,6 +483,23 @@ st AS (SELECT symbol, avg(target_pct) AS mu, stddev_pop(target_pct) AS sd, min(t
 g AS (SELECT *, CAST(unnest(range(200)) AS INT) AS i FROM st), x AS (SELECT *, lo + (hi - lo) * i / 199 AS x FROM g)
 SELECT symbol, i, {r('x')} AS x,
        {r('exp(-0.5 * ((x - mu) / sd) * ((x - mu) / sd)) / (sd * sqrt(2 * pi()))')} AS pdf FROM x"""
+STATS = f"""WITH {BASE},
+v AS (SELECT *, lead(price - 101.0::DOUBLE) OVER {W} AS target_pct FROM base),
+t AS (SELECT * FROM v WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-20')"""
+ORACLES["q_stats_bands"] = f"""{STATS},
+s AS (SELECT symbol, avg(price) AS mu, stddev_pop(price) AS sigma FROM t GROUP BY symbol)
+SELECT symbol, {r('mu')} AS mu, {r('sigma')} AS sigma, {r('mu + sigma')} AS upper, {r('mu - sigma')} AS lower FROM s"""
+ORACLES["q_stats_classes"] = f"""{STATS}
+SELECT symbol, 0 AS classe, count(*) FILTER (target_pct <= 0) AS n FROM t GROUP BY symbol
+UNION ALL SELECT symbol, 1, count(*) FILTER (target_pct > 0) FROM t GROUP BY symbol"""
+ORACLES["q_stats_histogram"] = f"""{STATS},
+e AS (SELECT symbol, min(target_pct) AS lo, max(target_pct) AS hi, count(target_pct) AS total FROM t GROUP BY symbol),
+p AS (SELECT symbol, CAST(least(floor((target_pct - lo) / (hi - lo) * 50), 49) AS INT) AS bin, count(*) AS n
+      FROM t JOIN e USING (symbol) GROUP BY 1, 2),
+g AS (SELECT e.*, CAST(unnest(range(50)) AS INT) AS bin FROM e)
+SELECT symbol, bin, {r('lo + bin * ((hi - lo) / 50)')} AS left_edge, coalesce(n, 0) AS n,
+       {r('coalesce(n, 0) / (total * ((hi - lo) / 50))')} AS density
+FROM g LEFT JOIN p USING (symbol, bin)"""
 ORACLES["q_freshness"] = f"""WITH {BASE}, m AS (SELECT symbol, CAST(max(ts) AS DATE) AS last_date FROM base GROUP BY symbol)
 SELECT symbol, last_date, last_date = DATE '2024-01-30' AS is_fresh,
        CAST(DATE '2024-01-31' - last_date AS INT) AS days_behind FROM m"""
@@ -513,6 +535,13 @@ UNION ALL SELECT 'v3', count(*), count(y_hat), 0 FROM preds"""
 ORACLES["q_sentiment_posts"] = f"WITH {SCORED} SELECT seq, ativo, data, {r('sentimento')} AS sentimento FROM scored"
 ORACLES["q_sentiment_daily"] = f"""WITH {SCORED}
 SELECT ativo, data, {r('avg(sentimento)')} AS media_sentimento FROM scored GROUP BY ativo, data"""
+ORACLES["q_upsert_sentiment"] = f"""WITH {SCORED},
+one AS (SELECT s.ativo, s.data, avg(sentimento) AS m FROM scored s JOIN posts p USING (seq)
+        WHERE source < 'src15' GROUP BY s.ativo, s.data),
+two AS (SELECT ativo, data, avg(sentimento) AS m FROM scored WHERE ativo <> 'en' GROUP BY ativo, data)
+SELECT ativo, data, {r('coalesce(two.m, one.m)')} AS media_sentimento,
+       CASE WHEN two.m IS NULL THEN 1 ELSE 2 END AS version
+FROM one FULL JOIN two USING (ativo, data)"""
 ORACLES["q_posts_range"] = f"""WITH feeds AS (
   SELECT 'documents' AS feed, lang AS ativo, '  ' || text || ' ' || chr(10) AS title,
          1704067200 + doc_id * 3600 AS t, doc_id AS seq FROM documents

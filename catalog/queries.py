@@ -34,6 +34,7 @@ from pricetide.operators.series import (
 from pricetide.operators.online import ONE_MINUTE_LOOP, THIRTY_MINUTE_LOOP
 from pricetide.plans import daily as D
 from pricetide.plans import forecast as L
+from pricetide.plans.statistics import statistics
 from pricetide.plans.features import FEATURES, ONE_MINUTE, THIRTY_MINUTES, feature_matrix
 from pricetide.sources import readers as R
 from pricetide.session import scratch_path
@@ -112,6 +113,13 @@ def q_feed_projection(spark, sf_dir):
     return _r(R.project_ticks(feed), 6, "return_pct")
 
 
+@query
+def q_minute_keys(spark, sf_dir):
+    """Ticks per stored time key."""
+    keyed = V.base_ticks(spark, sf_dir).withColumn("minute_key", S.minute_text("ts"))
+    return keyed.groupBy("symbol", "minute_key").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def q_minute_bars(spark, sf_dir):
     return bars(V.base_ticks(spark, sf_dir), "minute")
@@ -477,6 +485,13 @@ def q_daily_features(spark, sf_dir):
     return _r(df, 4, *D.INDICATORS, "volume_norm", "media_sentimento")
 
 
+@query
+def q_asset_calendar(spark, sf_dir):
+    """Calendar rows of one asset, by kind."""
+    rows = V.calendar(spark, sf_dir).where(F.col("ativo") == S.asset_of(F.lit("GOODS/USD")))
+    return rows.groupBy("evento").agg(F.count(F.lit(1)).alias("n"), F.min("data").alias("first_date"))
+
+
 @query
 def q_event_flags(spark, sf_dir):
     days = V.daily(spark, sf_dir).select("d")
@@ -531,6 +546,27 @@ def q_normal_curve(spark, sf_dir):
     return _r(df, 6, "x", "pdf")
 
 
+def _statistics(spark, sf_dir):
+    table = V.base_ticks(spark, sf_dir).select("symbol", F.col("ts").alias("Datetime"), "seq", "price", "volume")
+    table = table.withColumn("return_pct", F.col("price") - 101.0)
+    return statistics(table, TICK_LAYOUT, "2024-01-03", "2024-01-20", ["price", "volume"])
+
+
+@query
+def q_stats_bands(spark, sf_dir):
+    return _r(_statistics(spark, sf_dir)["bands"], 6, "mu", "sigma", "upper", "lower")
+
+
+@query
+def q_stats_classes(spark, sf_dir):
+    return _statistics(spark, sf_dir)["classes"]
+
+
+@query
+def q_stats_histogram(spark, sf_dir):
+    return _r(_statistics(spark, sf_dir)["histogram"], 6, "left_edge", "density")
+
+
 @query
 def q_freshness(spark, sf_dir):
     as_of = F.lit("2024-01-31").cast("date")
@@ -625,6 +661,18 @@ def q_sentiment_daily(spark, sf_dir):
     return _r(P.daily_means(_scored_posts(spark, sf_dir)), 6, "media_sentimento")
 
 
+@query
+def q_upsert_sentiment(spark, sf_dir):
+    """Day means stored for the posts of some sources, then again for all posts: the newer win."""
+    scored = _scored_posts(spark, sf_dir)
+    sources = V.posts(spark, sf_dir).select("seq", "source")
+    early = scored.join(sources, "seq").where("source < 'src15'")
+    first = P.daily_means(early).withColumn(W.VERSION, F.lit(1))
+    second = P.daily_means(scored.where("ativo <> 'en'")).withColumn(W.VERSION, F.lit(2))
+    df = W.latest(first.unionByName(second), ["ativo", "data"])
+    return _r(df, 6, "media_sentimento")
+
+
 @query
 def q_posts_range(spark, sf_dir):
     """Posts of two feeds, cleaned and dated, of the days from 5 to 9 January."""

@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from pricetide.operators.learners import DEFAULTS, Learner, finite
 from pricetide.operators.online import ForecastLoop, LoopSpec
-from pricetide.operators.series import Layout
+from pricetide.operators.series import Layout, per_series
 from pricetide.plans.features import FEATURES, ONE_MINUTE, FeatureSpec, feature_matrix
-from pricetide.schemas import HYPERPARAMETERS, MEMBERS
+from pricetide.schemas import HYPERPARAMETERS, MEMBERS, STATE_JSON
+from pricetide.sources.tables import meta_decoded
 
 FORECAST_SCHEMA = (
     "symbol string, target timestamp, y_hat double, y_hat_ret double, baseline double, mae double, "
@@ -53,10 +54,12 @@ def replay(
     features: FeatureSpec,
     layout: Layout = Layout(),
     settings: Mapping[str, Mapping[str, float]] = DEFAULTS,
+    tuned: DataFrame | None = None,
 ) -> DataFrame:
     """The forecasts the loop would have made over the newest ``max_rows`` rows of every symbol.
 
     The first ``init_rows`` rows are learnt as a block with the labels of the feature matrix.
+    ``tuned`` (see ``tuned_settings``) overrides ``settings`` for the symbols it names.
     """
     whole = FeatureSpec(**{**features.__dict__, "drop_null": False})
     matrix = feature_matrix(ticks, whole, layout, limit=loop.max_rows)
@@ -72,14 +75,20 @@ def replay(
         pdf = pdf.sort_values("gi")
         x = pdf[list(FEATURES)].to_numpy(float)
         price, minute = pdf["price"].to_numpy(float), pdf["_minute"].to_numpy()
-        state = ForecastLoop(loop, len(FEATURES), settings)
+        chosen = json.loads(pdf["_hps"].iloc[0]) if pdf["_hps"].iloc[0] else settings
+        state = ForecastLoop(loop, len(FEATURES), chosen)
         first = min(loop.init_rows, max(len(pdf) - loop.horizon_min - 1, 0))
         if first:
             state.learn_block(minute[:first], price[:first], x[:first], pdf[target].to_numpy(float)[:first])
         made = (state.step(int(minute[i]), float(price[i]), x[i]) for i in range(first, len(pdf)))
         return forecast_frame(key[0], [f for f in made if f is not None])
 
-    needed = rows.select(layout.key, "gi", "_minute", *FEATURES, target)
+    if tuned is not None:
+        hps = tuned.select(layout.key, F.to_json("hps").alias("_hps"))
+        rows = rows.join(per_series(hps, "tuned"), layout.key, "left")
+    else:
+        rows = rows.withColumn("_hps", F.lit(None).cast("string"))
+    needed = rows.select(layout.key, "gi", "_minute", "_hps", *FEATURES, target)
     return needed.groupBy(layout.key).applyInPandas(run, FORECAST_SCHEMA)
 
 
@@ -178,6 +187,13 @@ def published(winner: DataFrame, grid: Sequence[Mapping] = GRID) -> DataFrame:
     )
 
 
+def tuned_settings(meta: DataFrame) -> DataFrame:
+    """The newest published settings as (symbol, hps); values that are no settings are left out."""
+    found = meta_decoded(meta.where(F.col("key").endswith(":v4_state")), STATE_JSON)
+    found = found.select(F.regexp_extract("key", "^(.*):", 1).alias("symbol"), F.col("decoded.hps").alias("hps"))
+    return found.where(F.col("hps.pa").isNotNull())
+
+
 def calibrate(ticks: DataFrame, layout: Layout = Layout(), light: bool = False, max_rows: int = 12000) -> DataFrame:
     """Feature matrix of the newest rows, walk-forward errors, winner per symbol."""
     features = feature_matrix(ticks, ONE_MINUTE, layout, limit=max_rows)

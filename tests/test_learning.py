@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from pricetide.operators.learners import DEFAULTS, MEMBER_RULES, Learner, finite
 from pricetide.operators.online import ONE_MINUTE_LOOP, THIRTY_MINUTE_LOOP, ForecastLoop
+from pricetide.operators.series import Layout
 from pricetide.plans import forecast as L
 from pricetide.plans.features import FEATURES, ONE_MINUTE, THIRTY_MINUTES, feature_matrix
 from pricetide.session import scratch_path
 from pricetide.sources import tables as W
 from pricetide.streaming import ingest
 from pricetide.streaming.incremental import FeatureState
-from pricetide.streaming.online import BAR_COLUMNS, forecast_stream
+from pricetide.streaming.online import BAR_COLUMNS, forecast_stream, initial_states
 
 SHORT = replace(ONE_MINUTE_LOOP, min_history=80, init_rows=0)
 
@@ -233,3 +234,33 @@ def test_stream_forecasts_equal_the_replay(spark):
     assert got.version.nunique() > 1 and len(got) == len(want) == 2 * 81
     for c in L.FORECAST_COLUMNS[2:]:
         assert np.allclose(got[c].to_numpy(float), want[c].to_numpy(float), equal_nan=True, rtol=1e-6), c
+
+
+def test_stream_from_history_goes_on_like_the_whole_history(spark):
+    """State built from the first bars, then the stream of the rest, equals one replay."""
+    pdf = bar_walk(200)
+    loop = replace(SHORT, init_rows=50)
+    old = ticks_frame(spark, pdf.iloc[:120]).withColumnRenamed("ts", "minute")
+    folder = land(spark, pdf.iloc[120:], 2)
+    bars = ingest.tick_stream(spark, folder, ticks_frame(spark, pdf).schema, files_per_batch=1)
+    bars = bars.withColumnRenamed("ts", "minute").select("symbol", "minute", *BAR_COLUMNS)
+    start = initial_states(old, loop, ONE_MINUTE, Layout(order=("minute",)))
+    out, state = scratch_path(spark, "continued"), scratch_path(spark, "state")
+    stream = forecast_stream(bars, loop, ONE_MINUTE, initial=start)
+    ingest.start(stream, ingest.upsert_sink(out, ["symbol", "target"]), state, every=None).awaitTermination()
+    got = spark.read.parquet(out).toPandas().sort_values("target")
+    want = L.replay(ticks_frame(spark, pdf), loop, ONE_MINUTE).toPandas().sort_values("target").tail(80)
+    assert len(got) == 80
+    for c in L.FORECAST_COLUMNS[2:]:
+        assert np.allclose(got[c].to_numpy(float), want[c].to_numpy(float), equal_nan=True, rtol=1e-6), c
+
+
+def test_published_settings_reach_the_replay(spark):
+    frame = ticks_frame(spark, bar_walk(150))
+    winner = spark.createDataFrame([("a", 3, 0.1)], "symbol string, hp_id int, mae double")
+    meta = L.published(winner).unionByName(W.meta_row(spark, "b:v4_state", "no settings"))
+    tuned = L.tuned_settings(meta)
+    assert [(r.symbol, r.hps.pa.C) for r in tuned.collect()] == [("a", 0.75)]
+    a = L.replay(frame, SHORT, ONE_MINUTE, tuned=tuned).toPandas().sort_values("target")
+    b = L.replay(frame, SHORT, ONE_MINUTE, settings=L.GRID[3]).toPandas().sort_values("target")
+    assert np.allclose(a.y_hat, b.y_hat)
