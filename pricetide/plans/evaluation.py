@@ -21,10 +21,13 @@ TICK_KEY = ("symbol", "ts")
 def _stored_days(spark: SparkSession, path: str, schema: T.StructType, day: str, batch: DataFrame) -> DataFrame:
     """The part of a table laid out by day that a batch can collide with.
 
-    The batch's days are written once; the join on them prunes the table's directories.
+    The batch's days are written once. Their first and last prune the table's directories before
+    anything is read, the join leaves out the days between them that the batch does not have.
     """
     days = stage(batch.select(day).distinct(), "days")
-    return read_if_exists(spark, path, schema).join(days, day, "left_semi")
+    first, last = days.agg(F.min(day), F.max(day)).first()
+    stored = read_if_exists(spark, path, schema, F.col(day).between(F.lit(first), F.lit(last)))
+    return stored.join(days, day, "left_semi")
 
 
 def take_ticks(feed: DataFrame, path: str) -> None:
