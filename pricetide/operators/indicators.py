@@ -53,6 +53,48 @@ def with_rolling(df: DataFrame, layout: Layout, specs: Mapping[str, tuple[str, s
     return df.withColumns(raw).withColumns(out).drop(*raw)
 
 
+class Spread:
+    """Mean and squared deviation of the last 5, 10, 20, ... rows of a column without NULLs.
+
+    A window of n rows is the merge of two windows of n/2 rows, one of them n/2 rows back (Chan et
+    al. 1983), so only the shortest is summed row by row. ``frames`` are the columns for the first
+    window pass and ``halves(n)`` those for the next one, each followed by ``merged``.
+    """
+
+    def __init__(self, layout: Layout, column: str, base: int = 5):
+        self.layout, self.column, self.base = layout, column, base
+
+    def names(self, n: int) -> tuple[str, str]:
+        return f"_mean{n}_{self.column}", f"_dev{n}_{self.column}"
+
+    def frames(self) -> dict[str, Column]:
+        window = self.layout.last(self.base)
+        mean, dev = self.names(self.base)
+        return {mean: F.avg(self.column).over(window), dev: F.var_pop(self.column).over(window) * self.base}
+
+    def back(self, n: int, rows: int) -> dict[str, Column]:
+        """The statistics of ``n`` rows as they were ``rows`` rows ago."""
+        return {f"{c}_{rows}": F.lag(c, rows).over(self.layout.rows()) for c in self.names(n)}
+
+    def merged(self, n: int, m: int) -> dict[str, Column]:
+        """The last ``n + m`` rows from the last ``n`` and the ``m`` before, which ``back(m, n)`` gave."""
+        mean, dev = (F.col(c) for c in self.names(n))
+        mean0, dev0 = (F.col(f"{c}_{n}") for c in self.names(m))
+        gap = mean - mean0
+        out_mean, out_dev = self.names(n + m)
+        return {
+            out_mean: (mean * n + mean0 * m) / (n + m),
+            out_dev: dev + dev0 + gap * gap * (n * m / (n + m)),
+        }
+
+    def std(self, n: int) -> Column:
+        """Sample deviation of the last ``n`` rows, NULL until the series has that many."""
+        return F.when(F.col("gi") >= n - 1, F.sqrt(F.col(self.names(n)[1]) / (n - 1)))
+
+    def mean(self, n: int) -> Column:
+        return F.when(F.col("gi") >= n - 1, F.col(self.names(n)[0]))
+
+
 def bounded_return(price: Column | str, prev: Column | str, limit: float) -> Column:
     """Clipped relative change, 0 where there is none."""
     return F.coalesce(S.bounded_change(price, prev, limit), F.lit(0.0))
@@ -96,9 +138,16 @@ def with_macd(
     return macd_from(ema(df, layout, scans), layout, "_fast", "_slow", signal).drop("_fast", "_slow")
 
 
-def macd_from(df: DataFrame, layout: Layout, fast: str, slow: str, signal: int) -> DataFrame:
+def macd_from(
+    df: DataFrame,
+    layout: Layout,
+    fast: str,
+    slow: str,
+    signal: int,
+    alongside: Mapping[str, Column] | None = None,
+) -> DataFrame:
     line = df.withColumn("macd", F.col(fast) - F.col(slow))
-    smooth = ema(line, layout, {"macd_signal": Ema("macd", span_alpha(signal))})
+    smooth = ema(line, layout, {"macd_signal": Ema("macd", span_alpha(signal))}, alongside)
     return smooth.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 

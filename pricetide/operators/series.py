@@ -5,7 +5,7 @@ table, so no window here is partitioned by the symbol alone over data rows. Thre
 
 1. ``dense_index`` numbers the rows 0, 1, 2, ... per series. Rows are counted per (symbol, time
    cell), the counts are summed over the cells of a symbol, and rows are numbered inside a cell.
-   The per-symbol step only sees cells, whose number the calendar bounds (525,600 minutes a year).
+   The per-symbol step only sees cells, whose number the calendar bounds (52,560 cells of ten minutes a year).
 2. ``chunk`` cuts a series into runs of ``chunk_rows`` rows and copies the rows just before (and
    after) a run into it. Lags, rolling windows and leads then look no further than their own run.
 3. Unbounded look-back needs one row per run and not the rows: ``carry_in`` totals each run and
@@ -16,6 +16,7 @@ table, so no window here is partitioned by the symbol alone over data rows. Thre
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
@@ -30,7 +31,7 @@ from pricetide.session import stage
 FADE = -math.log(1e-18)
 # exp of this is still far from the largest double.
 MAX_EXPONENT = 600.0
-CELL_CHOICES = (86400, 3600, 60, 1)
+CELL_CHOICES = (86400, 3600, 600, 60, 1)
 
 
 @dataclass(frozen=True)
@@ -40,11 +41,13 @@ class Layout:
     640 rows let an average of span 30 fade out, so one block of copies in front of a run suffices
     (4 % more rows at the default size). The step over all runs of one symbol sees rows/chunk_rows
     rows: 20 million for a symbol of 3.3e11 rows, 2.5 million with ``chunk_rows=133120``.
+    ``cell_seconds`` should make a cell hold thousands to a few million rows of the busiest symbol:
+    days for minute bars (see ``plans.features.layout_for``), seconds for a very dense feed.
     """
 
     key: str = "symbol"
     order: tuple[str, ...] = ("ts", "seq")
-    cell_seconds: int = 60
+    cell_seconds: int = 600
     chunk_rows: int = 16640
     sub_rows: int = 640
     back: int = 0
@@ -63,9 +66,6 @@ class Layout:
     def in_sub(self) -> WindowSpec:
         return self._in_sub
 
-    def sub_before(self, n: int) -> WindowSpec:
-        return self._subs.rangeBetween(-n, -n)
-
     # Built once per layout: every spec costs several calls into the JVM.
     @cached_property
     def _rows(self) -> WindowSpec:
@@ -80,10 +80,6 @@ class Layout:
         whole = Window.partitionBy(self.key, "chunk", "sub").orderBy("gi")
         return whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    @cached_property
-    def _subs(self) -> WindowSpec:
-        return Window.partitionBy(self.key, "chunk").orderBy("sub")
-
 
 def _cell(layout: Layout) -> Column:
     seconds = F.unix_seconds(F.col(layout.order[0]).cast("timestamp"))
@@ -152,12 +148,15 @@ def chunk(indexed: DataFrame, layout: Layout, back: int = 0, ahead: int = 0) ->
     rows = math.ceil(rows / sub_rows) * sub_rows
     own = F.expr(f"gi div {rows}")
     pos = F.col("gi") % rows
-    targets = [own]
-    if back:
-        targets.append(F.when(pos >= rows - back, own + 1))
+    enters, leaves = pos >= rows - back, (pos < ahead) & (own > 0)
+    targets = F.array(own)
     if ahead:
-        targets.append(F.when((pos < ahead) & (own > 0), own - 1))
-    out = indexed.withColumn("chunk", F.explode(F.array_compact(F.array(*targets))))
+        targets = F.when(leaves, F.array(own, own - 1)).otherwise(targets)
+    if back:
+        targets = F.when(enters, F.array(own, own + 1)).otherwise(targets)
+    if ahead and back and ahead + back > rows:
+        targets = F.when(enters & leaves, F.array(own, own + 1, own - 1)).otherwise(targets)
+    out = indexed.withColumn("chunk", F.explode(targets))
     out = out.withColumn("sub", F.expr(f"gi div {sub_rows}")).withColumn(
         "home", F.col("chunk") == own
     )
@@ -193,14 +192,26 @@ def span_alpha(span: float) -> float:
     return 2.0 / (span + 1.0)
 
 
-def ema(df: DataFrame, layout: Layout, specs: Mapping[str, Ema]) -> DataFrame:
+def _powers(q: float, n: int, sign: int = 1) -> Column:
+    """The constant array q**0, q**+-1, ..., q**+-n: a lookup where a power per row would be slow."""
+    return F.from_json(F.lit(json.dumps([q ** (sign * k) for k in range(n + 1)])), "array<double>")
+
+
+def ema(
+    df: DataFrame,
+    layout: Layout,
+    specs: Mapping[str, Ema],
+    alongside: Mapping[str, Column] | None = None,
+) -> DataFrame:
     """Add one column per spec.
 
     With q = 1-alpha and k the position in a block, the block's own part is
     ``q**k * sum(u_j * q**-j)``; earlier blocks add ``q**(k+1)`` times their end value, and only as
     many of them count as the fade allows. ``x`` must not be NULL from row ``first`` on.
+    ``alongside`` are further columns over ``layout.rows()`` that ride in the same window pass.
     """
-    k = (F.col("gi") % layout.sub_rows).cast("double")
+    size = layout.sub_rows
+    k = (F.col("gi") % size).cast("int")
     local, result = {}, {}
     for name, s in specs.items():
         q = 1.0 - s.alpha
@@ -213,26 +224,37 @@ def ema(df: DataFrame, layout: Layout, specs: Mapping[str, Ema]) -> DataFrame:
         else:
             u = F.when(F.col("gi") == s.first, x).otherwise(u)
         u = F.when(F.col("gi") >= s.first, u).otherwise(F.lit(0.0))
-        local[f"_loc_{name}"] = F.sum(u * F.pow(F.lit(q), -k)).over(layout.in_sub()) * F.pow(F.lit(q), k)
+        local[f"_sum_{name}"] = F.sum(u * F.get(_powers(q, size, -1), k)).over(layout.in_sub())
     out = df.withColumns(local) if local else df
-    ends, reach = {}, {}
-    for name, s in specs.items():
-        reach[name] = _fade_subs(s.alpha, layout.sub_rows)
-        for m in range(1, reach[name] + 1):
-            end = F.max_by(f"_loc_{name}", "gi").over(layout.sub_before(m))
-            ends[f"_end{m}_{name}"] = F.coalesce(end, F.lit(0.0))
-    out = out.withColumns(ends) if ends else out
+    powers = {name: _powers(1.0 - s.alpha, size) for name, s in specs.items() if s.alpha < 1.0}
+    out = out.withColumns({f"_loc_{name}": F.col(f"_sum_{name}") * F.get(powers[name], k) for name in powers})
+
+    # The end value of the block before is the newest value seen on a block's last row; taking that
+    # of the block before as the value, too, goes back block by block.
+    reach = {name: _fade_subs(s.alpha, size) for name, s in specs.items()}
+    depth = max(reach.values(), default=0)
+    is_last = k == size - 1
+    before = layout.rows().rowsBetween(Window.unboundedPreceding, -1)
+    ends = []
+    for m in range(1, max(depth, 1) + 1):
+        step = dict(alongside or {}) if m == 1 else {}
+        for name in powers:
+            if reach[name] >= m:
+                source = f"_loc_{name}" if m == 1 else f"_end{m - 1}_{name}"
+                step[f"_end{m}_{name}"] = F.last(F.when(is_last, F.col(source)), ignorenulls=True).over(before)
+                ends.append(f"_end{m}_{name}")
+        out = out.withColumns(step) if step else out
     for name, s in specs.items():
-        q = 1.0 - s.alpha
-        if q <= 0.0:
+        if name not in powers:
             result[name] = F.when(F.col("gi") >= s.first, F.col(s.x))
             continue
-        value = F.col(f"_loc_{name}")
+        q = 1.0 - s.alpha
+        carried = F.lit(0.0)
         for m in range(1, reach[name] + 1):
-            weight = F.pow(F.lit(q), k + float(1 + layout.sub_rows * (m - 1)))
-            value = value + weight * F.col(f"_end{m}_{name}")
+            carried = carried + F.coalesce(f"_end{m}_{name}", F.lit(0.0)) * q ** (size * (m - 1))
+        value = F.col(f"_loc_{name}") + F.get(powers[name], k + 1) * carried
         result[name] = F.when(F.col("gi") >= s.first, value)
-    return out.withColumns(result).drop(*local, *ends)
+    return out.withColumns(result).drop(*local, *[f"_loc_{n}" for n in powers], *ends)
 
 
 def carry_in(df: DataFrame, layout: Layout, totals: Mapping[str, tuple[str, Column]]) -> DataFrame:

@@ -94,11 +94,17 @@ def feature_matrix(
         {"_prev": I.lag(layout, "price"), "_next": I.lead(layout, "price", spec.horizon)}
     ).withColumn("_signed", I.signed_volume("price", "_prev", "volume"))
     df = carry_in(df, layout, {"_obv_in": ("sum", F.col("_signed")), "_vol_in": ("last", F.col("volume"))})
-    df = I.gain_loss_from(df, "price", "_prev").withColumns(
+    # Three passes over the rows of a run follow; each carries every window that is ready by then.
+    df = I.gain_loss_from(df, "price", "_prev").withColumn(
+        "ret", I.bounded_return("price", "_prev", spec.ret_clip)
+    )
+    moves, levels = I.Spread(layout, "ret"), I.Spread(layout, "price")
+    df = df.withColumns(
         {
-            "ret": I.bounded_return("price", "_prev", spec.ret_clip),
             "_filled": filled(layout, F.col("volume"), "_vol_in"),
             "obv": running_sum(layout, F.col("_signed"), "_obv_in"),
+            **moves.frames(),
+            **levels.frames(),
         }
     )
 
@@ -106,15 +112,18 @@ def feature_matrix(
     scans = {f"_ema{n}": Ema("price", span_alpha(n)) for n in I.EMA_SPANS}
     scans |= {"_fast": Ema("price", span_alpha(fast)), "_slow": Ema("price", span_alpha(slow))}
     scans |= I.rsi_scans()
-    df = I.macd_from(ema(df, layout, scans), layout, "_fast", "_slow", signal)
+    df = ema(df, layout, scans, alongside={**moves.back(5, 5), **levels.back(5, 5)})
+    df = df.withColumns({**moves.merged(5, 5), **levels.merged(5, 5)})
 
     lags = {f"ret_lag_{n}": I.lag(layout, "ret", n) for n in I.RETURN_LAGS}
     lags |= {f"_prev_ema{n}": I.lag(layout, f"_ema{n}") for n in I.EMA_SPANS}
     lags |= {"_prev_filled": I.lag(layout, "_filled"), "_prev_obv": I.lag(layout, "obv")}
-    rolling = {f"_std{n}": ("std", "ret", n) for n in I.STD_WINDOWS}
+    lags |= {**moves.back(10, 10), **moves.back(10, 20), **levels.back(10, 10)}
+    df = I.macd_from(df, layout, "_fast", "_slow", signal, alongside=lags)
+    df = df.withColumns({**moves.merged(10, 10), **levels.merged(10, 10)})
+    df = df.withColumns(moves.merged(20, 10))
     band = I.BOLLINGER[0]
-    rolling |= {"_mid": ("mean", "price", band), "_sd": ("std", "price", band)}
-    df = I.with_rolling(df.withColumns(lags), layout, rolling)
+    df = df.withColumns({"_mid": levels.mean(band), "_sd": levels.std(band)})
 
     angle = S.day_angle(layout.order[0])
     obv_chg = F.least(S.change_or_zero("obv", "_prev_obv"), F.lit(I.OBV_CLIP))
@@ -132,7 +141,7 @@ def feature_matrix(
         out[f"ema_gap_{n}"] = S.bounded_change("price", f"_ema{n}", I.GAP_CLIP)
         out[f"ema_slope_{n}"] = S.bounded_change(f"_ema{n}", f"_prev_ema{n}", I.SLOPE_CLIP)
     for n in I.STD_WINDOWS:
-        out[f"rstd_{n}"] = S.clip(f"_std{n}", 0.0, spec.std_clip)
+        out[f"rstd_{n}"] = F.when(F.col("gi") >= n - 1, F.least(moves.std(n), F.lit(spec.std_clip)))
     df = df.withColumns(out)
 
     result = home_rows(df).select(layout.key, *layout.order, "gi", *FEATURES, spec.target)

@@ -145,6 +145,7 @@ def test_pick_cell_seconds(spark):
     frame = ticks_frame(spark, walk(500))
     assert pick_cell_seconds(frame, Layout(), max_rows=1000) == 86400
     assert pick_cell_seconds(frame, Layout(), max_rows=100) == 3600
+    assert pick_cell_seconds(frame, Layout(), max_rows=15) == 600
     assert pick_cell_seconds(frame, Layout(), max_rows=5) == 60
 
 
