@@ -73,13 +73,13 @@ def feature_matrix(
     spec: FeatureSpec = ONE_MINUTE,
     layout: Layout = Layout(),
     limit: int | None = None,
-    staged: bool = False,
+    staged: bool = True,
 ) -> DataFrame:
     """All model inputs and the target, keyed by (symbol, ts).
 
     ``limit`` keeps the newest rows of each symbol first, so running values restart with them.
-    ``staged`` writes the numbered rows to the shared folder once, which saves the second pass for
-    the running totals from redoing the numbering; worth it when the input is large.
+    ``staged`` writes the numbered rows to the shared folder once, so that the second pass for the
+    running totals does not redo the reading and numbering; without it the plan stays lazy.
     """
     rows = ticks.select(layout.key, *layout.order, *RAW_INPUTS)
     if limit is not None:

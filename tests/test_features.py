@@ -4,7 +4,6 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import ticks_frame, walk
-from pyspark.sql import functions as F
 
 from pricetide.operators import indicators as I
 from pricetide.operators.scaler import expanding
@@ -13,6 +12,7 @@ from pricetide.operators.series import (
     Layout,
     dense_index,
     ema,
+    halo_rows,
     home_rows,
     pick_cell_seconds,
     series,
@@ -21,6 +21,7 @@ from pricetide.operators.series import (
     tail_rows,
 )
 from pricetide.plans.features import FEATURES, ONE_MINUTE, THIRTY_MINUTES, feature_matrix
+from pricetide.session import shared_folder
 
 CUTS = [Layout(), Layout(chunk_rows=512, sub_rows=128), Layout(chunk_rows=7, sub_rows=300, cell_seconds=3600)]
 
@@ -78,7 +79,7 @@ def test_matrix_one_minute_drops_incomplete_rows_and_staging_agrees(spark):
     pdf = walk(700)
     cut = Layout(chunk_rows=256, sub_rows=256)
     frame = ticks_frame(spark, pdf)
-    got = feature_matrix(frame, ONE_MINUTE, cut, staged=True).toPandas().sort_values("gi")
+    got = feature_matrix(frame, ONE_MINUTE, cut, staged=False).toPandas().sort_values("gi")
     want = expected(pdf, ONE_MINUTE).dropna(subset=[*FEATURES, ONE_MINUTE.target])
     assert got["gi"].tolist() == want.index.tolist()
     agree(got.reset_index(drop=True), want.reset_index(drop=True), (*FEATURES, ONE_MINUTE.target))
@@ -122,8 +123,6 @@ def test_slow_average_needs_several_blocks(spark):
     cut = Layout(chunk_rows=64, sub_rows=sub_rows_for([span_alpha(2), span_alpha(400)], 256))
     specs = {"quick": Ema("price", span_alpha(2)), "slow": Ema("price", span_alpha(400))}
     specs["seeded"] = Ema("price", 0.2, seed=0.01)
-    from pricetide.operators.series import halo_rows
-
     df, cut = series(ticks_frame(spark, pdf), cut, back=halo_rows([s.alpha for s in specs.values()], cut.sub_rows))
     got = home_rows(ema(df, cut, specs)).toPandas().sort_values("gi")
     assert np.allclose(got["quick"], pdf.price.ewm(span=2, adjust=False).mean(), rtol=1e-12)
@@ -172,7 +171,7 @@ def test_expanding_scaler_any_cut(spark):
 
 def test_symbols_do_not_mix_and_no_window_spans_a_symbol(spark):
     """Every window over data rows is partitioned by a run or a time cell as well."""
-    df = feature_matrix(ticks_frame(spark, walk(100)), ONE_MINUTE)
+    df = feature_matrix(ticks_frame(spark, walk(100)), ONE_MINUTE, staged=False)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert windows
@@ -181,3 +180,19 @@ def test_symbols_do_not_mix_and_no_window_spans_a_symbol(spark):
         keys = inside.split(" ASC")[0]
         counted = "sum(_n#" in line or "_t_" in line
         assert counted or "chunk#" in keys or "_cell#" in keys, line[:200]
+
+
+def test_shared_folder_is_the_cluster_setting():
+    class Conf(dict):
+        def get(self, key, default):
+            return dict.get(self, key, default)
+
+    class Session:
+        def __init__(self, master, **conf):
+            self.conf = Conf(conf)
+            self.sparkContext = type("Context", (), {"master": master, "applicationId": master})
+
+    assert shared_folder(Session("yarn", **{"spark.checkpoint.dir": "hdfs:///c/"})) == "hdfs:///c"
+    with pytest.raises(ValueError):
+        shared_folder(Session("yarn"))
+    assert shared_folder(Session("local[2]")) == shared_folder(Session("local[2]"))
