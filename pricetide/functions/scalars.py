@@ -105,7 +105,7 @@ def money(x: Column | str) -> Column:
 
 
 def asset_of(symbol: Column | str) -> Column:
-    """'BTC/USDT' -> 'btc'."""
+    """'ABC/USD' -> 'abc'."""
     return F.lower(F.split(_col(symbol), "/")[0])
 
 

@@ -3,7 +3,6 @@
 import datetime as dt
 
 import numpy as np
-import pandas as pd
 from conftest import ticks_frame, walk
 from pyspark.sql import functions as F
 

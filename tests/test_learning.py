@@ -7,7 +7,6 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import ticks_frame, walk
-from pyspark.sql import functions as F
 
 from pricetide.operators.learners import DEFAULTS, MEMBER_RULES, Learner, finite
 from pricetide.operators.online import ONE_MINUTE_LOOP, THIRTY_MINUTE_LOOP, ForecastLoop

@@ -57,11 +57,11 @@ def test_column_names_and_requirements(spark):
 def test_missing_table_is_empty_and_filters_reach_the_scan(spark):
     path = scratch_path(spark, "cal")
     assert R.read_if_exists(spark, path, schemas.CALENDAR).count() == 0
-    rows = [("btc", dt.date(2024, 1, 1), "halving"), ("eth", dt.date(2024, 1, 2), "fork")]
+    rows = [("abc", dt.date(2024, 1, 1), "halving"), ("eth", dt.date(2024, 1, 2), "fork")]
     spark.createDataFrame(rows, schemas.CALENDAR).write.parquet(path)
-    got = R.read_if_exists(spark, path, schemas.CALENDAR, F.col("ativo") == "btc")
+    got = R.read_if_exists(spark, path, schemas.CALENDAR, F.col("ativo") == "abc")
     assert got.count() == 1
-    assert "EqualTo(ativo,btc)" in got._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(ativo,abc)" in got._jdf.queryExecution().executedPlan().toString()
 
 
 def test_day_filter_is_inclusive_and_pushed_down(spark):
@@ -79,13 +79,13 @@ def test_history_gate_is_per_symbol(spark):
 
 def test_feed_projection(spark):
     feed = spark.createDataFrame(
-        [("BTC/USDT", 1704110400000, 110.0, 100.0, 5.0), ("BTC/USDT", 1704110460000, 110.0, 0.0, 5.0)],
+        [("ABC/USD", 1704110400000, 110.0, 100.0, 5.0), ("ABC/USD", 1704110460000, 110.0, 0.0, 5.0)],
         "symbol string, epoch_ms long, last double, open double, base_volume double",
     )
     got = R.project_ticks(feed).withColumn("local", S.local_time("ts")).withColumn("asset", S.asset_of("symbol"))
     first, second = got.collect()
     assert first.return_pct == pytest.approx(10.0) and second.return_pct == 0.0
-    assert str(got.select(F.date_format("local", "HH:mm")).first()[0]) == "09:00" and first.asset == "btc"
+    assert str(got.select(F.date_format("local", "HH:mm")).first()[0]) == "09:00" and first.asset == "abc"
 
 
 def test_scalar_rules(spark):
@@ -176,10 +176,10 @@ def test_export_headers(spark):
 
 def test_posts_and_polarity(spark):
     feed = spark.createDataFrame(
-        [("btc", " \tgood good bad\n", 0, 1), ("btc", "  \n", 0, 2), ("btc", "none here", 86400, 3)],
+        [("abc", " \tgood good bad\n", 0, 1), ("abc", "  \n", 0, 2), ("abc", "none here", 86400, 3)],
         "ativo string, title string, created_utc long, seq long",
     )
-    other = spark.createDataFrame([("btc", "BAD", 4)], "ativo string, title string, seq long")
+    other = spark.createDataFrame([("abc", "BAD", 4)], "ativo string, title string, seq long")
     posts = R.read_posts([feed, other])
     lexicon = spark.createDataFrame([("good", 1.0), ("bad", -0.5)], "word string, score double")
     got = {r.seq: r.sentimento for r in P.polarity(posts, lexicon, "texto_original", ["seq", "ativo", "data"]).collect()}
