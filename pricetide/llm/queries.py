@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm import language, packing, shards
+from pricetide.llm import language, packing, quality, shards
 from pricetide.llm.common import read_table
 
 
+def op1_quality(spark, sf_dir: str) -> DataFrame:
+    return quality.quality(read_table(spark, sf_dir, "documents"))
+
+
 def op3_language(spark, sf_dir: str) -> DataFrame:
     return language.identify(read_table(spark, sf_dir, "documents"))
 
@@ -24,5 +28,5 @@ def op7_packing(spark, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(read_table(spark, sf_dir, "documents")))
 
 
-REGISTRY: dict[str, Callable] = {f.__name__: f for f in (op3_language, op6_shards, op7_packing)}
-ORACLES: dict[str, str] = {}
+REGISTRY: dict[str, Callable] = {f.__name__: f for f in (op1_quality, op3_language, op6_shards, op7_packing)}
+ORACLES: dict[str, str] = {"op1_quality": quality.sql()}
