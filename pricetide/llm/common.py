@@ -20,6 +20,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+# Punctuation that may follow a word.
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[list(b".,!?;:$%&*#|")] = True
+_ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -27,6 +31,12 @@ def read_table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(spark) -> None:
+    """Arrow batches of about 8 MB, so that long texts don't fill a worker's memory."""
+    for name, value in (("maxRecordsPerBatch", "2000"), ("maxBytesPerBatch", str(8 << 20))):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
+
+
 def text_key(text: Column) -> Column:
     """128 bits of SHA-256; a missing text counts as empty."""
     return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16)
@@ -129,3 +139,15 @@ def words_of(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator
     for low, high in pieces(offsets):
         own = offsets[low : high + 1]
         yield Words(data[own[0] : own[-1]], own - own[0], slice(low, high), lower)
+
+
+def tail_starts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the punctuation at the end of each word begins, if a letter or digit stands before it; else the word's end."""
+    if not len(starts):
+        return ends
+    other = np.where(_PUNCTUATION[data], 0, np.arange(1, len(data) + 1))
+    tail = np.maximum.accumulate(other)[ends - 1]
+    last = data[np.maximum(tail - 1, 0)]
+    before = data[np.maximum(tail - 2, 0)]
+    latin = (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
+    return np.where((tail > starts) & (_ALNUM[last] | latin), tail, ends)

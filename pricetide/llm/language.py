@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm.common import as_bytes, pieces
+from pricetide.llm.common import as_bytes, pieces, small_batches
 
 BITS = 16
 GRAMS = (1, 2, 3, 4)
@@ -101,6 +101,7 @@ def predict(docs: DataFrame, names: list[str], table: np.ndarray, keep: list[str
     A null text, one without a letter, or a model without languages gives "und" with score 0. Languages have
     equal priors; of equal languages the first in order is taken.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(table.T))
 
     def run(batches):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm import language, packing, quality, shards
+from pricetide.llm import language, packing, quality, shards, toxicity
 from pricetide.llm.common import read_table
 
 
@@ -28,5 +28,10 @@ def op7_packing(spark, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(read_table(spark, sf_dir, "documents")))
 
 
-REGISTRY: dict[str, Callable] = {f.__name__: f for f in (op1_quality, op3_language, op6_shards, op7_packing)}
+def op10_toxicity(spark, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return found.withColumn("passages", F.size("passages"))
+
+
+REGISTRY: dict[str, Callable] = {f.__name__: f for f in (op1_quality, op3_language, op6_shards, op7_packing, op10_toxicity)}
 ORACLES: dict[str, str] = {"op1_quality": quality.sql()}
