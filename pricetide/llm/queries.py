@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm import language, packing, quality, shards, toxicity
+from pricetide.llm import decontaminate, language, packing, quality, secret_scan, shards, toxicity
 from pricetide.llm.common import read_table
 
 
@@ -19,6 +19,14 @@ def op3_language(spark, sf_dir: str) -> DataFrame:
     return language.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_shards(spark, sf_dir: str) -> DataFrame:
     placed = shards.shard(read_table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -33,5 +41,5 @@ def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     return found.withColumn("passages", F.size("passages"))
 
 
-REGISTRY: dict[str, Callable] = {f.__name__: f for f in (op1_quality, op3_language, op6_shards, op7_packing, op10_toxicity)}
+REGISTRY: dict[str, Callable] = {f.__name__: f for f in (op1_quality, op3_language, op4_secrets, op5_decontamination, op6_shards, op7_packing, op10_toxicity)}
 ORACLES: dict[str, str] = {"op1_quality": quality.sql()}
