@@ -14,8 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 # Bytes of text that are worked on at once; a longer document is worked on alone.
 CHUNK_BYTES = 1 << 21
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -82,7 +82,7 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         values = (_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * powers(_BASE, n), out=total[1:])
+        np.cumsum(values * powers(BASE, n), out=total[1:])
         self._total = total
         self.hashes = self.spans(self.starts, self.ends)
 
@@ -91,7 +91,7 @@ class Words:
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of byte ranges."""
-        return mix((self._total[ends] - self._total[starts]) * powers(_INVERSE, len(self._total))[starts])
+        return mix((self._total[ends] - self._total[starts]) * powers(INVERSE, len(self._total))[starts])
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of every k consecutive words, and per text where its first one stands.
@@ -104,8 +104,8 @@ class Words:
         if n < k:
             return np.zeros(0, np.uint64), bounds
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hashes * powers(_BASE, n), out=total[1:])
-        every = mix((total[k:] - total[: n - k + 1]) * powers(_INVERSE, n + 1)[: n - k + 1] + np.uint64(k))
+        np.cumsum(self.hashes * powers(BASE, n), out=total[1:])
+        every = mix((total[k:] - total[: n - k + 1]) * powers(INVERSE, n + 1)[: n - k + 1] + np.uint64(k))
         at = np.arange(bounds[-1]) + np.repeat(self.first[:-1] - bounds[:-1], counts)
         return every[at], bounds
 

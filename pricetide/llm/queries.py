@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm import decontaminate, language, packing, quality, secret_scan, shards, toxicity
+from pricetide.llm import decontaminate, language, packing, quality, secret_scan, shards, substring, toxicity
 from pricetide.llm.common import read_table
 
 
@@ -15,6 +15,10 @@ def op1_quality(spark, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents"))
 
 
+def op2_substring(spark, sf_dir: str) -> DataFrame:
+    return substring.digests(substring.remove(read_table(spark, sf_dir, "documents")))
+
+
 def op3_language(spark, sf_dir: str) -> DataFrame:
     return language.identify(read_table(spark, sf_dir, "documents"))
 
@@ -41,5 +45,5 @@ def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     return found.withColumn("passages", F.size("passages"))
 
 
-REGISTRY: dict[str, Callable] = {f.__name__: f for f in (op1_quality, op3_language, op4_secrets, op5_decontamination, op6_shards, op7_packing, op10_toxicity)}
+REGISTRY: dict[str, Callable] = {f.__name__: f for f in (op1_quality, op2_substring, op3_language, op4_secrets, op5_decontamination, op6_shards, op7_packing, op10_toxicity)}
 ORACLES: dict[str, str] = {"op1_quality": quality.sql()}
