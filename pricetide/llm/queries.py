@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm import decontaminate, language, lines, packing, quality, secret_scan, shards, substring, toxicity
+from pricetide.llm import decontaminate, jaccard, language, lines, packing, quality, secret_scan, shards, substring, toxicity
 from pricetide.llm.common import read_table
 
 
@@ -40,6 +40,10 @@ def op7_packing(spark, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(read_table(spark, sf_dir, "documents")))
 
 
+def op8_jaccard(spark, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op9_lines(spark, sf_dir: str) -> DataFrame:
     return lines.digests(lines.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -49,5 +53,5 @@ def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     return found.withColumn("passages", F.size("passages"))
 
 
-REGISTRY: dict[str, Callable] = {f.__name__: f for f in (op1_quality, op2_substring, op3_language, op4_secrets, op5_decontamination, op6_shards, op7_packing, op9_lines, op10_toxicity)}
+REGISTRY: dict[str, Callable] = {f.__name__: f for f in (op1_quality, op2_substring, op3_language, op4_secrets, op5_decontamination, op6_shards, op7_packing, op8_jaccard, op9_lines, op10_toxicity)}
 ORACLES: dict[str, str] = {"op1_quality": quality.sql()}
