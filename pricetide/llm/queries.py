@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pricetide.llm import decontaminate, jaccard, language, lines, packing, quality, secret_scan, shards, substring, toxicity
 from pricetide.llm.common import read_table
 
@@ -54,4 +55,5 @@ def op10_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable] = {f.__name__: f for f in (op1_quality, op2_substring, op3_language, op4_secrets, op5_decontamination, op6_shards, op7_packing, op8_jaccard, op9_lines, op10_toxicity)}
+REGISTRY["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {"op1_quality": quality.sql()}
