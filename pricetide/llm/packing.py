@@ -23,14 +23,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pricetide.llm.common import Words, as_bytes, pieces
+from pricetide.llm.common import Words, as_bytes, pieces, small_batches, tail_starts
 from pricetide.session import stage
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 LENGTH = 4096
 # Units whose ids a worker remembers at most; beyond that it starts anew.
-MEMORY_UNITS = 2_000_000
+MEMORY_UNITS = 1_000_000
+
+# Documents cut at once.
+ROWS = 512
 
 _ENCODED = pa.schema(
     [("doc_id", pa.int64()), ("part", pa.int64()), ("before", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())]
@@ -100,7 +103,7 @@ class Encoder:
     def texts(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """For one chunk: all ids, and where each text's ids begin."""
         data, starts, ends = words.data, words.starts, words.ends
-        tail = _tail_starts(data, starts, ends)
+        tail = tail_starts(data, starts, ends)
         split = np.flatnonzero((tail > starts) & (tail < ends))
         # Units in order: a split word gives two.
         slot = np.arange(len(starts)) + np.concatenate([[0], np.cumsum((tail > starts) & (tail < ends))])[:-1] if len(starts) else np.zeros(0, np.int64)
@@ -124,23 +127,6 @@ class Encoder:
         return ids, bounds[first]
 
 
-def _tail_starts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Where the punctuation at the end of each word begins, if a letter or digit stands before it; else the word's end."""
-    if not len(starts):
-        return ends
-    other = np.where(_PUNCTUATION[data], 0, np.arange(1, len(data) + 1))
-    tail = np.maximum.accumulate(other)[ends - 1]
-    last = data[np.maximum(tail - 1, 0)]
-    before = data[np.maximum(tail - 2, 0)]
-    latin = (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
-    return np.where((tail > starts) & (_ALNUM[last] | latin), tail, ends)
-
-
-_PUNCTUATION = np.zeros(256, bool)
-_PUNCTUATION[list(b".,!?;:$%&*#|")] = True
-_ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
-
-
 @lru_cache(maxsize=2)
 def _encoder(name: str, by_unit: bool) -> Encoder:
     """One for all tasks of a worker."""
@@ -150,7 +136,7 @@ def _encoder(name: str, by_unit: bool) -> Encoder:
 def _ids_of(encoder: Encoder, texts: pa.Array) -> Iterator[list[np.ndarray]]:
     """Ids of each text, a chunk at a time."""
     data, offsets = as_bytes(texts)
-    for low, high in pieces(offsets):
+    for low, high in pieces(offsets, 1 << 20):
         own = offsets[low : high + 1] - offsets[low]
         chunk = data[offsets[low] : offsets[high]]
         if encoder.by_unit:
@@ -195,15 +181,17 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, end_
     repeated rows are packed as often as they come; an empty table gives no piece; other columns of
     ``docs`` are ignored.
     """
+    small_batches(docs.sparkSession)
     encoded = stage(encode(docs, tokenizer, end_id), "packing-ids")
     totals = encoded.groupBy("part").agg(F.sum("n").alias("_total"))
     # One row per partition of the written table.
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    origins = totals.select("part", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_origin"))
+    origins = stage(totals.select("part", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_origin")), "packing-origins")
+    # Written, so that Spark plans this join on its real size.
     placed = encoded.join(origins, "part").select("doc_id", (F.col("_origin") + F.col("before")).alias("at"), "n", "ids")
 
     def cut(batches):
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             at, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("at", "n"))
             first, last = at // length, (at + n - 1) // length
             parts = last - first + 1
