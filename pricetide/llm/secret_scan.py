@@ -67,7 +67,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     each = rows.select("doc_id", "path", F.explode(found(F.col("words"))).alias("c")).select("doc_id", "path", "c.*")
     runs = F.regexp_extract_all("word", F.lit(rf"({KEY_CHARS}{{{MIN_LENGTH},}})"))
     run = F.explode(F.filter(runs, lambda r: r.rlike("[0-9]")))
-    return each.select("doc_id", "path", "at", "word", F.concat_ws(" ", "before2", "before1").alias("before"), "after", run.alias("candidate"))
+    return each.select("doc_id", "path", "at", "word", F.trim(F.concat_ws(" ", "before2", "before1")).alias("before"), "after", run.alias("candidate"))
 
 
 def with_features(found: DataFrame) -> DataFrame:

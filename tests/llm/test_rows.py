@@ -1,0 +1,148 @@
+"""Operators that look at one row at a time, or learn from labelled rows."""
+
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from pricetide.llm import decontaminate, language, quality, secret_scan, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+TEXTS = [None, "", " \n\t ", "one", "the same words " * 30, "a b c d e f g h\n" * 3 + "z", "x y # $ é ü\n\n é", "w" * 30_000, "Of " * 9, "l1 a b c\nl2\nl1 a b c\n \n \nl2"]
+
+
+def base(text):
+    w = WORD.findall(text or "")
+    windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    hit = {i + k for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for k in range(8)}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(hit)
+
+
+def test_quality_counts(docs_of):
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (3, "one")]
+    got = quality.quality(docs_of(rows)).collect()
+    found = sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got)
+    assert found == sorted((str(i), *base(t)) for i, t in rows)
+    for r in got:
+        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.base_failed and r.kept)
+    assert quality.quality(docs_of(rows).where("false")).count() == 0
+
+
+def test_quality_verdicts(docs_of):
+    good = " ".join(f"the word{i} of a text{i * 7}" for i in range(20))
+    bad = [good.upper(), good.replace("word", "word$ # "), " ".join(f"x{i}qz" for i in range(40)), " ".join(f"w{i} " * 4 for i in range(20))]
+    got = {r.doc_id: r.kept for r in quality.quality(docs_of([(0, good)] + [(i + 1, t) for i, t in enumerate(bad)])).collect()}
+    assert got == {0: True, 1: False, 2: False, 3: False, 4: False}
+    loose = quality.quality(docs_of([(0, good.upper())]), rules=(quality.Rule("symbol_ratio", high=0.1),))
+    assert loose.first().kept
+
+
+def test_quality_is_native(docs_of):
+    plan = quality.quality(docs_of([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    total, right = got.count(), got.where("lang = lang_pred").count()
+    assert total > 150 and right >= 0.99 * total
+
+
+def test_language_edges(docs_of):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr")] * 12)]
+    rows += [(100, None, "en"), (101, "", "de"), (102, "12 !? 3", "fr"), (103, "der Hund", None), (None, "the dog", "xx"), (None, "the dog", "xx")]
+    got = {r.doc_id: r for r in language.identify(docs_of(rows)).collect()}
+    for i in (100, 101, 102):
+        assert got[i].lang_pred == "und" and got[i].score == 0
+    assert got[103].lang_pred == "de" and 0.5 < got[103].score <= 1
+    assert got[100].held_out == (zlib.crc32(b"100") % 4 == 2)
+    none = language.identify(docs_of([(1, "the", None)]))
+    assert none.first().lang_pred == "und"
+    assert language.identify(docs_of(rows).where("false")).count() == 0
+
+
+def test_leaks(spark, docs_of):
+    item = "Q " + " ".join(f"tok{i}" for i in range(40)) + "."
+    words = item.split()
+    changed = list(words)
+    changed[10], changed[25] = "other", "else"
+    rows = [
+        (1, "before it " + item.upper() + " after"), (2, "x " + " ".join(changed)), (3, " ".join(words[:8])), (4, None), (5, ""),
+        (6, "is Short, one here!"), (7, "short two"), (None, item), (1, "before it " + item.upper() + " after"), (8, " ".join(reversed(words))),
+    ]
+    bench = spark.createDataFrame([(1, item, "x"), (2, "short one", "y"), (3, None, "z"), (4, "", "z"), (1, item, "x")], "item_id long, text string, doc_id string")
+    for most in (decontaminate.MOST_BROADCAST, 0):
+        got = sorted((str(r.doc_id), r.item_id, r.equal_tokens, r.start) for r in decontaminate.leaks(docs_of(rows), bench, most).collect())
+        assert got == [("1", 1, 41, 2), ("2", 1, 39, 1), ("6", 2, 2, 1), ("None", 1, 41, 0)]
+    kept = decontaminate.without_leaks(docs_of(rows), bench)
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 7, 8]
+    assert decontaminate.leaks(docs_of(rows).where("false"), bench).count() == 0
+    assert decontaminate.leaks(docs_of(rows), bench.where("false")).count() == 0
+
+
+def test_leaks_are_native(spark, docs_of):
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve")], "item_id long, text string")
+    plan = decontaminate.leaks(docs_of([(1, "a")]), bench)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_secrets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = secret_scan.scan(docs)
+    number = F.col("candidate").rlike("^[0-9]{16}$")
+    n = {(r.secret, r.number): r["count"] for r in got.withColumn("number", number).groupBy("secret", "number").count().collect()}
+    assert n[(True, False)] > 100 and n[(False, True)] > 100 and (True, True) not in n and (False, False) not in n
+
+
+def test_forest_learns_labelled_findings(docs_of):
+    """Unnamed keys are known by their shape once labelled; labels of one kind alone teach nothing."""
+    key = lambda i: f"{((i + 1) * 7919 + 13) ** 5:x}"[:14] + "Zq9" + str(i)
+    rows = [(i, f"see {key(i)} here") for i in range(40)] + [(100 + i, f"path lib/image{i}/index-page here") for i in range(40)]
+    found = secret_scan.candidates(docs_of(rows)).withColumn("label", (F.col("doc_id") < 100).cast("double"))
+    got = secret_scan.scan(docs_of(rows), found).collect()
+    assert len(got) == 80 and sum(r.secret == (r.doc_id < 100) for r in got) >= 78
+    one_kind = secret_scan.scan(docs_of(rows), found.where("label = 1")).collect()
+    assert {r.score for r in one_kind} == {0.5}
+
+
+def test_secret_edges(docs_of):
+    rows = [(1, None), (2, ""), (3, "password=abcdef0123456789abcd x"), (None, "4785380592391135"), (3, "password=abcdef0123456789abcd x"), (4, "z" * 30_000 + "1")]
+    got = secret_scan.scan(docs_of(rows)).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["3", "3", "4", "None"]
+    assert {r.secret for r in got if r.doc_id == 3} == {True}
+    assert secret_scan.scan(docs_of(rows).where("false")).count() == 0
+
+
+def test_maximal_segments():
+    at, s = __import__("numpy").array([2, 4, 40, 41]), __import__("numpy").array([3.0, 2.0, 4.0, 1.0])
+    got = toxicity.segments(at, s, -0.5)
+    assert [(a, b) for a, b, _ in got] == [(2, 5), (40, 42)] and [round(x, 6) for *_, x in got] == [4.5, 5.0]
+    # All in one where the gap costs less than either side brings.
+    assert [(a, b) for a, b, _ in toxicity.segments(at, s, -0.05)] == [(2, 42)]
+
+
+def test_toxicity(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.toxicity(docs, labels)
+    assert got.count() == docs.count()
+    held = got.where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r.toxic, r.predicted): r["count"] for r in held}
+    assert n[(1, 1)] >= 0.75 * (n[(1, 1)] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.01 * n[(0, 0)]
+
+
+@pytest.mark.parametrize("toxic", [[], [(1, 1)], [(i, i % 2) for i in range(40)]])
+def test_toxicity_edges(spark, docs_of, toxic):
+    rows = [(i, ("you horrid thing " if i % 2 else "fine day ") + f"w{i} v{i * 3}") for i in range(40)] + [(50, None), (51, ""), (None, "horrid " * 9), (50, None)]
+    labels = spark.createDataFrame([(i, None, t) for i, t in toxic] + [(None, 1, 1), (60, 1, None)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs_of(rows), labels).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    assert toxicity.toxicity(docs_of(rows).where("false"), labels).count() == 0
