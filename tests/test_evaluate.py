@@ -1,5 +1,6 @@
 """Evaluation, alerts, weights and backtest against pandas and small hand-made cases."""
 
+import math
 from dataclasses import replace
 
 import numpy as np
@@ -146,17 +147,27 @@ def test_backtest_against_pandas(spark, cut):
     totals = {r.symbol: r for r in summary(backtest(frame(spark, pdf), cut, 2.0, 4.0)).collect()}
     for s, d in pdf.groupby("symbol"):
         g = got[got.symbol == s].sort_values("target").reset_index(drop=True)
-        d = d.reset_index(drop=True)
-        sig = (d.y_hat_ret > 2e-4).astype(int)
-        real = d.price_real.pct_change(fill_method=None).fillna(0)
-        model = sig.shift(1).fillna(0) * real - sig.diff().abs().fillna(0) * 4e-4
-        eq, hold = (1 + model).cumprod(), (1 + real).cumprod()
-        dd = (eq - eq.cummax()) / eq.cummax()
+        # One position, its worth and the highest worth so far, held row by row.
+        held, worth, kept, peak = None, 1.0, 1.0, 1.0
+        sig, eq, hold, dd = [], [], [], []
+        before = math.nan
+        for forecast, real in zip(d.y_hat_ret.tolist(), d.price_real.tolist()):
+            want = 1 if forecast > 2 / 10_000 else 0
+            move = real / before - 1 if not math.isnan(real / before) else 0.0
+            worth *= 1 + (held or 0) * move - (4 / 10_000 if held is not None and want != held else 0.0)
+            kept *= 1 + move
+            peak = max(peak, worth)
+            sig.append(want)
+            eq.append(worth)
+            hold.append(kept)
+            dd.append(worth / peak - 1)
+            held, before = want, real
+        sig, eq, hold, dd = np.array(sig), np.array(eq), np.array(hold), np.array(dd)
         assert (g.signal == sig).all()
         for name, want in (("eq_model", eq), ("eq_hold", hold), ("drawdown", dd)):
             assert np.allclose(g[name], want, rtol=1e-10, atol=1e-12), name
         assert (g.drawdown <= 0).all()
-        assert np.isclose(totals[s].total_model, eq.iloc[-1] - 1, atol=1e-12)
+        assert np.isclose(totals[s].total_model, eq[-1] - 1, atol=1e-12)
         assert np.isclose(totals[s].max_drawdown, dd.min(), atol=1e-12)
 
 

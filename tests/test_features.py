@@ -1,5 +1,7 @@
 """Indicators and the feature matrix against straight pandas formulas, for any way of cutting."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -26,35 +28,81 @@ from pricetide.session import shared_folder
 CUTS = [Layout(), Layout(chunk_rows=512, sub_rows=128), Layout(chunk_rows=7, sub_rows=300, cell_seconds=3600)]
 
 
+class Mean:
+    """An exponential mean that starts with its first value."""
+
+    def __init__(self, alpha: float):
+        self.alpha, self.value = alpha, None
+
+    def __call__(self, x: float) -> float:
+        self.value = x if self.value is None else self.value + self.alpha * (x - self.value)
+        return self.value
+
+
+def between(x: float, low: float, high: float) -> float:
+    return x if math.isnan(x) else min(max(x, low), high)
+
+
+def deviation(values: list[float], n: int, ddof: int = 1) -> float:
+    """Of the last ``n`` values; missing until there are as many."""
+    last = values[-n:]
+    return float(np.std(last, ddof=ddof)) if len(last) == n else math.nan
+
+
+def ratio(a: float, b: float, empty: float) -> float:
+    """a / b - 1, or ``empty`` where that is no finite number."""
+    if math.isnan(a) or math.isnan(b) or b == 0:
+        return empty
+    return a / b - 1
+
+
 def expected(d: pd.DataFrame, spec) -> pd.DataFrame:
-    d = d.copy().reset_index(drop=True)
-    p, v = d.price, d.volume
-    smooth = lambda x, a: x.ewm(alpha=a, adjust=False).mean()
-    d["ret"] = p.pct_change().clip(-spec.ret_clip, spec.ret_clip).fillna(0)
-    d["vol_chg"] = v.ffill().pct_change(fill_method=None).replace([np.inf, -np.inf], np.nan).fillna(0)
-    d["log_vol"] = np.log1p(v)
-    for n in I.RETURN_LAGS:
-        d[f"ret_lag_{n}"] = d.ret.shift(n)
-    for n in I.EMA_SPANS:
-        e = smooth(p, span_alpha(n))
-        d[f"ema_gap_{n}"] = (p / e - 1).clip(-0.2, 0.2)
-        d[f"ema_slope_{n}"] = e.pct_change().clip(-0.1, 0.1)
-    for n in I.STD_WINDOWS:
-        d[f"rstd_{n}"] = d.ret.rolling(n).std().clip(0, spec.std_clip)
-    move = p.diff()
-    up, down = smooth(move.clip(lower=0), 1 / 14), smooth(-move.clip(upper=0), 1 / 14)
-    d["rsi_14"] = (100 - 100 / (1 + up / (down + spec.eps))).fillna(50)
-    d["macd"] = smooth(p, span_alpha(12)) - smooth(p, span_alpha(26))
-    d["macd_signal"] = smooth(d.macd, span_alpha(9))
-    d["macd_hist"] = d.macd - d.macd_signal
-    d["bb_width"] = (4 * p.rolling(20).std() / (p.rolling(20).mean() + spec.eps)).fillna(0)
-    d["obv"] = (np.sign(move.fillna(0)) * v).fillna(0).cumsum()
-    change = d.obv.pct_change(fill_method=None).replace([np.inf, -np.inf], 0).fillna(0)
-    d["obv_chg"] = change.clip(-0.5, 0.5)
-    angle = (d.ts.dt.hour * 60 + d.ts.dt.minute) * 2 * np.pi / 1440
-    d["sin_m"], d["cos_m"] = np.sin(angle), np.cos(angle)
-    d[spec.target] = (p.shift(-spec.horizon) / p - 1).clip(-spec.target_clip, spec.target_clip)
-    return d
+    """Every feature from its definition, one row after the other."""
+    price, volume = d.price.tolist(), d.volume.tolist()
+    spans = {n: Mean(span_alpha(n)) for n in I.EMA_SPANS}
+    fast, slow, signal, gain, loss = (Mean(a) for a in (span_alpha(12), span_alpha(26), span_alpha(9), 1 / 14, 1 / 14))
+    returns: list[float] = []
+    known = before_known = math.nan
+    balance, rows = 0.0, []
+    last = {n: math.nan for n in I.EMA_SPANS}
+    for i, (p, v) in enumerate(zip(price, volume)):
+        row = dict(d.iloc[i])
+        before = price[i - 1] if i else math.nan
+        returns.append(between(p / before - 1, -spec.ret_clip, spec.ret_clip) if i else 0.0)
+        row["ret"] = returns[-1]
+        known, before_known = (known if math.isnan(v) else v), known
+        row["vol_chg"] = ratio(known, before_known, 0.0)
+        row["log_vol"] = math.log1p(v) if not math.isnan(v) else math.nan
+        for n in I.RETURN_LAGS:
+            row[f"ret_lag_{n}"] = returns[i - n] if i >= n else math.nan
+        for n, mean in spans.items():
+            e = mean(p)
+            row[f"ema_gap_{n}"] = between(p / e - 1, -0.2, 0.2)
+            row[f"ema_slope_{n}"] = between(ratio(e, last[n], math.nan), -0.1, 0.1)
+            last[n] = e
+        for n in I.STD_WINDOWS:
+            row[f"rstd_{n}"] = between(deviation(returns, n), 0.0, spec.std_clip)
+        if i:
+            up, down = gain(max(p - before, 0.0)), loss(max(before - p, 0.0))
+            row["rsi_14"] = 100 - 100 / (1 + up / (down + spec.eps))
+        else:
+            row["rsi_14"] = 50.0
+        row["macd"] = fast(p) - slow(p)
+        row["macd_signal"] = signal(row["macd"])
+        row["macd_hist"] = row["macd"] - row["macd_signal"]
+        window = price[max(0, i - 19) : i + 1]
+        row["bb_width"] = 4 * deviation(window, 20) / (sum(window) / 20 + spec.eps) if len(window) == 20 else 0.0
+        old = balance
+        if i and not math.isnan(v):
+            balance += v * ((p > before) - (p < before))
+        row["obv"] = balance
+        row["obv_chg"] = between(ratio(balance, old, 0.0), -0.5, 0.5) if i else 0.0
+        minute = d.ts.iloc[i].hour * 60 + d.ts.iloc[i].minute
+        row["sin_m"], row["cos_m"] = math.sin(2 * math.pi * minute / 1440), math.cos(2 * math.pi * minute / 1440)
+        then = price[i + spec.horizon] if i + spec.horizon < len(price) else math.nan
+        row[spec.target] = between(then / p - 1, -spec.target_clip, spec.target_clip)
+        rows.append(row)
+    return pd.DataFrame(rows)
 
 
 def agree(got: pd.DataFrame, want: pd.DataFrame, columns) -> None:
