@@ -349,16 +349,17 @@ FROM hour_bars"""
 
 def weights(seed: float, eps: str, after: bool) -> str:
     err = ", ".join(f"abs(price_real - y_hat_{m}) AS err_{m}" for m in MEMBERS)
-    first = ", ".join(f"0.2 * err_{m} + 0.8 * {seed} AS mae_{m}, {seed}::DOUBLE AS was_{m}" for m in MEMBERS)
-    step = ", ".join(f"0.2 * n.err_{m} + 0.8 * p.mae_{m}, p.mae_{m}" for m in MEMBERS)
+    first = ", ".join(f"coalesce(0.2 * err_{m} + 0.8 * {seed}, {seed}) AS mae_{m}, {seed}::DOUBLE AS was_{m}" for m in MEMBERS)
+    step = ", ".join(f"coalesce(0.2 * n.err_{m} + 0.8 * p.mae_{m}, p.mae_{m}), p.mae_{m}" for m in MEMBERS)
     used = "mae" if after else "was"
     total = "(" + " + ".join(f"1 / ({used}_{m} + {eps})" for m in MEMBERS) + ")"
     out = [f"{r(f'err_{m}')} AS err_{m}" for m in MEMBERS] if after else []
     out += [f"{r(f'{used}_{m}')} AS mae_{m}" for m in MEMBERS]
     out += [f"{r(f'1 / ({used}_{m} + {eps}) / {total}')} AS w_{m}" for m in MEMBERS]
     return f"""WITH RECURSIVE {PREDS},
+gaps AS (SELECT * REPLACE (CASE WHEN extract(hour FROM target) % 5 <> 0 THEN y_hat_ridge END AS y_hat_ridge) FROM ev),
 e AS (SELECT symbol, target, {err}, row_number() OVER (PARTITION BY symbol ORDER BY target) AS rn
-      FROM ev WHERE price_real IS NOT NULL),
+      FROM gaps WHERE price_real IS NOT NULL),
 m AS (SELECT symbol, rn, {first} FROM e WHERE rn = 1
       UNION ALL SELECT n.symbol, n.rn, {step} FROM m p JOIN e n ON n.symbol = p.symbol AND n.rn = p.rn + 1)
 SELECT symbol, target, {', '.join(out)} FROM e JOIN m USING (symbol, rn)"""
@@ -376,7 +377,7 @@ _THIRD = r("1e0 / 3e0")
 ORACLES["q_recent_components"] = f"""WITH {PREDS}
 SELECT symbol, target, price_real, {r('y_hat')} AS y_hat, y_hat_sgd, {rr(['y_hat_ridge', 'y_hat_pa'])},
        {', '.join(f'{_THIRD} AS w_{m}' for m in MEMBERS)}, {r('erro')} AS erro, acerto_dir
-FROM ev ORDER BY target DESC, symbol LIMIT 200"""
+FROM ev QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY target DESC) <= 200"""
 ORACLES["q_export"] = f"""WITH {PREDS}
 SELECT target AS "Datetime", price_real AS "Price_real", {rr(['y_hat', 'erro', 'erro_base'])}, acerto_dir,
        {r('y_hat_ret')} AS y_hat_ret, baseline FROM ev"""

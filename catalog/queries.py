@@ -388,7 +388,7 @@ def q_anchor_price(spark, sf_dir):
 
 @query
 def q_ewm_weights(spark, sf_dir):
-    df = E.member_weights(V.evaluated_preds(spark, sf_dir), V.TARGET_LAYOUT)
+    df = E.member_weights(V.gapped_preds(spark, sf_dir), V.TARGET_LAYOUT)
     names = [f"{k}_{m}" for k in ("err", "mae", "w") for m in schemas.MEMBERS]
     return _r(df.select("symbol", "target", *names), 6, *names)
 
@@ -396,7 +396,7 @@ def q_ewm_weights(spark, sf_dir):
 @query
 def q_ewm_weights_before(spark, sf_dir):
     df = E.member_weights(
-        V.evaluated_preds(spark, sf_dir), V.TARGET_LAYOUT, seed=0.02, eps=1e-8, after_update=False
+        V.gapped_preds(spark, sf_dir), V.TARGET_LAYOUT, seed=0.02, eps=1e-8, after_update=False
     )
     names = [f"{k}_{m}" for k in ("mae", "w") for m in schemas.MEMBERS]
     return _r(df.select("symbol", "target", *names), 6, *names)
@@ -410,7 +410,7 @@ def q_delayed_label(spark, sf_dir):
 
 @query
 def q_recent_components(spark, sf_dir):
-    df = E.components(V.evaluated_preds(spark, sf_dir))
+    df = E.components(V.evaluated_preds(spark, sf_dir), V.TARGET_LAYOUT)
     return _r(df, 6, "y_hat", "y_hat_ridge", "y_hat_pa", "w_sgd", "w_ridge", "w_pa", "erro")
 
 

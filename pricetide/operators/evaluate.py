@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.functions import scalars as S
-from pricetide.operators.series import Ema, Layout, ema, halo_rows, home_rows, per_series, series, tail_rows
+from pricetide.operators.series import Ema, Layout, carry_in, ema, filled, halo_rows, home_rows, per_series, series, tail_rows
 from pricetide.schemas import MEMBERS
 
 
@@ -156,15 +158,27 @@ def member_weights(
     what the forecast made at that moment used.
     """
     errors = member_errors(rows)
-    # An average moves only when its member has an error, so each one runs over its own rows.
-    complete = errors.dropna("any", subset=[f"err_{m}" for m in MEMBERS])
-    df, cut = series(complete, layout, back=max(halo_rows([alpha], layout.sub_rows), 1))
-    df = ema(df, cut, {f"mae_{m}": Ema(f"err_{m}", alpha, seed=seed) for m in MEMBERS})
+    key, order = layout.key, list(layout.order)
+    # A member's average moves only when that member has an error, so each runs over rows of its own.
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("_member"), F.col(f"err_{m}").alias("_err")) for m in MEMBERS]))
+    single = errors.select(key, *order, each.alias("_e")).select(
+        F.concat_ws("\x01", key, "_e._member").alias("_line"), F.col(key), F.col("_e._member").alias("_member"), *order, F.col("_e._err").alias("_err")
+    )
+    own = replace(layout, key="_line")
+    df, cut = series(single.where(F.col("_err").isNotNull()), own, back=max(halo_rows([alpha], layout.sub_rows), 1))
+    df = home_rows(ema(df, cut, {"_mean": Ema("_err", alpha, seed=seed)}))
+    means = df.groupBy(key, *order).pivot("_member", list(MEMBERS)).agg(F.first("_mean"))
+    # Rows where a member has no error carry its newest mean; rows equal in key and order share it.
+    joined = errors.join(means.withColumnsRenamed({m: f"_mean_{m}" for m in MEMBERS}), [key, *order], "left")
+    df, cut = series(joined, layout, back=1)
+    df = carry_in(df, cut, {f"_before_{m}": ("last", F.col(f"_mean_{m}")) for m in MEMBERS})
+    latest = {f"mae_{m}": filled(cut, F.col(f"_mean_{m}"), f"_before_{m}") for m in MEMBERS}
+    df = df.withColumns({name: F.coalesce(value, F.lit(seed)) for name, value in latest.items()})
     if not after_update:
         df = df.withColumns({f"_was_{m}": F.lag(f"mae_{m}").over(cut.rows()) for m in MEMBERS})
         df = df.withColumns({f"mae_{m}": F.coalesce(f"_was_{m}", F.lit(seed)) for m in MEMBERS})
-        df = df.drop(*[f"_was_{m}" for m in MEMBERS])
-    return weights_from(home_rows(df), eps)
+    kept = home_rows(df).select(*errors.columns, "gi", *[f"mae_{m}" for m in MEMBERS])
+    return weights_from(kept, eps)
 
 
 def weights_from(df: DataFrame, eps: float) -> DataFrame:
@@ -189,9 +203,9 @@ def delayed_labels(bars: DataFrame, horizon: str = "30 minutes", limit: float =
     return older.join(later, ["symbol", "minute"]).withColumn("y_label", label)
 
 
-def components(rows: DataFrame, n: int = 200) -> DataFrame:
-    """The newest forecasts with members, weights and errors."""
+def components(rows: DataFrame, layout: Layout = Layout(order=("target",)), n: int = 200) -> DataFrame:
+    """The newest ``n`` forecasts of every symbol with members, weights and errors."""
     wanted = ["symbol", "target", "price_real", "y_hat"]
     wanted += [f"y_hat_{m}" for m in MEMBERS] + [f"w_{m}" for m in MEMBERS] + ["erro", "acerto_dir"]
     have = [c for c in wanted if c in rows.columns]
-    return rows.select(*have).orderBy(F.desc("target"), "symbol").limit(n)
+    return tail_rows(rows, layout, n).select(*have)

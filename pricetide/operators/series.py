@@ -127,13 +127,9 @@ def _fade_subs(alpha: float, sub_rows: int) -> int:
     return math.ceil(FADE / (sub_rows * -math.log1p(-alpha)))
 
 
-def sub_rows_for(alphas: Sequence[float], default: int = 640) -> int:
-    """The closed form scales by q**-k, which must not overflow inside one block."""
-    limit = default
-    for a in alphas:
-        if a < 1.0:
-            limit = min(limit, int(MAX_EXPONENT / -math.log1p(-a)))
-    return max(limit, 1)
+def _overflows(alpha: float, sub_rows: int) -> bool:
+    """Does q**-k leave the range of a double inside one block?"""
+    return alpha < 1.0 and sub_rows * -math.log1p(-alpha) > MAX_EXPONENT
 
 
 def chunk(indexed: DataFrame, layout: Layout, back: int = 0, ahead: int = 0) -> tuple[DataFrame, Layout]:
@@ -197,6 +193,11 @@ def _powers(q: float, n: int, sign: int = 1) -> Column:
     return F.from_json(F.lit(json.dumps([q ** (sign * k) for k in range(n + 1)])), "array<double>")
 
 
+def _faded(values: Column, q: float) -> Column:
+    """Sum of an array, the last element whole and each earlier one q times less."""
+    return F.aggregate(values, F.lit(0.0), lambda total, x: total * q + x)
+
+
 def ema(
     df: DataFrame,
     layout: Layout,
@@ -208,11 +209,13 @@ def ema(
     With q = 1-alpha and k the position in a block, the block's own part is
     ``q**k * sum(u_j * q**-j)``; earlier blocks add ``q**(k+1)`` times their end value, and only as
     many of them count as the fade allows. ``x`` must not be NULL from row ``first`` on.
+    An average that forgets so fast that q**-j overflows in a block needs a few dozen rows only, and is
+    summed over those directly.
     ``alongside`` are further columns over ``layout.rows()`` that ride in the same window pass.
     """
     size = layout.sub_rows
     k = (F.col("gi") % size).cast("int")
-    local, result = {}, {}
+    local, result, short = {}, {}, {}
     for name, s in specs.items():
         q = 1.0 - s.alpha
         x = F.col(s.x)
@@ -224,14 +227,18 @@ def ema(
         else:
             u = F.when(F.col("gi") == s.first, x).otherwise(u)
         u = F.when(F.col("gi") >= s.first, u).otherwise(F.lit(0.0))
+        if _overflows(s.alpha, size):
+            newest = F.collect_list(u).over(layout.last(math.ceil(FADE / -math.log1p(-s.alpha)) + 1))
+            short[name] = _faded(newest, q)
+            continue
         local[f"_sum_{name}"] = F.sum(u * F.get(_powers(q, size, -1), k)).over(layout.in_sub())
     out = df.withColumns(local) if local else df
-    powers = {name: _powers(1.0 - s.alpha, size) for name, s in specs.items() if s.alpha < 1.0}
+    powers = {name: _powers(1.0 - s.alpha, size) for name, s in specs.items() if s.alpha < 1.0 and name not in short}
     out = out.withColumns({f"_loc_{name}": F.col(f"_sum_{name}") * F.get(powers[name], k) for name in powers})
 
     # The end value of the block before is the newest value seen on a block's last row; taking that
     # of the block before as the value, too, goes back block by block.
-    reach = {name: _fade_subs(s.alpha, size) for name, s in specs.items()}
+    reach = {name: _fade_subs(s.alpha, size) if name in powers else 0 for name, s in specs.items()}
     depth = max(reach.values(), default=0)
     is_last = k == size - 1
     before = layout.rows().rowsBetween(Window.unboundedPreceding, -1)
@@ -245,6 +252,9 @@ def ema(
                 ends.append(f"_end{m}_{name}")
         out = out.withColumns(step) if step else out
     for name, s in specs.items():
+        if name in short:
+            result[name] = F.when(F.col("gi") >= s.first, short[name])
+            continue
         if name not in powers:
             result[name] = F.when(F.col("gi") >= s.first, F.col(s.x))
             continue
@@ -323,8 +333,9 @@ def filled(layout: Layout, expr: Column, carry: str) -> Column:
 def tail_rows(df: DataFrame, layout: Layout, n: int) -> DataFrame:
     """The newest ``n`` rows of every series.
 
-    Counting per time cell finds the oldest cell that can matter, so the ranking window sees ``n``
-    rows and one cell per symbol, not ``n`` rows from every input task.
+    Counting per time cell (of the key and the time alone) finds the oldest cell that can matter, so the ranking
+    window sees ``n`` rows and one cell per symbol, not ``n`` rows from every input task, and the scan of all
+    columns begins at the oldest such cell of any symbol: a literal, which prunes files and row groups.
     """
     key = layout.key
     celled = df.withColumn("_cell", _cell(layout))
@@ -336,9 +347,18 @@ def tail_rows(df: DataFrame, layout: Layout, n: int) -> DataFrame:
         .groupBy(key)
         .agg(F.min("_cell").alias("_oldest"))
     )
+    oldest = per_series(oldest, "oldest")
+    # One number for all series: nothing older than this is read again.
+    start = oldest.agg(F.min("_oldest")).first()[0]
+    if start is None:
+        return df.limit(0)
+    time = layout.order[0]
+    since = F.timestamp_seconds(F.lit(start * layout.cell_seconds)).cast(df.schema[time].dataType)
     newest_first = Window.partitionBy(key).orderBy(*[F.desc(c) for c in layout.order])
     return (
-        celled.join(per_series(oldest, "oldest"), key)
+        df.where(F.col(time) >= since)
+        .withColumn("_cell", _cell(layout))
+        .join(oldest, key)
         .where(F.col("_cell") >= F.col("_oldest"))
         .withColumn("_rn", F.row_number().over(newest_first))
         .where(F.col("_rn") <= n)

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from pricetide.operators.series import Layout, home_rows, per_series, series
 from pricetide.sources.readers import numeric_columns
 
-MAX_CORRELATED = 30
-
 
 def with_targets(df: DataFrame, layout: Layout, null_as_zero: bool = False) -> DataFrame:
     """Add what is missing of ``target_pct`` (next row's return) and ``target_bin`` (is it positive)."""
@@ -29,8 +27,8 @@ def with_targets(df: DataFrame, layout: Layout, null_as_zero: bool = False) -> D
 
 
 def default_columns(df: DataFrame) -> list[str]:
-    """Numeric columns in name order without the targets, the first thirty."""
-    return sorted(numeric_columns(df, exclude=("target_bin", "target_pct")))[:MAX_CORRELATED]
+    """Numeric columns in name order without the targets."""
+    return sorted(numeric_columns(df, exclude=("target_bin", "target_pct")))
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 2) -> DataFrame:

@@ -19,7 +19,6 @@ from pricetide.operators.series import (
     pick_cell_seconds,
     series,
     span_alpha,
-    sub_rows_for,
     tail_rows,
 )
 from pricetide.plans.features import FEATURES, ONE_MINUTE, THIRTY_MINUTES, feature_matrix
@@ -168,13 +167,22 @@ def test_zero_prices_and_volumes(spark):
 
 def test_slow_average_needs_several_blocks(spark):
     pdf = walk(6000)
-    cut = Layout(chunk_rows=64, sub_rows=sub_rows_for([span_alpha(2), span_alpha(400)], 256))
+    cut = Layout(chunk_rows=64, sub_rows=640)
     specs = {"quick": Ema("price", span_alpha(2)), "slow": Ema("price", span_alpha(400))}
+    # These forget within a block faster than a double can hold the inverse of.
+    specs |= {f"fast{a}": Ema("price", a) for a in (0.67, 0.7, 0.9, 0.999)} | {"late": Ema("price", 0.8, first=700)}
+    specs["fast_seeded"] = Ema("price", 0.9, seed=50.0)
     specs["seeded"] = Ema("price", 0.2, seed=0.01)
     df, cut = series(ticks_frame(spark, pdf), cut, back=halo_rows([s.alpha for s in specs.values()], cut.sub_rows))
     got = home_rows(ema(df, cut, specs)).toPandas().sort_values("gi")
     assert np.allclose(got["quick"], pdf.price.ewm(span=2, adjust=False).mean(), rtol=1e-12)
     assert np.allclose(got["slow"], pdf.price.ewm(span=400, adjust=False).mean(), rtol=1e-12)
+    for a in (0.67, 0.7, 0.9, 0.999):
+        assert np.allclose(got[f"fast{a}"], pdf.price.ewm(alpha=a, adjust=False).mean(), rtol=1e-12)
+    assert got["late"].isna().sum() == 700
+    assert np.allclose(got["late"].iloc[700:], pdf.price.iloc[700:].ewm(alpha=0.8, adjust=False).mean(), rtol=1e-12)
+    fast = pd.concat([pd.Series([50.0]), pdf.price]).ewm(alpha=0.9, adjust=False).mean().iloc[1:]
+    assert np.allclose(got["fast_seeded"], fast, rtol=1e-12)
     seeded = pd.concat([pd.Series([0.01]), pdf.price]).ewm(alpha=0.2, adjust=False).mean().iloc[1:]
     assert np.allclose(got["seeded"], seeded, rtol=1e-12)
 
