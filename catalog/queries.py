@@ -700,8 +700,8 @@ def q_posts_range(spark, sf_dir):
 
 @query
 def q_walkforward(spark, sf_dir):
-    """Errors of the 36 walk-forward runs of each symbol on its newest 12000 rows."""
-    features = feature_matrix(V.ticks(spark, sf_dir), ONE_MINUTE, TICK_LAYOUT, limit=12000)
+    """Errors of the 36 walk-forward runs of each symbol on all its rows."""
+    features = feature_matrix(V.ticks(spark, sf_dir), ONE_MINUTE, TICK_LAYOUT)
     return _r(L.walk_forward(features), 9, "mae")
 
 

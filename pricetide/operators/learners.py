@@ -75,8 +75,9 @@ MEMBER_RULES: dict[str, Callable[..., Update]] = {
 
 
 def finite(x) -> np.ndarray:
-    """Inputs as numbers: missing and infinite values become 0."""
-    return np.nan_to_num(np.asarray(x, dtype=float), nan=0.0, posinf=0.0, neginf=0.0)
+    """Inputs as numbers: what is no finite number becomes 0."""
+    values = np.asarray(x, dtype=float)
+    return np.where(np.isfinite(values), values, 0.0)
 
 
 class Learner:
@@ -133,3 +134,58 @@ class Learner:
     def load(self, state: list) -> None:
         self.steps, self.seen = int(state[0]), float(state[1])
         self.w, self.mean, self.spread = (np.asarray(v, dtype=float) for v in state[2:])
+
+
+class Panel:
+    """Members of several settings over the same rows: one scaler, one matrix of weights.
+
+    A line of the matrix is one member of one setting, and every step moves all lines at once. Each line ends
+    up as a ``Learner`` of its own would.
+    """
+
+    def __init__(self, settings: list[Mapping[str, Mapping[str, float]]], size: int):
+        self.lines = [(s, m) for s in range(len(settings)) for m in MEMBER_RULES if m in settings[s]]
+        value = lambda k, missing: np.array([settings[s][m].get(k, missing) for s, m in self.lines], dtype=float)
+        kind = np.array([m for _, m in self.lines])
+        self.passive = kind == "pa"
+        self.bound = np.where(kind == "sgd", value("epsilon", np.inf), np.inf)
+        alpha = np.where(self.passive, 1.0, value("alpha", 1.0))
+        self.alpha, self.first = alpha, 1.0 / (alpha * np.sqrt(1.0 / np.sqrt(alpha)))
+        self.most = value("C", 0.0)
+        self.w = np.zeros((len(self.lines), size + 1))
+        self.steps = 0
+        self.seen, self.mean, self.spread = 0.0, np.zeros(size), np.zeros(size)
+
+    def observe(self, x: np.ndarray) -> None:
+        """Show the scaler a row."""
+        self.seen += 1.0
+        gap = x - self.mean
+        self.mean = self.mean + gap / self.seen
+        self.spread = self.spread + gap * (x - self.mean)
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        deviation = np.sqrt(self.spread / max(self.seen, 1.0))
+        deviation[deviation == 0.0] = 1.0
+        return (x - self.mean) / deviation
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """One forecast per line."""
+        return self.w[:, :-1] @ self.scaled(x) + self.w[:, -1]
+
+    def learn(self, z: np.ndarray, y: float) -> None:
+        """One step on a scaled row."""
+        miss = y - (self.w[:, :-1] @ z + self.w[:, -1])
+        rate = 1.0 / (self.alpha * (self.first + self.steps))
+        pull = np.clip(np.clip(-miss, -self.bound, self.bound), -GRADIENT_LIMIT, GRADIENT_LIMIT)
+        size = float(z @ z)
+        excess = np.abs(miss) - PA_TOLERANCE
+        step = np.copysign(np.minimum(self.most, excess / size), miss) * (excess > 0.0) if size > 0.0 else np.zeros(len(miss))
+        move = np.where(self.passive, step, -rate * pull)
+        self.w[:, :-1] *= np.where(self.passive, 1.0, np.maximum(0.0, 1.0 - rate * self.alpha))[:, None]
+        self.w[:, :-1] += move[:, None] * z
+        self.w[:, -1] += move
+        self.steps += 1
+
+    def update(self, x: np.ndarray, y: float) -> None:
+        self.observe(x)
+        self.learn(self.scaled(x), y)

@@ -1,22 +1,22 @@
 """Batch learning jobs: replay of the forecasting loop, and walk-forward calibration.
 
-A group is one symbol (replay) or one symbol, setting, fold and member (calibration). Learning is
-sequential inside a group, so these jobs scale with the number of groups and not within one; the
-row limit of the feature matrix bounds what a group holds.
+A group is one symbol (replay) or one symbol and fold (calibration). Learning is sequential inside a group,
+so these jobs scale with the number of groups and not within one. A replay holds the rows its loop is limited
+to; calibration takes all rows and streams them.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetide.operators.learners import DEFAULTS, Learner, finite
+from pricetide.operators.learners import DEFAULTS, Panel
 from pricetide.operators.online import ForecastLoop, LoopSpec
 from pricetide.operators.series import Layout, per_series
 from pricetide.plans.features import FEATURES, ONE_MINUTE, FeatureSpec, feature_matrix
@@ -102,17 +102,37 @@ class Folds:
     def numbers(self) -> Sequence[int]:
         return range(1, self.count + 1) if self.first is None else (1,)
 
-    def bounds(self, fold: int, n: int) -> tuple[int, int]:
+    def columns(self, fold: int, n: Column) -> tuple[Column, Column]:
+        """First forecast row and the row after the last, given the number of rows."""
         if self.first is not None:
-            return self.first, n
-        step = n // (self.count + 1)
-        return fold * step, fold * step + step
+            return F.lit(self.first), n
+        step = F.floor(n / F.lit(self.count + 1))
+        return fold * step, (fold + 1) * step
 
 
+# Rows that the light calibration reads and scores.
+LIGHT_SOURCE = 8000
+LIGHT_ROWS = 2500
+# Row numbers that are ranked together.
+CELL = 100_000
 FULL = Folds()
 LIGHT = Folds(first=300)
 
 
+def positions(rows: DataFrame, key: str, by: str) -> DataFrame:
+    """``pos``: the rank from 0 of each row of its ``key`` by the number ``by``.
+
+    Ranks within cells of CELL numbers and the counts of earlier cells: no window holds a whole key.
+    """
+    celled = rows.withColumn("_cell", F.floor(F.col(by) / CELL))
+    counts = celled.groupBy(key, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(key, "_cell", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy(key, "_cell").orderBy(by)) - 1
+    ranked = celled.withColumn("_own", own).join(starts, [key, "_cell"])
+    return ranked.withColumn("pos", F.col("_start") + F.col("_own")).drop("_cell", "_own", "_start")
+
+
 def walk_forward(
     features: DataFrame,
     grid: Sequence[Mapping] = GRID,
@@ -122,49 +142,69 @@ def walk_forward(
     target_offset: int = 0,
     spec: FeatureSpec = ONE_MINUTE,
     key: str = "symbol",
+    columns: Sequence[str] = FEATURES,
+    learn_first: bool = False,
 ) -> DataFrame:
-    """Mean absolute error of the averaged members per (symbol, setting, fold).
+    """Mean absolute error of the averaged members per (symbol, setting, fold), over all rows.
+
+    A row is forecast before it is learnt and compared with its own target; ``target_offset=1`` compares with
+    the target of the row after instead, ``learn_first`` learns it before its forecast. ``max_rows`` takes the
+    newest rows only, for calibrations that are defined so.
 
-    A row is forecast before it is learnt and compared with its own target; ``target_offset=1``
-    compares with the target of the row after instead. Every (setting, fold, member) of a symbol is
-    a task of its own.
+    A row goes to the folds that read it, once each. A (symbol, fold) is one group whose rows stream through in
+    order: what it holds is a batch and the weights of all settings and members. A fold's first part comes twice, for
+    the scaler and then to be learnt, so that the sums have one order on every run: a member whose steps are
+    too long for its inputs turns the last bit of a mean into another forecast.
     """
-    runs = [(h, f, m) for h in range(len(grid)) for f in folds.numbers() for m in MEMBERS]
-    structs = [
-        F.struct(F.lit(h).alias("hp_id"), F.lit(f).alias("fold"), F.lit(m).alias("member")) for h, f, m in runs
-    ]
-    settings = [dict(g) for g in grid]
-    limit, names, target = spec.target_clip, list(FEATURES), spec.target
-    out_columns = ["symbol", "hp_id", "fold", "pos", "pred", "y"]
-
-    def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        symbol, hp, fold, member = group
-        if len(pdf) < min_rows:
-            return pd.DataFrame(columns=out_columns)
-        pdf = pdf.sort_values("gi")
-        if max_rows is not None:
-            pdf = pdf.tail(max_rows)
-        x, y = finite(pdf[names]), pdf[target].to_numpy(float)
-        split, end = folds.bounds(int(fold), len(y))
-        learner = Learner(member, settings[int(hp)][member], len(names))
-        learner.fit(x[:split], y[:split])
-        made = np.empty(max(end - split, 0))
-        for i in range(split, end):
-            made[i - split] = min(max(learner.predict(x[i]), -limit), limit)
-            learner.update(x[i], y[i])
-        scored = len(made) - target_offset
-        out = pd.DataFrame({"pos": np.arange(split, split + scored), "pred": made[:scored]})
-        out["y"] = y[split + target_offset : end]
-        return out.assign(symbol=symbol, hp_id=hp, fold=fold)[out_columns]
-
-    spread = features.select(key, "gi", *names, target).withColumn("_run", F.explode(F.array(*structs))).select(
-        key, "gi", *names, target, "_run.hp_id", "_run.fold", "_run.member"
-    )
-    preds = spread.groupBy(key, "hp_id", "fold", "member").applyInPandas(
-        run, "symbol string, hp_id int, fold int, pos long, pred double, y double"
-    )
-    mean = preds.groupBy("symbol", "hp_id", "fold", "pos").agg(F.avg("pred").alias("p"), F.min("y").alias("y"))
-    return mean.groupBy("symbol", "hp_id", "fold").agg(F.avg(F.abs(F.col("p") - F.col("y"))).alias("mae"))
+    names, target = list(columns), spec.target
+    settings, limit = [dict(g) for g in grid], spec.target_clip
+    finite_x = [F.coalesce(F.when(F.abs(F.col(c)) < float("inf"), F.col(c)), F.lit(0.0)).cast("double").alias(c) for c in names]
+    ranked = positions(features.select(key, "gi", *finite_x, F.col(target).cast("double").alias("_y")), key, "gi")
+    totals = per_series(features.groupBy(key).agg(F.count(F.lit(1)).alias("_all")), "walk-rows").where(F.col("_all") >= min_rows)
+    n = F.col("_all") if max_rows is None else F.least(F.col("_all"), F.lit(max_rows))
+    place = ranked.join(totals, key).withColumn("_n", n).withColumn("pos", F.col("pos") - (F.col("_all") - F.col("_n"))).where("pos >= 0")
+    bounds = [F.struct(F.lit(f).alias("fold"), *(x.cast("long").alias(c) for x, c in zip(folds.columns(f, F.col("_n")), ("split", "end"), strict=True))) for f in folds.numbers()]
+    spread = place.withColumn("_f", F.explode(F.array(*bounds))).select(key, "_f.*", "pos", *names, "_y").where("pos < end")
+    # The first part comes twice: once for the scaler, once to be learnt with it.
+    turns = F.when(F.col("pos") < F.col("split"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    twice = spread.withColumn("turn", F.explode(turns))
+    ordered = twice.repartition(key, "fold").sortWithinPartitions(key, "fold", "turn", "pos")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        panel = Panel(settings, len(names))
+        last = (0, -1)
+        waiting = None  # the forecasts of a row that are compared with the next target
+        error, scored = np.zeros(len(settings)), 0
+        line = np.array([s for s, _ in panel.lines])
+        members = np.bincount(line, minlength=len(settings))
+        symbol = fold = None
+        for pdf in frames:
+            symbol, fold = pdf[key].iloc[0], pdf["fold"].iloc[0]
+            x, y = pdf[names].to_numpy(float), pdf["_y"].to_numpy(float)
+            for i, (turn, pos, split) in enumerate(zip(*(pdf[c].tolist() for c in ("turn", "pos", "split")), strict=True)):
+                if (turn, pos) <= last:
+                    raise ValueError("rows of a group are not in order")
+                last = (turn, pos)
+                if turn == 0:
+                    panel.observe(x[i])
+                elif pos < split:
+                    panel.learn(panel.scaled(x[i]), y[i])
+                else:
+                    if learn_first:
+                        panel.update(x[i], y[i])
+                    made = np.clip(panel.predict(x[i]), -limit, limit)
+                    made = np.bincount(line, made, len(settings)) / members
+                    if not learn_first:
+                        panel.update(x[i], y[i])
+                    if target_offset:
+                        made, waiting = waiting, made
+                    if made is not None:
+                        error += np.abs(made - y[i])
+                        scored += 1
+        if scored:
+            yield pd.DataFrame({"symbol": symbol, "hp_id": np.arange(len(settings)), "fold": fold, "mae": error / scored})
+
+    return ordered.groupBy(key, "fold").applyInPandas(run, "symbol string, hp_id int, fold int, mae double")
 
 
 def grid_winner(fold_errors: DataFrame) -> DataFrame:
@@ -194,11 +234,13 @@ def tuned_settings(meta: DataFrame) -> DataFrame:
     return found.where(F.col("hps.pa").isNotNull())
 
 
-def calibrate(ticks: DataFrame, layout: Layout = Layout(), light: bool = False, max_rows: int = 12000) -> DataFrame:
-    """Feature matrix of the newest rows, walk-forward errors, winner per symbol."""
-    features = feature_matrix(ticks, ONE_MINUTE, layout, limit=max_rows)
-    if light:
-        errors = walk_forward(features, GRID[:3], LIGHT, min_rows=400, max_rows=2500)
-    else:
-        errors = walk_forward(features)
-    return grid_winner(errors)
+def calibrate(ticks: DataFrame, layout: Layout = Layout(), light: bool = False) -> DataFrame:
+    """Walk-forward errors and the winner per symbol, over all rows.
+
+    The light calibration tries fewer settings on the newest LIGHT_ROWS rows of the features of the newest
+    LIGHT_SOURCE rows, and learns a row before it is forecast: that is what it is.
+    """
+    if not light:
+        return grid_winner(walk_forward(feature_matrix(ticks, ONE_MINUTE, layout)))
+    features = feature_matrix(ticks, ONE_MINUTE, layout, limit=LIGHT_SOURCE)
+    return grid_winner(walk_forward(features, GRID[:3], LIGHT, min_rows=400, max_rows=LIGHT_ROWS, learn_first=True))
