@@ -105,9 +105,11 @@ daily AS (
          sum(l_quantity) AS volume
   FROM lineitem GROUP BY 2)"""
 
+ASSETS = DAILY.replace("'goods' AS", "CASE l_returnflag WHEN 'A' THEN 'de' WHEN 'N' THEN 'en' ELSE 'fr' END AS").replace("GROUP BY 2", "GROUP BY 1, 2")
+
 FLAGS = """
 calendar AS (
-  SELECT CAST(o_orderdate AS DATE) AS data,
+  SELECT CASE o_orderstatus WHEN 'F' THEN 'de' WHEN 'O' THEN 'en' ELSE 'fr' END AS ativo, CAST(o_orderdate AS DATE) AS data,
          CASE o_orderpriority WHEN '1-URGENT' THEN 'halving' WHEN '2-HIGH' THEN 'fork' END AS evento
   FROM orders)"""
 
@@ -440,17 +442,17 @@ IND = [
 ]
 ORACLES["q_daily_indicators"] = f"""WITH RECURSIVE {DAILY}, {INDICATORS}
 SELECT symbol, d, gi, {rr(IND, 4)} FROM ind"""
-_FLAG = "CAST(EXISTS (SELECT 1 FROM calendar c WHERE c.data = {d} AND c.evento = '{k}') AS INT) AS evento_{k}"
-ORACLES["q_event_flags"] = f"""WITH {DAILY}, {FLAGS}
-SELECT d, {_FLAG.format(d='daily.d', k='halving')}, {_FLAG.format(d='daily.d', k='fork')} FROM daily"""
-ORACLES["q_daily_features"] = f"""WITH RECURSIVE {DAILY}, {FLAGS}, {SCORED}, {INDICATORS},
-sent AS (SELECT data - 10227 AS d, avg(sentimento) AS m FROM scored WHERE ativo = 'en' GROUP BY 1),
-st AS (SELECT avg(volume) AS mu, stddev_samp(volume) AS sd FROM daily)
+_FLAG = "CAST(EXISTS (SELECT 1 FROM calendar c WHERE c.ativo = {s} AND c.data = {d} AND c.evento = '{k}') AS INT) AS evento_{k}"
+ORACLES["q_event_flags"] = f"""WITH {ASSETS}, {FLAGS}
+SELECT symbol, d, {_FLAG.format(s='symbol', d='daily.d', k='halving')}, {_FLAG.format(s='symbol', d='daily.d', k='fork')} FROM daily"""
+ORACLES["q_daily_features"] = f"""WITH RECURSIVE {ASSETS}, {FLAGS}, {SCORED}, {INDICATORS},
+sent AS (SELECT ativo, data - 10227 AS d, avg(sentimento) AS m FROM scored GROUP BY 1, 2),
+st AS (SELECT symbol, avg(volume) AS mu, stddev_samp(volume) AS sd FROM daily GROUP BY 1)
 SELECT i.d, symbol, open, high, low, close, volume, {rr(IND, 4)},
        {r('CASE WHEN sd > 0 THEN (volume - mu) / sd ELSE 0.0 END', 4)} AS volume_norm,
-       {_FLAG.format(d='i.d', k='halving')}, {_FLAG.format(d='i.d', k='fork')},
+       {_FLAG.format(s='i.symbol', d='i.d', k='halving')}, {_FLAG.format(s='i.symbol', d='i.d', k='fork')},
        {r('coalesce(m, 0.0)', 4)} AS media_sentimento
-FROM ind i CROSS JOIN st LEFT JOIN sent ON sent.d = i.d WHERE gi >= 33"""
+FROM ind i JOIN st USING (symbol) LEFT JOIN sent ON sent.ativo = i.symbol AND sent.d = i.d WHERE gi >= 33"""
 ORACLES["q_asset_calendar"] = """SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'halving' WHEN '2-HIGH' THEN 'fork'
        ELSE o_orderpriority END AS evento, count(*) AS n, CAST(min(o_orderdate) AS DATE) AS first_date
 FROM orders GROUP BY 1"""

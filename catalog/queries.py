@@ -456,8 +456,8 @@ def q_backtest_recent(spark, sf_dir):
 
 
 def _daily_sentiment(spark, sf_dir):
-    """Daily means of one language's posts, moved to the first months of the daily series."""
-    means = P.daily_means(_scored_posts(spark, sf_dir)).where("ativo = 'en'")
+    """Daily means of each asset's posts, moved to the first months of the daily series."""
+    means = P.daily_means(_scored_posts(spark, sf_dir))
     first = F.date_add("data", -10227)
     return means.withColumn("data", first)
 
@@ -469,7 +469,7 @@ def _scored_posts(spark, sf_dir):
 
 def _daily_features(spark, sf_dir):
     return D.daily_features(
-        V.daily(spark, sf_dir), V.calendar(spark, sf_dir), _daily_sentiment(spark, sf_dir)
+        V.asset_daily(spark, sf_dir), V.asset_calendar(spark, sf_dir), _daily_sentiment(spark, sf_dir)
     )
 
 
@@ -494,8 +494,8 @@ def q_asset_calendar(spark, sf_dir):
 
 @query
 def q_event_flags(spark, sf_dir):
-    days = V.daily(spark, sf_dir).select("d")
-    return P.with_event_flags(days, V.calendar(spark, sf_dir), "d", D.KINDS)
+    days = V.asset_daily(spark, sf_dir).select("symbol", "d")
+    return P.with_event_flags(days, V.asset_calendar(spark, sf_dir), "d", D.KINDS)
 
 
 @query

@@ -6,7 +6,7 @@ volume is the ``k`` of the JSON properties. Times are UTC.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricetide.functions import scalars as S
@@ -101,13 +101,29 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily open, high, low, close, volume of the shipped goods: one series."""
+# Three assets named like languages of posts, by return flag of a line and status of an order.
+def _asset(column: str, first: str, second: str) -> Column:
+    return F.when(F.col(column) == first, "de").when(F.col(column) == second, "en").otherwise("fr")
+
+
+def asset_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily open, high, low, close, volume of three assets."""
+    return daily(spark, sf_dir, _asset("l_returnflag", "A", "N"))
+
+
+def asset_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dated events of three assets."""
+    return calendar(spark, sf_dir, _asset("o_orderstatus", "F", "O"))
+
+
+def daily(spark: SparkSession, sf_dir: str, symbol: Column | None = None) -> DataFrame:
+    """Daily open, high, low, close, volume of the shipped goods: one series, or one per ``symbol``."""
+    symbol = F.lit("goods") if symbol is None else symbol
     order = F.struct("l_orderkey", "l_linenumber", "l_extendedprice")
     price = F.col("l_extendedprice")
     return (
         table(spark, sf_dir, "lineitem")
-        .groupBy(F.to_date("l_shipdate").alias("d"))
+        .groupBy(symbol.alias("symbol"), F.to_date("l_shipdate").alias("d"))
         .agg(
             F.min_by(price, order).alias("open"),
             F.max(price).alias("high"),
@@ -115,11 +131,10 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.max_by(price, order).alias("close"),
             F.sum("l_quantity").alias("volume"),
         )
-        .withColumn("symbol", F.lit("goods"))
     )
 
 
-def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+def calendar(spark: SparkSession, sf_dir: str, asset: Column | None = None) -> DataFrame:
     """Dated events: two order priorities stand for the two event kinds, the others are other kinds."""
     kind = (
         F.when(F.col("o_orderpriority") == "1-URGENT", "halving")
@@ -127,7 +142,7 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("o_orderpriority"))
     )
     return table(spark, sf_dir, "orders").select(
-        F.lit("goods").alias("ativo"), F.to_date("o_orderdate").alias("data"), kind.alias("evento")
+        (F.lit("goods") if asset is None else asset).alias("ativo"), F.to_date("o_orderdate").alias("data"), kind.alias("evento")
     )
 
 

@@ -31,19 +31,19 @@ def with_text_key(posts: DataFrame, text: str) -> DataFrame:
     return posts.withColumn("text_key", F.sha2(F.col(text), 256))
 
 
-def with_daily_sentiment(df: DataFrame, means: DataFrame, day: str) -> DataFrame:
-    """Attach the mean of the day, 0 on days without posts; ``means`` has one row per day."""
-    by_day = means.select(F.to_date("data").alias(day), "media_sentimento")
-    joined = df.join(by_day, day, "left")
+def with_daily_sentiment(df: DataFrame, means: DataFrame, day: str, key: str = "symbol") -> DataFrame:
+    """Attach the mean of the asset's day, 0 on days without posts; ``means`` has one row per asset and day."""
+    by_day = means.select(F.col("ativo").alias(key), F.to_date("data").alias(day), "media_sentimento")
+    joined = df.join(by_day, [key, day], "left")
     return joined.withColumn("media_sentimento", F.coalesce("media_sentimento", F.lit(0.0)))
 
 
-def with_event_flags(df: DataFrame, calendar: DataFrame, day: str, kinds: Sequence[str]) -> DataFrame:
-    """One 0/1 column ``evento_<kind>`` per kind: does the calendar have it on that day.
+def with_event_flags(df: DataFrame, calendar: DataFrame, day: str, kinds: Sequence[str], key: str = "symbol") -> DataFrame:
+    """One 0/1 column ``evento_<kind>`` per kind: does the calendar have it for the asset on that day.
 
-    One row per date is left after the aggregation, so the join never multiplies rows.
+    One row per asset and date is left after the aggregation, so the join never multiplies rows.
     """
     flags = [F.max((F.col("evento") == k).cast("int")).alias(f"evento_{k}") for k in kinds]
-    dates = calendar.groupBy(F.to_date("data").alias(day)).agg(*flags)
-    joined = df.join(dates, day, "left")
+    dates = calendar.groupBy(F.col("ativo").alias(key), F.to_date("data").alias(day)).agg(*flags)
+    joined = df.join(dates, [key, day], "left")
     return joined.withColumns({f"evento_{k}": F.coalesce(f"evento_{k}", F.lit(0)) for k in kinds})

@@ -80,10 +80,11 @@ def daily_features(
 ) -> DataFrame:
     """Complete rows of the feature table.
 
-    ``calendar`` and ``sentiment`` are those of the asset; they may be empty, the columns stay.
+    Rows of ``calendar`` and ``sentiment`` count for the symbol they name as ``ativo``; both tables may be empty,
+    the columns stay.
     """
     require_columns(daily, REQUIRED)
     clean = daily.select(layout.key, *REQUIRED).dropna("any")
     df = zscore(daily_indicators(clean, layout), "volume", "volume_norm", layout.key)
-    df = with_daily_sentiment(with_event_flags(df, calendar, "d", KINDS), sentiment, "d")
+    df = with_daily_sentiment(with_event_flags(df, calendar, "d", KINDS, layout.key), sentiment, "d", layout.key)
     return df.drop("gi").dropna("any")

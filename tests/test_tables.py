@@ -188,13 +188,15 @@ def test_posts_and_polarity(spark):
 
 
 def test_flags_and_sentiment_do_not_multiply_rows(spark):
-    days = spark.createDataFrame([(dt.date(2024, 1, 1),), (dt.date(2024, 1, 2),)], "d date")
+    first, second = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    days = spark.createDataFrame([("x", first), ("x", second), ("y", first), ("y", second)], "symbol string, d date")
     events = [("x", dt.date(2024, 1, 1), "halving")] * 3 + [("x", dt.date(2024, 1, 1), "other")]
     flagged = P.with_event_flags(days, spark.createDataFrame(events, schemas.CALENDAR), "d", ["halving", "fork"])
-    assert [(r.evento_halving, r.evento_fork) for r in flagged.orderBy("d").collect()] == [(1, 0), (0, 0)]
-    means = spark.createDataFrame([("x", dt.date(2024, 1, 2), 0.25)], schemas.SENTIMENT)
-    got = P.with_daily_sentiment(days, means, "d").orderBy("d").collect()
-    assert [r.media_sentimento for r in got] == [0.0, 0.25]
+    flags = [(r.evento_halving, r.evento_fork) for r in flagged.orderBy("symbol", "d").collect()]
+    assert flags == [(1, 0), (0, 0), (0, 0), (0, 0)]
+    means = spark.createDataFrame([("x", second, 0.25), ("y", second, 0.5), ("z", first, 1.0)], schemas.SENTIMENT)
+    got = P.with_daily_sentiment(days, means, "d").orderBy("symbol", "d").collect()
+    assert [r.media_sentimento for r in got] == [0.0, 0.25, 0.0, 0.5]
 
 
 def daily_frame(n=120, seed=2):
