@@ -527,6 +527,7 @@ ORACLES["q_keep_first_posts"] = f"{KEYED} SELECT seq, ativo, data FROM (SELECT *
 ORACLES["q_upsert_latest"] = f"""WITH {PREDS}
 SELECT symbol, date_trunc('minute', target)::TIMESTAMP AS target, {r('y_hat + 1')} AS y_hat, 60 AS horizon_min,
        2 AS version FROM preds"""
+ORACLES["q_compact_log"] = ORACLES["q_upsert_latest"]
 ORACLES["q_meta_latest"] = """SELECT event_type || '_state' AS key, CAST(arg_max(props, ts)->>'$.k' AS BIGINT) AS k,
        arg_max(props, ts) AS text FROM events GROUP BY event_type"""
 ORACLES["q_schema_evolve"] = f"""WITH {PREDS}

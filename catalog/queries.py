@@ -622,6 +622,18 @@ def q_upsert_latest(spark, sf_dir):
     return _r(df, 6, "y_hat")
 
 
+@query
+def q_compact_log(spark, sf_dir):
+    """The same two versions as a stored log, compacted and read again."""
+    first = W.prepare_predictions(V.preds(spark, sf_dir), schemas.PREDICTIONS, 60)
+    path, out = scratch_path(spark, "log"), scratch_path(spark, "compacted")
+    W.upsert(first, path, ["symbol", "target"], 1, ["y_hat"])
+    W.upsert(first.withColumn("y_hat", F.col("y_hat") + 1.0), path, ["symbol", "target"], 2, ["y_hat"])
+    W.compact(spark, path, schemas.PREDICTIONS, ["symbol", "target"], out)
+    log = W.read_log(spark, out, schemas.PREDICTIONS)
+    return _r(log.select("symbol", "target", "y_hat", "horizon_min", W.VERSION), 6, "y_hat")
+
+
 @query
 def q_meta_latest(spark, sf_dir):
     """Two values per key; the newest is decoded, text that is no such JSON is kept as text."""

@@ -20,5 +20,5 @@ def bars(ticks: DataFrame, unit: str = "minute", seq: str = "seq") -> DataFrame:
 
 
 def newest(df: DataFrame, order: str, n: int) -> DataFrame:
-    """The ``n`` newest rows overall: a top-k, no global sort."""
-    return df.orderBy(F.desc(order)).limit(n)
+    """The ``n`` newest rows overall: a top-k, no global sort. Equal times are ordered by the other columns."""
+    return df.orderBy(F.desc(order), *[c for c in df.columns if c != order]).limit(n)

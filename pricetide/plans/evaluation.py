@@ -13,7 +13,7 @@ from pricetide.operators.sentiment import daily_means, polarity, with_text_key
 from pricetide.operators.series import Layout
 from pricetide.session import stage
 from pricetide.sources import tables as W
-from pricetide.sources.readers import keep_first, project_ticks, read_if_exists, read_table
+from pricetide.sources.readers import keep_first, project_ticks, read_if_exists
 
 TICK_KEY = ("symbol", "ts")
 
@@ -59,6 +59,8 @@ def evaluation(
     rows = E.evaluated(preds, minute)
     if hours is not None:
         rows = E.recent(rows, hours, layout)
+    # Every frame reads the joined rows from here.
+    rows = stage(rows, "evaluation")
     return {
         "rows": rows,
         "figures": E.kpis(rows),
@@ -82,5 +84,5 @@ def take_posts(posts: DataFrame, lexicon: DataFrame, path: str, means_path: str,
     scored = fresh.select(*keys, "texto_original").join(scores, keys).drop("text_key")
     W.conform(scored, schemas.POSTS).write.mode("append").partitionBy("data").parquet(path)
     touched = stage(posts.select("ativo", "data").distinct(), "touched")
-    everything = read_table(spark, path, schemas.POSTS).join(touched, ["ativo", "data"], "left_semi")
+    everything = _stored_days(spark, path, schemas.POSTS, "data", touched).join(touched, ["ativo", "data"], "left_semi")
     W.upsert(daily_means(everything), means_path, ["ativo", "data"], version, ["media_sentimento"])

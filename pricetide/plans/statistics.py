@@ -11,6 +11,7 @@ from pricetide.functions import scalars as S
 from pricetide.operators import evaluate as E
 from pricetide.operators import stats as X
 from pricetide.operators.series import Layout
+from pricetide.session import stage
 from pricetide.sources.readers import MissingColumns, between_days, normalize_columns
 
 
@@ -35,13 +36,14 @@ def statistics(
 ) -> dict[str, DataFrame]:
     """Every table of the statistics page for the days ``first``..``last`` (both included).
 
-    The frames are lazy and share the loaded table; ``price`` tables appear if there is a close or a
+    The loaded table is written to the shared folder once, the frames read it and are lazy; ``price`` tables appear if there is a close or a
     price, ``target`` tables if there is a return to derive it from.
     """
     table = load_table(df, layout)
     time, by = layout.order[0], [layout.key]
     if first is not None and last is not None:
         table = between_days(table, time, first, last)
+    table = stage(table, "statistics")
     out = {"bounds": X.bounds(table, time, by), "correlations": X.correlations(table, columns)}
     price = next((c for c in ("close", "price") if c in table.columns), None)
     if price is not None:

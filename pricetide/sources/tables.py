@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pricetide.session import stage
 from pricetide.sources.readers import keep_first, keep_last, read_if_exists
 
 VERSION = "version"
@@ -62,6 +63,17 @@ def upsert(df: DataFrame, path: str, keys: Sequence[str], version: int, order: S
     write_version(keep_last(whole, keys, order), path, version)
 
 
+def compact(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], out: str) -> None:
+    """A keyed log with the newest row of every key alone, as one version; reads of it give what the log gives.
+
+    Written beside the log, so that readers and a failed run keep the old one; the caller switches the path.
+    """
+    log = read_log(spark, path, schema)
+    version = log.agg(F.max(VERSION)).first()[0]
+    if version is not None:
+        write_version(latest(log, keys).drop(VERSION), out, version)
+
+
 def insert_if_absent(
     target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
@@ -81,7 +93,12 @@ def duplicates(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 def replace_table(
     df: DataFrame, path: str, unique: Sequence[str] = (), by: Sequence[str] = ()
 ) -> None:
-    """Overwrite a table, optionally after checking its key and partitioned by columns."""
+    """Overwrite a table, optionally after checking its key and partitioned by columns.
+
+    The new rows are written to the shared folder first: they are computed once, may come from the table
+    itself, and a write that fails can be repeated from there.
+    """
+    df = stage(df, "replacement")
     if unique:
         twice = df.groupBy(*unique).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
         if twice.head(1):
