@@ -21,6 +21,8 @@ TOKEN = r"[\p{L}\p{N}]+"
 # Which of the tokens of a window count, 1 or 0.
 MASKS = ("110110111011", "101111011101")
 SPAN = 12
+# Positions whose seeds are made together.
+BLOCK = 8
 MIN_TOKENS = 12
 MIN_SHARE = 0.8
 MISMATCH = 4
@@ -31,25 +33,38 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(f"({TOKEN})"))
 
 
-def _seeds(words: Column, short: list[int]) -> Column:
-    """array<struct<seed, at>> of a token array: all masks at all positions.
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    ``short`` are the lengths of test items with fewer than SPAN tokens; windows of those lengths are hashed whole.
-    """
-
-    def windows(hashed: Column) -> Column:
-        def at_each(length: int, chosen: list[int], kind: int) -> Column:
-            def one(i: Column) -> Column:
-                return F.struct(F.xxhash64(F.lit(kind), *[F.get(hashed, i + k) for k in chosen]).alias("seed"), i.alias("at"))
-
-            last = F.size(hashed) - length
-            return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), one)).otherwise(F.array().cast("array<struct<seed:bigint,at:int>>"))
 
-        masked = [at_each(SPAN, [k for k, c in enumerate(mask) if c == "1"], m) for m, mask in enumerate(MASKS)]
-        return F.concat(*masked, *[at_each(n, list(range(n)), 100 + n) for n in short])
+def _seeds(rows: DataFrame, keys: list[str], short: list[int]) -> DataFrame:
+    """``keys``, seed, at: all masks at all positions of the array column ``words``.
 
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    return F.get(F.transform(F.array(hashed), windows), F.lit(0))
+    Token hashes are cut into blocks of BLOCK positions, and the seeds of a block are expressions over its tokens, so
+    they are compiled and not interpreted element by element. ``short`` are the lengths of test items with
+    fewer than SPAN tokens; windows of those lengths are hashed whole.
+    """
+    width = BLOCK + SPAN - 1
+    hashed = F.transform("words", lambda w: F.xxhash64(w))
+
+    def cut(h: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0)), F.lit(BLOCK))
+        return F.transform(starts, lambda i: F.struct(i.alias("from"), F.slice(h, i + 1, F.lit(width)).alias("t")))
+
+    blocks = rows.select(*keys, F.explode(_let(hashed, cut)).alias("_b"))
+    blocks = blocks.select(*keys, F.col("_b.from").alias("_from"), *[F.get("_b.t", F.lit(k)).alias(f"_t{k}") for k in range(width)])
+    chosen = [[k for k, c in enumerate(mask) if c == "1"] for mask in MASKS]
+    whole = lambda p, n, seed: F.when(F.col(f"_t{p + n - 1}").isNotNull(), seed)
+    seeds = [whole(p, SPAN, F.xxhash64(F.lit(m), *[f"_t{p + k}" for k in ks])) for p in range(BLOCK) for m, ks in enumerate(chosen)]
+    found = [blocks.select(*keys, "_from", F.posexplode(F.array(*seeds)).alias("_p", "seed")).select(*keys, "seed", (F.col("_from") + F.floor(F.col("_p") / len(MASKS))).cast("int").alias("at"))]
+    for n in short:
+        of = [whole(p, n, F.xxhash64(F.lit(100 + n), *[f"_t{p + k}" for k in range(n)])) for p in range(BLOCK)]
+        found.append(blocks.select(*keys, "_from", F.posexplode(F.array(*of)).alias("_p", "seed")).select(*keys, "seed", (F.col("_from") + F.col("_p")).cast("int").alias("at")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out.where("seed is not null")
 
 
 def _overlap(mine: Column, item: Column, offset: Column) -> Column:
@@ -90,20 +105,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MOST_BROA
     )
     items = stage(items, "benchmark-tokens")
     short = sorted(r["n"] for r in items.select(F.size("item").alias("n")).where(F.col("n") < SPAN).distinct().collect())
-    seeds = items.select("item_id", F.xxhash64("item").alias("item_key"), F.explode(_seeds(F.col("item"), short)).alias("s"))
-    seeds = stage(seeds.select("item_id", "item_key", F.col("s.seed").alias("seed"), F.col("s.at").alias("item_at")), "benchmark-seeds")
+    keyed = items.withColumn("item_key", F.xxhash64("item"))
+    seeds = _seeds(keyed.withColumnRenamed("item", "words"), ["item_id", "item_key"], short)
+    seeds = stage(seeds.withColumnRenamed("at", "item_at"), "benchmark-seeds")
     few = seeds.count() <= most_broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     rows = rows.withColumn("key", F.xxhash64("text"))
-    found = rows.select("doc_id", "key", F.explode(_seeds(tokens(F.col("text")), short)).alias("s")).select("doc_id", "key", F.col("s.seed").alias("seed"), F.col("s.at").alias("at"))
+    found = _seeds(rows.select("doc_id", "key", tokens(F.col("text")).alias("words")), ["doc_id", "key"], short)
     hits = found.join(F.broadcast(seeds) if few else seeds, "seed")
     aligned = hits.select("doc_id", "key", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("offset")).distinct()
     # Written, so that the next join is planned on its size, and the texts are not hashed again.
     aligned = stage(aligned, "benchmark-alignments")
-    keyed = items.withColumn("item_key", F.xxhash64("item"))
     placed = aligned.join(F.broadcast(keyed) if few else keyed, ["item_id", "item_key"])
     same = placed["doc_id"].eqNullSafe(F.col("r.doc_id")) & (placed["key"] == F.col("r.key"))
-    checked = placed.join(rows.alias("r"), same).select(placed["doc_id"], placed["key"], "item_id", "offset", F.size("item").alias("item_tokens"), _overlap(tokens(F.col("r.text")), F.col("item"), F.col("offset")).alias("o"))
+    checked = placed.join(rows.alias("r"), same).select(placed["doc_id"], placed["key"], "item_id", "offset", F.size("item").alias("item_tokens"), _let(tokens(F.col("r.text")), lambda mine: _overlap(mine, F.col("item"), F.col("offset"))).alias("o"))
     enough = (F.col("o.best_equal") >= MIN_TOKENS) | (F.col("o.best_equal") >= MIN_SHARE * F.col("item_tokens"))
     best = F.max(F.struct(F.col("o.best_equal").alias("equal"), (-F.col("offset")).alias("back"), F.col("o.best_length").alias("length"), "item_tokens")).alias("b")
     return (
