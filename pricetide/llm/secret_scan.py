@@ -99,7 +99,8 @@ def with_features(found: DataFrame) -> DataFrame:
 
 def weak_labels(found: DataFrame) -> DataFrame:
     """``found`` (with features) and ``label``: 1.0 secret, 0.0 not, null unknown."""
-    spread = found.groupBy("candidate").agg(F.approx_count_distinct("before").alias("places"), F.max("named").alias("any_named"))
+    # Written first, so that Spark can split the tasks of a frequent candidate in the join.
+    spread = stage(found.groupBy("candidate").agg(F.approx_count_distinct("before").alias("places"), F.max("named").alias("any_named")), "secret-places")
     known = found.join(spread, "candidate")
     issued = F.col("candidate").rlike(ISSUERS)
     named = (F.col("named") > 0) & (F.col("assigned") > 0)
