@@ -556,3 +556,8 @@ SELECT feed, ativo, data, seq, length(texto) AS n_chars FROM p
 WHERE texto <> '' AND data BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'"""
 
 ORACLES["q_stream_bars"] = ORACLES["q_hour_bars"]
+ORACLES["q_stream_targets"] = f"""WITH {BASE},
+b AS (SELECT symbol, date_trunc('minute', ts)::TIMESTAMP AS minute, arg_max(price, row(ts, seq)) AS price
+      FROM base GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY minute) AS rn, max(minute) OVER () AS newest FROM b)
+SELECT symbol, minute + INTERVAL 1 MINUTE AS target, {r('price')} AS baseline FROM n WHERE rn >= 100 AND minute < newest"""

@@ -764,7 +764,10 @@ def q_stream_bars(spark, sf_dir):
 
 @query
 def q_stream_forecast(spark, sf_dir):
-    """Forecasts of the stateful stream over minute bars of the tick stream."""
+    """Forecasts of the stateful stream over closed minute bars of the tick stream.
+
+    The newest minute of the feed stays open: nothing later has closed it when the replay ends.
+    """
     loop = replace(ONE_MINUTE_LOOP, min_history=100)
     ticks = without_duplicates(_event_stream(spark, sf_dir))
     minute = stream_bars(ticks, "1 minute", watermark=None)
@@ -773,3 +776,9 @@ def q_stream_forecast(spark, sf_dir):
     sink = upsert_sink(out, ["symbol", "target"])
     start(forecast_stream(minute, loop, ONE_MINUTE), sink, state, every=None).awaitTermination()
     return W.latest(read_table(spark, out), ["symbol", "target"]).drop(W.VERSION)
+
+
+@query
+def q_stream_targets(spark, sf_dir):
+    """What the stateful stream forecasts, and from which price: every closed bar from the hundredth on."""
+    return _r(q_stream_forecast(spark, sf_dir).select("symbol", "target", "baseline"), 6, "baseline")
