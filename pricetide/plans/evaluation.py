@@ -11,7 +11,7 @@ from pricetide.operators import evaluate as E
 from pricetide.operators.bars import bars
 from pricetide.operators.sentiment import daily_means, polarity, with_text_key
 from pricetide.operators.series import Layout
-from pricetide.session import stage
+from pricetide.session import scratch, stage
 from pricetide.sources import tables as W
 from pricetide.sources.readers import keep_first, project_ticks, read_if_exists
 
@@ -34,9 +34,10 @@ def take_ticks(feed: DataFrame, path: str) -> None:
     """Append the feed's ticks whose (symbol, ts) the table does not hold yet."""
     batch = project_ticks(feed).withColumn("day", F.to_date("ts"))
     schema = T.StructType([*schemas.TICKS, T.StructField("day", T.DateType())])
-    stored = _stored_days(feed.sparkSession, path, schema, "day", batch)
-    fresh = W.insert_if_absent(stored, batch, TICK_KEY, ["price", "volume"])
-    fresh.write.mode("append").partitionBy("day").parquet(path)
+    with scratch(feed.sparkSession):
+        stored = _stored_days(feed.sparkSession, path, schema, "day", batch)
+        fresh = W.insert_if_absent(stored, batch, TICK_KEY, ["price", "volume"])
+        fresh.write.mode("append").partitionBy("day").parquet(path)
 
 
 def rewrite_unique(ticks: DataFrame, path: str, order: tuple[str, ...]) -> None:
@@ -78,11 +79,12 @@ def take_posts(posts: DataFrame, lexicon: DataFrame, path: str, means_path: str,
     """
     spark, keys = posts.sparkSession, ["ativo", "data", "text_key"]
     keyed = with_text_key(posts, "texto_original")
-    stored = with_text_key(_stored_days(spark, path, schemas.POSTS, "data", posts), "texto_original")
-    fresh = W.insert_if_absent(stored, keyed, keys, [seq])
-    scores = polarity(fresh, lexicon, "texto_original", keys)
-    scored = fresh.select(*keys, "texto_original").join(scores, keys).drop("text_key")
-    W.conform(scored, schemas.POSTS).write.mode("append").partitionBy("data").parquet(path)
-    touched = stage(posts.select("ativo", "data").distinct(), "touched")
-    everything = _stored_days(spark, path, schemas.POSTS, "data", touched).join(touched, ["ativo", "data"], "left_semi")
-    W.upsert(daily_means(everything), means_path, ["ativo", "data"], version, ["media_sentimento"])
+    with scratch(spark):
+        stored = with_text_key(_stored_days(spark, path, schemas.POSTS, "data", posts), "texto_original")
+        fresh = W.insert_if_absent(stored, keyed, keys, [seq])
+        scores = polarity(fresh, lexicon, "texto_original", keys)
+        scored = fresh.select(*keys, "texto_original").join(scores, keys).drop("text_key")
+        W.conform(scored, schemas.POSTS).write.mode("append").partitionBy("data").parquet(path)
+        touched = stage(posts.select("ativo", "data").distinct(), "touched")
+        everything = _stored_days(spark, path, schemas.POSTS, "data", touched).join(touched, ["ativo", "data"], "left_semi")
+        W.upsert(daily_means(everything), means_path, ["ativo", "data"], version, ["media_sentimento"])

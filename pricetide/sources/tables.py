@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricetide.session import stage
+from pricetide.session import scratch, stage
 from pricetide.sources.readers import keep_first, keep_last, read_if_exists
 
 VERSION = "version"
@@ -95,16 +95,17 @@ def replace_table(
 ) -> None:
     """Overwrite a table, optionally after checking its key and partitioned by columns.
 
-    The new rows are written to the shared folder first: they are computed once, may come from the table
-    itself, and a write that fails can be repeated from there.
+    The new rows are written to the shared folder first, so they are computed once and may come from the table
+    itself.
     """
-    df = stage(df, "replacement")
-    if unique:
-        twice = df.groupBy(*unique).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        if twice.head(1):
-            raise DuplicateKeys(f"{path}: rows repeat on {list(unique)}")
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
+    with scratch(df.sparkSession):
+        df = stage(df, "replacement")
+        if unique:
+            twice = df.groupBy(*unique).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+            if twice.head(1):
+                raise DuplicateKeys(f"{path}: rows repeat on {list(unique)}")
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
 def write_history(df: DataFrame, path: str, day: str) -> None:

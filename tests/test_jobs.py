@@ -1,16 +1,18 @@
 """The batch jobs end to end over stored tables."""
 
 import datetime as dt
+import os
 
 import numpy as np
+import pytest
 from conftest import ticks_frame, walk
 from pyspark.sql import functions as F
 
 from pricetide import schemas
-from pricetide.operators.series import Layout
+from pricetide.operators.series import Layout, tail_rows
 from pricetide.plans import evaluation as J
 from pricetide.plans.statistics import load_table, statistics
-from pricetide.session import scratch_path
+from pricetide.session import scratch_path, shared_folder
 from pricetide.sources import tables as W
 
 TARGETS = Layout(order=("target",))
@@ -77,3 +79,35 @@ def test_statistics_page(spark):
     assert {r.a for r in out["correlations"].collect()} == {"price", "return_pct", "seq"}
     assert out["normal_curve"].count() == 200 and str(out["bounds"].first().first_date) == "2024-01-01"
     assert load_table(table, Layout()).count() == 400
+
+
+def test_jobs_leave_their_outputs_alone(spark):
+    path, log, compacted = (scratch_path(spark, n) for n in ("ticks", "log", "compacted"))
+    before = set(os.listdir(shared_folder(spark)))
+    base = 1704067200000
+    J.take_ticks(feed(spark, [("a", base, 1.0, 1.0, 1.0)]), path)
+    days = spark.createDataFrame([(dt.date(2024, 1, 1), 1.0), (dt.date(2023, 1, 1), 2.0)], "d date, close double")
+    W.write_history(days, path + "-history", "d")
+    with pytest.raises(W.DuplicateKeys):
+        W.write_history(days.union(days), path + "-never", "d")
+    for version, mean in ((1, 0.5), (2, 0.75)):
+        rows = spark.createDataFrame([("x", dt.date(2024, 1, 1), mean), ("y", dt.date(2024, 1, version), mean)], schemas.SENTIMENT)
+        W.upsert(rows, log, ["ativo", "data"], version, ["media_sentimento"])
+    W.compact(spark, log, schemas.SENTIMENT, ["ativo", "data"], compacted)
+    keys = ["ativo", "data"]
+    rows = lambda p: sorted((r.ativo, r.data, r.media_sentimento) for r in W.latest(W.read_log(spark, p, schemas.SENTIMENT), keys).collect())
+    assert rows(compacted) == rows(log) and W.read_log(spark, compacted, schemas.SENTIMENT).count() == 3
+    assert W.read_log(spark, log, schemas.SENTIMENT).count() == 4
+    made = set(os.listdir(shared_folder(spark))) - before
+    assert made == {os.path.basename(p) for p in (path, path + "-history", log, compacted)}
+
+
+def test_newest_rows_prune_the_scan(spark):
+    path = scratch_path(spark, "days")
+    ticks = ticks_frame(spark, walk(6000)).withColumn("day", F.to_date("ts"))
+    ticks.write.partitionBy("day").parquet(path)
+    newest = tail_rows(spark.read.parquet(path), Layout(), 50)
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts," in plan
+    assert newest.count() == 50 and newest.agg(F.min("ts")).first()[0] == ticks.orderBy(F.desc("ts")).limit(50).agg(F.min("ts")).first()[0]
+    assert tail_rows(ticks.where("false"), Layout(), 5).count() == 0
