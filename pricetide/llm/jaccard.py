@@ -7,8 +7,14 @@ Voronoi regions by single shingles. The first pivots are sets of one shingle: a
 fixed rank to break the tie. The triangle inequality makes the window: a linked document lacks at most 15 % of
 them, so each document is replicated to its first n - ceil(0.85 n) + 1 pivots and linked documents meet in a region.
 The rank puts shingles that a bounded sample finds frequent last. It decides the cost, never the
-result. Most regions hold one document and end there. Regions that share documents are merged, so that each
-document goes to one region, once.
+result. Most regions hold one document and end there.
+
+Windows inside a region. A document's distances to coarse pivots, classes of shingles, are how many of its shingles fall
+into each (``profile``). By the triangle inequality these differ by no more than the sets do, so two documents of
+a region whose sizes or profiles are farther apart than linked ones can be are not neighbours. A region of
+more than MOST_LISTED documents lists no pairs; there each document is a neighbour of the next one by size, unless
+the step in size alone rules out a link across it. Documents that neighbours connect form one region from here on, so
+that each document goes to one region, once, and linked documents stay together.
 
 Recursion by documents. Inside a region documents are the pivots: distances to a few of them split it into Voronoi
 cells, a document is also put into every cell whose pivot is at most 2 t farther than its nearest, and the cells are
@@ -36,11 +42,13 @@ from pricetide.session import stage
 SHINGLE = 4
 PERCENT = 85
 # Documents whose shingles decide which are frequent, at most (in the mean), and how many are remembered.
-SAMPLE_DOCS = 20_000
+SAMPLE_DOCS = 40_000
 MOST_FREQUENT = 200_000
-SAMPLE_COPIES = 3
+SAMPLE_COPIES = 2
 # Shingles of a block of a region (8 bytes each).
 MOST_SHINGLES = 1_500_000
+# Documents of a region whose pairs are looked at one by one; a longer region is chained by size.
+MOST_LISTED = 64
 SMALL_CELL = 400
 PIVOTS = 8
 _CLASS = ("f1", "f2", "n")
@@ -155,6 +163,25 @@ def links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int
     return out
 
 
+def profile(s: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each of m classes, m a power of two near n / 8."""
+    m = 32
+    while m * 8 < len(s):
+        m *= 2
+    return np.minimum(np.bincount((mix(s) & np.uint64(m - 1)).astype(np.int64), minlength=m), 255).astype(np.uint8)
+
+
+def may_link(a: np.ndarray, b: np.ndarray, n: int, percent: int = PERCENT) -> bool:
+    """Can sets with these profiles and ``n`` shingles together link?"""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    if len(a) < len(b):
+        if a.max(initial=0) == 255 or b.max(initial=0) == 255:
+            return True
+        b = b.reshape(-1, len(a)).sum(axis=0)
+    apart = int(np.abs(a.astype(np.int64) - b).sum())
+    return apart * (100 + percent) <= n * (100 - percent)
+
+
 def _fingerprint(s: np.ndarray) -> tuple[int, int]:
     """128 bits of a set."""
     if not len(s):
@@ -183,13 +210,13 @@ def _frequent(rows: DataFrame) -> np.ndarray:
 
 
 def _sketched(rows: DataFrame) -> DataFrame:
-    """doc_id, key, f1, f2, n, pivots: the set's fingerprint and size, and its nearest pivots within the window."""
+    """doc_id, key, f1, f2, n, pivots, profile: the set's fingerprint and size, its nearest pivots within the window, its profile."""
     frequent = rows.sparkSession.sparkContext.broadcast(_frequent(rows))
 
     def run(batches):
         often = frequent.value
         for batch in batches:
-            f1, f2, n, pivots = [], [], [], []
+            f1, f2, n, pivots, profiles = [], [], [], [], []
             for words in words_of(batch.column("text"), lower=True):
                 for s in sets_of(words):
                     a, b = _fingerprint(s)
@@ -204,20 +231,91 @@ def _sketched(rows: DataFrame) -> DataFrame:
                     f2.append(b)
                     n.append(len(s))
                     pivots.append(s[order].view(np.int64))
+                    profiles.append(profile(s).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("key"), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(n, pa.int64()), pa.array(pivots, pa.list_(pa.int64()))],
-                names=["doc_id", "key", "f1", "f2", "n", "pivots"],
+                [batch.column("doc_id"), batch.column("key"), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(n, pa.int64()), pa.array(pivots, pa.list_(pa.int64())), pa.array(profiles, pa.binary())],
+                names=["doc_id", "key", "f1", "f2", "n", "pivots", "profile"],
             )
 
-    return rows.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key binary, f1 long, f2 long, n long, pivots array<long>")
+    return rows.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key binary, f1 long, f2 long, n long, pivots array<long>, profile binary")
+
+
+def neighbours(pivot: np.ndarray, node: np.ndarray, n: np.ndarray, chained: np.ndarray, listed: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a, b, sure: pairs of rows of a region, for whole regions in the order of (pivot, n).
+
+    Rows marked ``chained`` give the pair with the next one, which is ``sure``: it stands for others too. Other regions
+    have at most ``listed`` rows.
+    """
+    out = []
+    for lag in range(1, max(2, listed)):
+        if lag >= len(pivot):
+            break
+        same = pivot[lag:] == pivot[:-lag]
+        if not same.any():
+            break
+        near = same & (100 * n[:-lag] >= percent * n[lag:])
+        if lag > 1:
+            near &= ~chained[:-lag]
+        at = np.flatnonzero(near)
+        out.append((node[at], node[at + lag], chained[at]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
+
+
+def _neighbours(classes: DataFrame) -> DataFrame:
+    """a, b, sure: neighbours of all regions."""
+    spread = classes.select(F.explode("pivots").alias("pivot"), "node", "n")
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
+    listed = MOST_LISTED
+
+    def told(pivot, node, n, hot):
+        starts = np.flatnonzero(np.concatenate([[True], pivot[1:] != pivot[:-1]]))
+        sizes = np.diff(np.append(starts, len(pivot)))
+        chained = np.repeat(sizes > listed, sizes)
+        if hot is not None:
+            chained |= pivot == hot
+        a, b, sure = neighbours(pivot, node, n, chained, listed)
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        first = np.unique(mix(low.view(np.uint64) ^ mix(high.view(np.uint64))) ^ sure.astype(np.uint64), return_index=True)[1]
+        return pa.RecordBatch.from_arrays([pa.array(low[first]), pa.array(high[first]), pa.array(sure[first])], schema=kind)
+
+    def run(batches):
+        rest, hot = [np.zeros(0, np.int64)] * 3, None
+        for batch in batches:
+            rows = [np.concatenate([r, batch.column(c).to_numpy(zero_copy_only=False)]) for r, c in zip(rest, ("pivot", "node", "n"), strict=True)]
+            open_at = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+            if open_at:
+                yield told(*(r[:open_at] for r in rows), hot)
+                rows = [r[open_at:] for r in rows]
+            if len(rows[0]) > 50 * listed:
+                # A region without end in sight is chained as it comes, the last row links it to the rest.
+                hot = rows[0][0]
+                yield told(*rows, hot)
+                rows = [r[-1:] for r in rows]
+            rest = rows
+        if len(rest[0]):
+            yield told(*rest, hot)
+
+    ordered = spread.repartition("pivot").sortWithinPartitions("pivot", "n", "node")
+    return ordered.mapInArrow(run, "a long, b long, sure boolean")
 
 
 def _regions(classes: DataFrame) -> DataFrame:
-    """node, root: classes that share a region, directly or through others. ``node`` is a class's number."""
-    spread = classes.select("node", F.explode("pivots").alias("pivot"))
-    # Star to the least class of each pivot's region; a pivot of one class alone gives no row that counts.
-    least = spread.groupBy("pivot").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("pivot", "least")
-    return components(spread.join(least, "pivot").select(F.col("node").alias("a"), F.col("least").alias("b")), "jaccard-regions")
+    """node, root: classes that neighbours connect. ``node`` is a class's number."""
+    pairs = stage(_neighbours(classes).groupBy("a", "b").agg(F.max("sure").alias("sure")), "jaccard-neighbours")
+    sketch = classes.select("node", "n", "profile")
+    both = pairs.where("not sure").join(sketch.toDF("a", "n_a", "p_a"), "a").join(sketch.toDF("b", "n_b", "p_b"), "b")
+
+    def run(batches):
+        for batch in batches:
+            n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            profiles = zip(batch.column("p_a").to_pylist(), batch.column("p_b").to_pylist(), n.tolist(), strict=True)
+            keep = [may_link(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), k) for x, y, k in profiles]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    near = both.mapInArrow(run, "a long, b long").union(pairs.where("sure").select("a", "b"))
+    return components(near, "jaccard-regions")
 
 
 def _units(members: DataFrame) -> DataFrame:
@@ -260,7 +358,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(F.col("text")).alias("key"))
     sketched = stage(_sketched(rows), "jaccard-sketches")
-    grouped = sketched.where("n > 0").groupBy(*_CLASS).agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.min("pivots").alias("pivots"))
+    grouped = sketched.where("n > 0").groupBy(*_CLASS).agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.min("pivots").alias("pivots"), F.min("profile").alias("profile"))
     classes = stage(grouped.withColumn("node", F.xxhash64("f1", "f2", "n")), "jaccard-classes")
     regions = stage(_regions(classes), "jaccard-regions")
     members = classes.join(regions, "node").select("node", "key", "n", F.col("root").alias("region"))

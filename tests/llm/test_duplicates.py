@@ -169,3 +169,32 @@ def test_lines_against_first_holders(docs_of):
         ("11", "short\nline", 0, True), ("12", "short\nother", 0, True),
     ])
     assert set(got[0].asDict()) >= {"kept", "score", "source", "n_lines"}
+
+
+def test_profiles_never_part_linked_sets():
+    r = np.random.default_rng(5)
+    for n in (1, 5, 40, 255, 256, 300, 2100):
+        for _ in range(30):
+            s = np.unique(r.integers(0, 10**9, n).astype(np.uint64))
+            t = s.copy()
+            t[r.choice(len(s), r.integers(0, len(s) // 6 + 1), replace=False)] = r.integers(10**9, 10**10, 1)
+            t = np.unique(np.concatenate([t, r.integers(10**9, 10**10, r.integers(0, n // 12 + 1)).astype(np.uint64)]))
+            both = len(np.intersect1d(s, t))
+            if 100 * both >= 85 * (len(s) + len(t) - both):
+                assert jaccard.may_link(jaccard.profile(s), jaccard.profile(t), len(s) + len(t))
+    a, b = (np.unique(r.integers(0, 10**9, 400).astype(np.uint64)) for _ in range(2))
+    assert not jaccard.may_link(jaccard.profile(a), jaccard.profile(b), 800)
+
+
+@pytest.mark.parametrize("listed", [1, 4, 64])
+def test_long_regions_are_chained(docs_of, monkeypatch, listed):
+    monkeypatch.setattr(jaccard, "MOST_LISTED", listed)
+    rows = corpus(7)
+    sets = [shingles(t) for _, t in rows]
+    label = components_of(sets)
+    got = [(str(r.doc_id), r.component_id) for r in jaccard.near_duplicates(docs_of(rows)).collect()]
+    want = []
+    for (i, _), s, x in zip(rows, sets, label):
+        ids = [d for (d, _), y in zip(rows, label) if y == x and d is not None] if s else [i]
+        want.append((str(i), min(ids) if ids and ids[0] is not None else None))
+    assert sorted(got, key=str) == sorted(want, key=str)
