@@ -113,7 +113,8 @@ def parse(rows: DataFrame) -> DataFrame:
 
     ``twice``: the block is found twice or more. ``apart``: its anchor also has a block that is found once.
     """
-    often = _anchors(rows).groupBy("anchor").agg(F.sum("n").alias("places")).where("places > 1").select("anchor")
+    # Written first, so that Spark can split the tasks of a frequent anchor in the join.
+    often = stage(_anchors(rows).groupBy("anchor").agg(F.sum("n").alias("places")).where("places > 1").select("anchor"), "substring-anchors")
     placed = stage(_placed(rows).join(often, "anchor"), "substring-blocks")
     counted = placed.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("n"))
     least = counted.groupBy("anchor").agg(F.min("n").alias("least"))
