@@ -111,8 +111,8 @@ def _deletions(docs: DataFrame, min_words: int) -> DataFrame:
     lines = stage(_lines(docs), "line-hashes")
     filled = F.filter(F.arrays_zip("lines", "words"), lambda x: x["words"] > 0)
     held = lines.select(_identity().alias("doc"), F.explode(F.array_distinct(F.transform(filled, lambda x: x["lines"]))).alias("line"))
-    # Repeated rows are one document here.
-    first = held.groupBy("line").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("documents")).where("documents > 1")
+    # Repeated rows are one document here. Written first, so that Spark can split the tasks of a frequent line in the join.
+    first = stage(held.groupBy("line").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("documents")).where("documents > 1"), "line-firsts")
     pairs = held.join(first, "line").where(F.col("doc") != F.col("first"))
     pairs = pairs.groupBy("doc", "first").agg(F.min("documents").alias("rarest"))
     mine = lines.dropDuplicates(list(_ID)).select(_identity().alias("doc"), F.col("lines").alias("later"), "words")
