@@ -19,6 +19,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     """
     both = links.where("a <> b")
     links = stage(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    before = _digest(links)
     for _ in range(MOST_ROUNDS):
         # Large star: larger neighbours and the node itself go to the least neighbour.
         either = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -28,11 +29,11 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         # Small star: smaller neighbours and the node itself go to the least of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select("b", "m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        after = stage(small.union(low.select("a", F.col("m").alias("b"))).distinct(), name)
-        same = _digest(after) == _digest(links)
-        links = after
-        if same:
+        links = stage(small.union(low.select("a", F.col("m").alias("b"))).distinct(), name)
+        after = _digest(links)
+        if after == before:
             break
+        before = after
     else:
         raise RuntimeError("components did not settle")
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -43,7 +43,7 @@ SHINGLE = 4
 PERCENT = 85
 # Documents whose shingles decide which are frequent, at most (in the mean), and how many are remembered.
 SAMPLE_DOCS = 40_000
-MOST_FREQUENT = 200_000
+MOST_FREQUENT = 500_000
 SAMPLE_COPIES = 2
 # Shingles of a block of a region (8 bytes each).
 MOST_SHINGLES = 1_500_000
@@ -205,8 +205,17 @@ def _frequent(rows: DataFrame) -> np.ndarray:
                     yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
 
     counted = sample.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counted.where(F.col("n") >= SAMPLE_COPIES).orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT)
-    return np.sort(top.select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
+    counted = stage(counted.where(F.col("n") >= SAMPLE_COPIES), "jaccard-frequent")
+    # The lowest count above which there are no more than MOST_FREQUENT shingles.
+    cut, total = None, 0
+    for r in counted.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        total += r["count"]
+        if total > MOST_FREQUENT:
+            break
+        cut = r["n"]
+    if cut is None:
+        return np.zeros(0, np.uint64)
+    return np.sort(counted.where(F.col("n") >= cut).select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
 
 
 def _sketched(rows: DataFrame) -> DataFrame:
