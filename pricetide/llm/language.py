@@ -44,7 +44,7 @@ def columns(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = as_bytes(column)
-    for low, high in pieces(offsets, 1 << 20):
+    for low, high in pieces(offsets, 1 << 18):
         yield low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
 
 

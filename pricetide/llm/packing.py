@@ -30,7 +30,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 LENGTH = 4096
 # Units whose ids a worker remembers at most; beyond that it starts anew.
-MEMORY_UNITS = 1_000_000
+MEMORY_UNITS = 600_000
 
 # Documents cut at once.
 ROWS = 512
@@ -62,7 +62,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -136,7 +136,7 @@ def _encoder(name: str, by_unit: bool) -> Encoder:
 def _ids_of(encoder: Encoder, texts: pa.Array) -> Iterator[list[np.ndarray]]:
     """Ids of each text, a chunk at a time."""
     data, offsets = as_bytes(texts)
-    for low, high in pieces(offsets, 1 << 20):
+    for low, high in pieces(offsets, 1 << 18):
         own = offsets[low : high + 1] - offsets[low]
         chunk = data[offsets[low] : offsets[high]]
         if encoder.by_unit:
