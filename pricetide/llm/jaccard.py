@@ -1,11 +1,12 @@
 """Exact Jaccard join of shingle sets in the metric space of 1 - J, for the components of its links.
 
-Two documents link when 100 |x & y| >= 85 |x | y|, that is at a distance of at most t = 0.15.
+Two documents link when 100 |x & y| >= percent |x | y|, that is at a distance of at most t = 1 - percent / 100. Sets are of
+runs of ``shingle`` words. The defaults, 4 and 85, are those of op8_jaccard; the pipeline gives its own.
 
 Voronoi regions by single shingles. The first pivots are sets of one shingle: a document of n shingles lies at
 1 - 1/n from each of its own shingles and at 1 from all others, so its nearest pivots are its shingles, ordered by a
-fixed rank to break the tie. The triangle inequality makes the window: a linked document lacks at most 15 % of
-them, so each document is replicated to its first n - ceil(0.85 n) + 1 pivots and linked documents meet in a region.
+fixed rank to break the tie. The triangle inequality makes the window: a linked document lacks at most the share t of
+them, so each document is replicated to its first n - ceil((1 - t) n) + 1 pivots and linked documents meet in a region.
 The rank puts shingles that a bounded sample finds frequent last. It decides the cost, never the
 result. Most regions hold one document and end there.
 
@@ -190,7 +191,7 @@ def _fingerprint(s: np.ndarray) -> tuple[int, int]:
     return int((a.sum(dtype=np.uint64) ^ np.uint64(len(s))).view(np.int64)), int(np.bitwise_xor.reduce(b).view(np.int64))
 
 
-def _frequent(rows: DataFrame) -> np.ndarray:
+def _frequent(rows: DataFrame, shingle: int) -> np.ndarray:
     """Hashes, rising, of shingles that several documents of a sample hold; at most MOST_FREQUENT."""
     total = rows.count()
     share = min(0.25, SAMPLE_DOCS / max(total, 1))
@@ -199,7 +200,7 @@ def _frequent(rows: DataFrame) -> np.ndarray:
     def run(batches):
         for batch in batches:
             for words in words_of(batch.column("text"), lower=True):
-                found = [s for s in sets_of(words)]
+                found = [s for s in sets_of(words, shingle)]
                 if found:
                     value, n = np.unique(np.concatenate(found), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
@@ -218,16 +219,16 @@ def _frequent(rows: DataFrame) -> np.ndarray:
     return np.sort(counted.where(F.col("n") >= cut).select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
 
 
-def _sketched(rows: DataFrame) -> DataFrame:
+def _sketched(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """doc_id, key, f1, f2, n, pivots, profile: the set's fingerprint and size, its nearest pivots within the window, its profile."""
-    frequent = rows.sparkSession.sparkContext.broadcast(_frequent(rows))
+    frequent = rows.sparkSession.sparkContext.broadcast(_frequent(rows, shingle))
 
     def run(batches):
         often = frequent.value
         for batch in batches:
             f1, f2, n, pivots, profiles = [], [], [], [], []
             for words in words_of(batch.column("text"), lower=True):
-                for s in sets_of(words):
+                for s in sets_of(words, shingle):
                     a, b = _fingerprint(s)
                     rank = mix(s)
                     if len(often) and len(s):
@@ -235,7 +236,7 @@ def _sketched(rows: DataFrame) -> DataFrame:
                         common = often[at] == s
                     else:
                         common = np.zeros(len(s), bool)
-                    order = np.lexsort((rank, common))[: window(len(s))]
+                    order = np.lexsort((rank, common))[: window(len(s), percent)]
                     f1.append(a)
                     f2.append(b)
                     n.append(len(s))
@@ -272,7 +273,7 @@ def neighbours(pivot: np.ndarray, node: np.ndarray, n: np.ndarray, chained: np.n
     return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
 
 
-def _neighbours(classes: DataFrame) -> DataFrame:
+def _neighbours(classes: DataFrame, percent: int) -> DataFrame:
     """a, b, sure: neighbours of all regions."""
     spread = classes.select(F.explode("pivots").alias("pivot"), "node", "n")
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
@@ -284,7 +285,7 @@ def _neighbours(classes: DataFrame) -> DataFrame:
         chained = np.repeat(sizes > listed, sizes)
         if hot is not None:
             chained |= pivot == hot
-        a, b, sure = neighbours(pivot, node, n, chained, listed)
+        a, b, sure = neighbours(pivot, node, n, chained, listed, percent)
         low, high = np.minimum(a, b), np.maximum(a, b)
         first = np.unique(mix(low.view(np.uint64) ^ mix(high.view(np.uint64))) ^ sure.astype(np.uint64), return_index=True)[1]
         return pa.RecordBatch.from_arrays([pa.array(low[first]), pa.array(high[first]), pa.array(sure[first])], schema=kind)
@@ -310,9 +311,9 @@ def _neighbours(classes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long, sure boolean")
 
 
-def _regions(classes: DataFrame) -> DataFrame:
+def _regions(classes: DataFrame, percent: int) -> DataFrame:
     """node, root: classes that neighbours connect. ``node`` is a class's number."""
-    pairs = stage(_neighbours(classes).groupBy("a", "b").agg(F.max("sure").alias("sure")), "jaccard-neighbours")
+    pairs = stage(_neighbours(classes, percent).groupBy("a", "b").agg(F.max("sure").alias("sure")), "jaccard-neighbours")
     sketch = classes.select("node", "n", "profile")
     both = pairs.where("not sure").join(sketch.toDF("a", "n_a", "p_a"), "a").join(sketch.toDF("b", "n_b", "p_b"), "b")
 
@@ -320,7 +321,7 @@ def _regions(classes: DataFrame) -> DataFrame:
         for batch in batches:
             n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
             profiles = zip(batch.column("p_a").to_pylist(), batch.column("p_b").to_pylist(), n.tolist(), strict=True)
-            keep = [may_link(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), k) for x, y, k in profiles]
+            keep = [may_link(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), k, percent) for x, y, k in profiles]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     near = both.mapInArrow(run, "a long, b long").union(pairs.where("sure").select("a", "b"))
@@ -337,7 +338,7 @@ def _units(members: DataFrame) -> DataFrame:
     return placed.select("node", "key", "region", unit.alias("unit"))
 
 
-def _linked(rows: DataFrame, units: DataFrame) -> DataFrame:
+def _linked(rows: DataFrame, units: DataFrame, shingle: int, percent: int) -> DataFrame:
     """a, b: a forest of each unit's links."""
     texts = units.select("key").distinct().join(rows.select("key", "text"), "key").groupBy("key").agg(F.first("text").alias("text"))
     with_text = units.join(texts, "key").select("region", F.col("unit.i").alias("i"), F.col("unit.j").alias("j"), "node", "text")
@@ -348,14 +349,14 @@ def _linked(rows: DataFrame, units: DataFrame) -> DataFrame:
         for batch in batches:
             nodes += batch.column("node").to_pylist()
             for words in words_of(batch.column("text"), lower=True):
-                sets += list(sets_of(words))
-        found = links(sets)
+                sets += list(sets_of(words, shingle))
+        found = links(sets, percent)
         yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], schema=kind)
 
     return with_text.groupBy("region", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id for every row.
 
     ``component_id`` is the least doc_id that links reach, the row's own included; ``class_id`` numbers equal sets.
@@ -366,12 +367,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(F.col("text")).alias("key"))
-    sketched = stage(_sketched(rows), "jaccard-sketches")
+    sketched = stage(_sketched(rows, shingle, percent), "jaccard-sketches")
     grouped = sketched.where("n > 0").groupBy(*_CLASS).agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.min("pivots").alias("pivots"), F.min("profile").alias("profile"))
     classes = stage(grouped.withColumn("node", F.xxhash64("f1", "f2", "n")), "jaccard-classes")
-    regions = stage(_regions(classes), "jaccard-regions")
+    regions = stage(_regions(classes, percent), "jaccard-regions")
     members = classes.join(regions, "node").select("node", "key", "n", F.col("root").alias("region"))
-    found = stage(_linked(rows, _units(members)), "jaccard-links")
+    found = stage(_linked(rows, _units(members), shingle, percent), "jaccard-links")
     joined = components(found, "jaccard-components")
     named = classes.select("node", "least").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))

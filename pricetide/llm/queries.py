@@ -42,7 +42,7 @@ def op7_packing(spark, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
 def op9_lines(spark, sf_dir: str) -> DataFrame:
