@@ -5,8 +5,9 @@ without outer white space; lines without a word are never removed. Every line sh
 later document to the first one that holds it, so a line in a million documents gives a million pairs, not half a
 trillion, and needs no cutoff; the rarest shared line of a pair is kept with it. Each pair is aligned on its own:
 lines that are unique in both, in the longest common order, are anchors; before, between and after anchors
-neighbouring equal lines join them, and the parts between are treated alike. Aligned blocks of MIN_WORDS words
-or more are deleted from the later document. A removed line still stands in the earlier document as long as
+neighbouring equal lines join them, and the parts between are treated alike. A part without such a line, whose shared
+lines are repeated on a side, is aligned by the heaviest common subsequence of these, in words, and then in the
+fewest blocks. Aligned blocks of MIN_WORDS words or more are deleted from the later document. A removed line still stands in the earlier document as long as
 that one, in turn, did not lose it to a still earlier one, whose line is the same.
 """
 
@@ -25,6 +26,8 @@ from pricetide.llm.common import WORD, small_batches
 from pricetide.session import stage
 
 MIN_WORDS = 8
+# Places where two equal lines meet that are kept at once; a part with more is halved.
+MOST_PLACES = 2_000_000
 _ID = ("none", "doc_id", "key")
 
 
@@ -48,8 +51,79 @@ def anchors(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def align(a: list[int | None], b: list[int | None]) -> list[tuple[int, int]]:
-    """Matched positions of two lists of lines, rising in both."""
+def _chains(rows: list[tuple[int, np.ndarray]], width: int, keep: bool) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Best scores up to each of ``width`` columns, and with ``keep`` the matches (row, column) of the best one.
+
+    ``rows`` are the weight of a line and the columns it may be matched with. A match scores its weight, and a chain loses
+    one for every match that does not follow the one before in the next row and column (a row of no columns parts too).
+    """
+    best, who = np.zeros(width + 1, np.int64), np.full(width + 1, -1, np.int64)
+    last, last_at = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first, columns, backs, scores, total = [0], [], [], [], 0
+    for weight, at in rows:
+        if not len(at):
+            last, last_at = at, at
+            first.append(total)
+            continue
+        score, back = best[at] - 1, who[at]
+        if len(last_at):
+            k = np.minimum(np.searchsorted(last_at, at - 1), len(last_at) - 1)
+            joins = (last_at[k] == at - 1) & (last[k] >= score)
+            score, back = np.where(joins, last[k], score), np.where(joins, first[-2] + k, back)
+        score = score + weight
+        raised = best.copy()
+        raised[at + 1] = np.maximum(raised[at + 1], score)
+        raised = np.maximum.accumulate(raised)
+        if keep:
+            new = (score == raised[at + 1]) & (score > best[at + 1])
+            source = np.zeros(width + 1, np.int64)
+            source[at[new] + 1] = np.flatnonzero(new) + total + 1
+            source = np.maximum.accumulate(source)
+            who = np.where(raised > best, source - 1, who)
+            columns.append(at)
+            backs.append(back)
+        best, last, last_at = raised, score, at
+        total += len(at)
+        first.append(total)
+    if not keep or who[-1] < 0:
+        return best, []
+    column, back, starts = np.concatenate(columns), np.concatenate(backs), np.array(first)
+    out, n = [], int(who[-1])
+    while n >= 0:
+        out.append((int(np.searchsorted(starts, n, "right")) - 1, int(column[n])))
+        n = int(back[n])
+    return best, out[::-1]
+
+
+def heaviest(a: list, b: list, weights: list[int]) -> list[tuple[int, int]]:
+    """Matches of the heaviest common subsequence (``weights``: of the lines of ``a``; those of weight 0 don't count)."""
+    posted: dict = {}
+    for j, x in enumerate(b):
+        posted.setdefault(x, []).append(j)
+    places = {x: np.array(p, np.int64) for x, p in posted.items()}
+    none = np.zeros(0, np.int64)
+    # One match is worth more than all the places where a chain may part.
+    unit = len(a) + 1
+    rows = [(w * unit, places.get(x, none) if w else none) for x, w in zip(a, weights, strict=True)]
+    out = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        part = [(w, at[np.searchsorted(at, b0) : np.searchsorted(at, b1)] - b0) for w, at in rows[a0:a1]]
+        if a1 - a0 == 1 or sum(len(at) for _, at in part) <= MOST_PLACES:
+            out += [(a0 + i, b0 + j) for i, j in _chains(part, b1 - b0, True)[1]]
+            continue
+        half = (a1 - a0) // 2
+        above = _chains(part[:half], b1 - b0, False)[0]
+        below = _chains([(w, b1 - b0 - 1 - at[::-1]) for w, at in part[:half - 1 : -1]], b1 - b0, False)[0]
+        cut = int(np.argmax(above + below[::-1]))
+        todo += [(a0, a0 + half, b0, b0 + cut), (a0 + half, a1, b0 + cut, b1)]
+    return sorted(out)
+
+
+def align(a: list[int | None], b: list[int | None], words: list[int] | None = None) -> list[tuple[int, int]]:
+    """Matched positions of two lists of lines, rising in both (``words``: per line of ``a``, else 1 each)."""
+    words = [1] * len(a) if words is None else words
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -63,6 +137,8 @@ def align(a: list[int | None], b: list[int | None]) -> list[tuple[int, int]]:
         if a0 == a1 or b0 == b1:
             continue
         found = anchors(a[a0:a1], b[b0:b1])
+        if not found and not set(a[a0:a1]).isdisjoint(b[b0:b1]):
+            found = heaviest(a[a0:a1], b[b0:b1], words[a0:a1])
         last = (a0, b0)
         for i, j in found:
             todo.append((last[0], a0 + i, last[1], b0 + j))
@@ -88,7 +164,7 @@ def blocks(matched: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
 def common_lines(later: list[int | None], earlier: list[int | None], words: list[int], min_words: int = MIN_WORDS) -> list[int]:
     """Lines of ``later`` in aligned blocks that have ``min_words`` words together (``words``: per line of it)."""
     out: list[int] = []
-    for run in blocks(align(later, earlier)):
+    for run in blocks(align(later, earlier, words)):
         if sum(words[i] for i, _ in run) >= min_words:
             out += [i for i, _ in run if words[i]]
     return out
