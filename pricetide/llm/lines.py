@@ -3,7 +3,9 @@
 Documents are ordered by (doc_id, text hash), those without an id last. A line is what stands between line ends,
 without outer white space; lines without a word are never removed. Every line shared by documents points each
 later document to the first one that holds it, so a line in a million documents gives a million pairs, not half a
-trillion, and needs no cutoff; the rarest shared line of a pair is kept with it. Each pair is aligned on its own:
+trillion, and needs no cutoff; the rarest shared line of a pair is kept with it. A block of short lines may have its lines
+from several documents, so the shortest runs of lines from each line, forward and backward, that have MIN_WORDS words point
+to their first holder too: every line of a block that long is in one of them. Each pair is aligned on its own:
 lines that are unique in both, in the longest common order, are anchors; before, between and after anchors
 neighbouring equal lines join them, and the parts between are treated alike. A part without such a line, whose shared
 lines are repeated on a side, is aligned by the heaviest common subsequence of these, in words, and then in the
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm.common import WORD, small_batches
+from pricetide.llm.common import BASE, INVERSE, WORD, mix, powers, small_batches
 from pricetide.session import stage
 
 MIN_WORDS = 8
@@ -182,11 +184,56 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select(*_ID, hashes.alias("lines"), words.alias("words"))
 
 
+def runs(hashes: np.ndarray, words: np.ndarray, first: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Of consecutive lines that have ``min_words`` words: the number of their document, and a hash.
+
+    From each line with words but fewer than that, the shortest run that begins and the shortest that ends with it.
+    Document i has the lines from ``first[i]`` to ``first[i + 1]``.
+    """
+    n = len(hashes)
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    total = np.concatenate([[0], np.cumsum(words)])
+    at = np.flatnonzero((words > 0) & (words < min_words))
+    own, low, high = owner[at], at, np.searchsorted(total, total[at] + min_words)
+    inside = high <= first[own + 1]
+    back_high = at + 1
+    back_low = np.searchsorted(total, total[back_high] - min_words, "right") - 1
+    back_inside = (total[back_high] - min_words >= 0) & (back_low >= first[own])
+    doc = np.concatenate([own[inside], own[back_inside]])
+    low, high = np.concatenate([low[inside], back_low[back_inside]]), np.concatenate([high[inside], back_high[back_inside]])
+    summed = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(hashes) * powers(BASE, n), out=summed[1:])
+    found = mix((summed[high] - summed[low]) * powers(INVERSE, n + 1)[low] + (high - low).astype(np.uint64))
+    return doc, found
+
+
+def _keys(lines: DataFrame, min_words: int) -> DataFrame:
+    """doc, keys: hashes of the lines with words of each document, and of its runs of short lines."""
+
+    def run(batches):
+        for batch in batches:
+            hashes, words = (batch.column(c).combine_chunks() if isinstance(batch.column(c), pa.ChunkedArray) else batch.column(c) for c in ("lines", "words"))
+            first = hashes.offsets.to_numpy().astype(np.int64)
+            first -= first[0]
+            value = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            count = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            doc, found = runs(value, count, first, min_words)
+            filled = count > 0
+            doc = np.concatenate([np.repeat(np.arange(len(first) - 1), np.diff(first))[filled], doc])
+            found = np.concatenate([value[filled], found])
+            order = np.argsort(doc, kind="stable")
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(first) - 1))])
+            keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found[order].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), keys], names=["doc", "keys"])
+
+    return lines.select(_identity().alias("doc"), "lines", "words").mapInArrow(run, "doc struct<none: boolean, doc_id: long, key: long>, keys array<long>")
+
+
 def _deletions(docs: DataFrame, min_words: int) -> DataFrame:
     """doc_id, key, gone: line numbers to delete, for the documents that lose any."""
     lines = stage(_lines(docs), "line-hashes")
-    filled = F.filter(F.arrays_zip("lines", "words"), lambda x: x["words"] > 0)
-    held = lines.select(_identity().alias("doc"), F.explode(F.array_distinct(F.transform(filled, lambda x: x["lines"]))).alias("line"))
+    # Written, so that the two branches below don't make the runs twice.
+    held = stage(_keys(lines, min_words), "line-keys").select("doc", F.explode(F.array_distinct("keys")).alias("line"))
     # Repeated rows are one document here. Written first, so that Spark can split the tasks of a frequent line in the join.
     first = stage(held.groupBy("line").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("documents")).where("documents > 1"), "line-firsts")
     pairs = held.join(first, "line").where(F.col("doc") != F.col("first"))
