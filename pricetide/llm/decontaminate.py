@@ -1,10 +1,11 @@
 """Benchmark passages in documents, found by spaced seeds and verified with substitutions.
 
-A seed is the hash of the tokens that a fixed mask selects from a window of SPAN tokens, so a replaced word at an
-ignored position changes nothing; two masks ignore different positions. Seeds of test items and of documents are
-joined by their hash. A hit says that an item and a document may be aligned with some offset. Every such
-(document, item, offset) is then verified over the item's whole length: equal tokens score 1, different ones
--MISMATCH, and the best stretch must have MIN_TOKENS equal tokens (or MIN_SHARE of a shorter item).
+A seed is the hash of the tokens that a fixed mask selects from a window of at most SPAN tokens, so a replaced word at an
+ignored position changes nothing. Together the masks hit every passage of 12 to 20 tokens of which MIN_PERCENT are equal,
+wherever the others stand (a test enumerates them). Seeds of test items and of documents are joined by their hash. A
+hit says that an item and a document may be aligned with some offset. Every such (document, item, offset) is then
+verified over the item's whole length: of all stretches that are equal in MIN_PERCENT of their tokens, the one with
+most equal tokens must have MIN_TOKENS of them, or MIN_PERCENT of the item's.
 
 All of it is DataFrame functions. The benchmark's seeds are broadcast only after they are counted; above
 MOST_BROADCAST seeds the join is shuffled. Hits are reduced to one row per alignment before they move.
@@ -19,13 +20,12 @@ from pricetide.session import stage
 
 TOKEN = r"[\p{L}\p{N}]+"
 # Which of the tokens of a window count, 1 or 0.
-MASKS = ("110110111011", "101111011101")
+MASKS = ("111111", "111000111", "111000000111", "11011011", "1101100011")
 SPAN = 12
 # Positions whose seeds are made together.
 BLOCK = 8
 MIN_TOKENS = 12
-MIN_SHARE = 0.8
-MISMATCH = 4
+MIN_PERCENT = 80
 MOST_BROADCAST = 500_000
 
 
@@ -56,7 +56,7 @@ def _seeds(rows: DataFrame, keys: list[str], short: list[int]) -> DataFrame:
     blocks = blocks.select(*keys, F.col("_b.from").alias("_from"), *[F.get("_b.t", F.lit(k)).alias(f"_t{k}") for k in range(width)])
     chosen = [[k for k, c in enumerate(mask) if c == "1"] for mask in MASKS]
     whole = lambda p, n, seed: F.when(F.col(f"_t{p + n - 1}").isNotNull(), seed)
-    seeds = [whole(p, SPAN, F.xxhash64(F.lit(m), *[f"_t{p + k}" for k in ks])) for p in range(BLOCK) for m, ks in enumerate(chosen)]
+    seeds = [whole(p, ks[-1] + 1, F.xxhash64(F.lit(m), *[f"_t{p + k}" for k in ks])) for p in range(BLOCK) for m, ks in enumerate(chosen)]
     found = [blocks.select(*keys, "_from", F.posexplode(F.array(*seeds)).alias("_p", "seed")).select(*keys, "seed", (F.col("_from") + F.floor(F.col("_p") / len(MASKS))).cast("int").alias("at"))]
     for n in short:
         of = [whole(p, n, F.xxhash64(F.lit(100 + n), *[f"_t{p + k}" for k in range(n)])) for p in range(BLOCK)]
@@ -68,26 +68,29 @@ def _seeds(rows: DataFrame, keys: list[str], short: list[int]) -> DataFrame:
 
 
 def _overlap(mine: Column, item: Column, offset: Column) -> Column:
-    """Of the item laid on the document at ``offset``: struct of equal tokens and length of the best stretch."""
-
-    def step(a: Column, j: Column) -> Column:
-        same = F.coalesce(F.get(mine, j + offset) == F.get(item, j), F.lit(False)) & (j + offset >= 0)
-        score = a["score"] + F.when(same, 1).otherwise(-MISMATCH)
-        run = F.struct(score.alias("score"), (a["equal"] + same.cast("int")).alias("equal"), (a["length"] + 1).alias("length"))
-        restart = F.struct(F.lit(0).alias("score"), F.lit(0).alias("equal"), F.lit(0).alias("length"))
-        keep = score > 0
-        better = keep & (score > a["best"])
-        return F.struct(
-            F.when(keep, run["score"]).otherwise(restart["score"]).alias("score"),
-            F.when(keep, run["equal"]).otherwise(restart["equal"]).alias("equal"),
-            F.when(keep, run["length"]).otherwise(restart["length"]).alias("length"),
-            F.when(better, score).otherwise(a["best"]).alias("best"),
-            F.when(better, run["equal"]).otherwise(a["best_equal"]).alias("best_equal"),
-            F.when(better, run["length"]).otherwise(a["best_length"]).alias("best_length"),
-        )
-
-    zero = F.struct(*[F.lit(0).alias(c) for c in ("score", "equal", "length", "best", "best_equal", "best_length")])
-    return F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(item) - 1, F.lit(0))), zero, step)
+    """Of the item laid on the document at ``offset``: struct of equal tokens and length of the best stretch.
+
+    With the k-th equal token at place p, 100 k - MIN_PERCENT p says how far the tokens up to it are above the share. A
+    stretch from the k-th to the m-th has the share if the value of m, its last token counted in, is not below that of k; for
+    each m the first such k is among the k whose values are less than all before, which are carried along.
+    """
+    same = lambda j: (j + offset >= 0) & F.coalesce(F.get(mine, j + offset) == F.get(item, j), F.lit(False))
+    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(item) - 1, F.lit(0))), same)
+
+    def step(a: Column, p: Column) -> Column:
+        value = 100 * a["k"] - MIN_PERCENT * p
+        here = F.array(F.struct(value.alias("value"), a["k"].alias("k"), p.alias("at")))
+        lows = F.when((F.size(a["lows"]) == 0) | (value < F.element_at(a["lows"], -1)["value"]), F.concat(a["lows"], here)).otherwise(a["lows"])
+        first = F.get(F.filter(lows, lambda x: x["value"] <= value + 100 - MIN_PERCENT), F.lit(0))
+        found = F.struct((a["k"] - first["k"] + 1).alias("equal"), (p - first["at"] + 1).alias("length"))
+        return F.struct((a["k"] + 1).alias("k"), lows.alias("lows"), F.when(found["equal"] > a["best"]["equal"], found).otherwise(a["best"]).alias("best"))
+
+    none = F.struct(F.lit(0).alias("equal"), F.lit(0).alias("length"))
+    empty = F.array().cast("array<struct<value: int, k: int, at: int>>")
+    zero = F.struct(F.lit(0).alias("k"), empty.alias("lows"), none.alias("best"))
+    # Too few equal tokens altogether: no stretch has enough.
+    few = lambda at: (F.size(at) < MIN_TOKENS) & (100 * F.size(at) < MIN_PERCENT * F.size(item))
+    return _let(at, lambda at: F.when(few(at), none).otherwise(F.aggregate(at, zero, step, lambda a: a["best"])))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -119,8 +122,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MOST_BROA
     placed = aligned.join(F.broadcast(keyed) if few else keyed, ["item_id", "item_key"])
     same = placed["doc_id"].eqNullSafe(F.col("r.doc_id")) & (placed["key"] == F.col("r.key"))
     checked = placed.join(rows.alias("r"), same).select(placed["doc_id"], placed["key"], "item_id", "offset", F.size("item").alias("item_tokens"), _let(tokens(F.col("r.text")), lambda mine: _overlap(mine, F.col("item"), F.col("offset"))).alias("o"))
-    enough = (F.col("o.best_equal") >= MIN_TOKENS) | (F.col("o.best_equal") >= MIN_SHARE * F.col("item_tokens"))
-    best = F.max(F.struct(F.col("o.best_equal").alias("equal"), (-F.col("offset")).alias("back"), F.col("o.best_length").alias("length"), "item_tokens")).alias("b")
+    enough = (F.col("o.equal") >= MIN_TOKENS) | (100 * F.col("o.equal") >= MIN_PERCENT * F.col("item_tokens"))
+    best = F.max(F.struct(F.col("o.equal").alias("equal"), (-F.col("offset")).alias("back"), F.col("o.length").alias("length"), "item_tokens")).alias("b")
     return (
         checked.where(enough)
         .groupBy("doc_id", "item_id")
