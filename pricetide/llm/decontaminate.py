@@ -93,14 +93,8 @@ def _overlap(mine: Column, item: Column, offset: Column) -> Column:
     return _let(at, lambda at: F.when(few(at), none).otherwise(F.aggregate(at, zero, step, lambda a: a["best"])))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """doc_id, item_id, start, equal_tokens, overlap_tokens, item_tokens: one row for each document and item found in it.
-
-    ``start`` is the token of the document on which the item's first token lies, at the best alignment (then the
-    first). Null and empty texts hold nothing; items without a token are found nowhere; rows with a null id give
-    rows with a null id; repeated rows (of documents or items) give one row; empty tables give none; other
-    columns are ignored.
-    """
+def _checked(docs: DataFrame, benchmark: DataFrame, most_broadcast: int) -> DataFrame:
+    """doc_id, key, item_id, offset, item_tokens, o (``_overlap``): every alignment with enough equal tokens; ``key`` is of the text."""
     items = (
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("item"))
         .where(F.size("item") > 0)
@@ -123,9 +117,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MOST_BROA
     same = placed["doc_id"].eqNullSafe(F.col("r.doc_id")) & (placed["key"] == F.col("r.key"))
     checked = placed.join(rows.alias("r"), same).select(placed["doc_id"], placed["key"], "item_id", "offset", F.size("item").alias("item_tokens"), _let(tokens(F.col("r.text")), lambda mine: _overlap(mine, F.col("item"), F.col("offset"))).alias("o"))
     enough = (F.col("o.equal") >= MIN_TOKENS) | (100 * F.col("o.equal") >= MIN_PERCENT * F.col("item_tokens"))
+    return checked.where(enough)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """doc_id, item_id, start, equal_tokens, overlap_tokens, item_tokens: one row for each document and item found in it.
+
+    ``start`` is the token of the document on which the item's first token lies, at the best alignment (then the
+    first). Null and empty texts hold nothing; items without a token are found nowhere; rows with a null id give
+    rows with a null id; repeated rows (of documents or items) give one row; empty tables give none; other
+    columns are ignored.
+    """
     best = F.max(F.struct(F.col("o.equal").alias("equal"), (-F.col("offset")).alias("back"), F.col("o.length").alias("length"), "item_tokens")).alias("b")
     return (
-        checked.where(enough)
+        _checked(docs, benchmark, most_broadcast)
         .groupBy("doc_id", "item_id")
         .agg(best)
         .select("doc_id", "item_id", (-F.col("b.back")).alias("start"), F.col("b.equal").alias("equal_tokens"), F.col("b.length").alias("overlap_tokens"), F.col("b.item_tokens").alias("item_tokens"))
@@ -133,6 +138,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MOST_BROA
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in whose text no item was found; rows without an id are kept only if nothing was found in any row without one."""
-    found = stage(leaks(docs, benchmark).select("doc_id").distinct(), "benchmark-leaking")
-    return docs.join(found.withColumnRenamed("doc_id", "_leaking"), F.col("doc_id").eqNullSafe(F.col("_leaking")), "left_anti")
+    """The rows of ``docs`` in whose text no item was found; rows that share an id, or have none, are told apart by their text."""
+    found = _checked(docs, benchmark, MOST_BROADCAST).select(F.col("doc_id").alias("_leaking"), F.col("key").alias("_key")).distinct()
+    found = stage(found, "benchmark-leaking")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_leaking")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_key"))
+    return docs.join(found, F.col("text").isNotNull() & same, "left_anti")

@@ -356,14 +356,8 @@ def _linked(rows: DataFrame, units: DataFrame, shingle: int, percent: int) -> Da
     return with_text.groupBy("region", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id for every row.
-
-    ``component_id`` is the least doc_id that links reach, the row's own included; ``class_id`` numbers equal sets.
-    Null and empty texts have an empty set and are linked with nothing. Rows without an id link like others, but
-    give no component its name; a component of such rows alone has a null one. Repeated rows have equal
-    sets. An empty table gives none; other columns are ignored.
-    """
+def _known(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and of each class its node, its component's root and least doc_id."""
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(F.col("text")).alias("key"))
@@ -376,7 +370,33 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     joined = components(found, "jaccard-components")
     named = classes.select("node", "least").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = stage(classes.select(*_CLASS, "node").join(named.select("node", "root"), "node").join(names, "root").select(*_CLASS, "node", "component_id"), "jaccard-known")
+    known = stage(classes.select(*_CLASS, "node").join(named.select("node", "root"), "node").join(names, "root").select(*_CLASS, "node", "root", "component_id"), "jaccard-known")
+    return sketched, known
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id for every row.
+
+    ``component_id`` is the least doc_id that links reach, the row's own included; ``class_id`` numbers equal sets.
+    Null and empty texts have an empty set and are linked with nothing. Rows without an id link like others, but
+    give no component its name; a component of such rows alone has a null one. Repeated rows have equal
+    sets. An empty table gives none; other columns are ignored.
+    """
+    sketched, known = _known(docs, shingle, percent)
     out = sketched.select("doc_id", *_CLASS).join(known, list(_CLASS), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("node").alias("class_id"))
+
+
+def survivors(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, key (``text_key``), kept, copies: one row for every id and text with words; ``copies`` rows of ``docs`` have them.
+
+    ``kept`` is the least of its component by (id is missing, id, key), so one of each, also among rows without an id.
+    """
+    sketched, known = _known(docs, shingle, percent)
+    each = sketched.where("n > 0").groupBy("doc_id", "key", *_CLASS).agg(F.count(F.lit(1)).alias("copies"))
+    each = each.join(known.select(*_CLASS, "root"), list(_CLASS)).withColumn("order", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    each = stage(each.select("doc_id", "key", "copies", "root", "order"), "jaccard-rows")
+    # Written first, so that Spark can split the tasks of a large component in the join.
+    least = stage(each.groupBy("root").agg(F.min("order").alias("least")), "jaccard-least")
+    return each.join(least, "root").select("doc_id", "key", F.col("order").eqNullSafe(F.col("least")).alias("kept"), "copies")
