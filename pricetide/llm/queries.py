@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pricetide.llm import decontaminate, jaccard, language, lines, packing, quality, secret_scan, shards, substring, toxicity
+from pricetide.llm import decontaminate, jaccard, language, lattice, lines, packing, quality, ranked, secret_scan, shards, substring, toxicity, whitening
 from pricetide.llm.common import read_table
 
 
@@ -54,6 +54,34 @@ def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     return found.withColumn("passages", F.size("passages"))
 
 
-REGISTRY: dict[str, Callable] = {f.__name__: f for f in (op1_quality, op2_substring, op3_language, op4_secrets, op5_decontamination, op6_shards, op7_packing, op8_jaccard, op9_lines, op10_toxicity)}
+def op11_whitening(spark, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_ranked(spark, sf_dir: str) -> DataFrame:
+    return ranked.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_lattice(spark, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(read_table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+_QUERIES = (
+    op1_quality,
+    op2_substring,
+    op3_language,
+    op4_secrets,
+    op5_decontamination,
+    op6_shards,
+    op7_packing,
+    op8_jaccard,
+    op9_lines,
+    op10_toxicity,
+    op11_whitening,
+    op12_ranked,
+    op13_lattice,
+)
+REGISTRY: dict[str, Callable] = {f.__name__: f for f in _QUERIES}
 REGISTRY["pipeline"] = corpus_pipeline.run
-ORACLES: dict[str, str] = {"op1_quality": quality.sql()}
+ORACLES: dict[str, str] = {"op1_quality": quality.sql(), "op12_ranked": ranked.sql(), "op13_lattice": lattice.sql()}
