@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import ticks_frame, walk
+from helpers import ticks_frame, walk
 
 from pricetide.operators import indicators as I
 from pricetide.operators.scaler import expanding

@@ -5,7 +5,7 @@ import os
 
 import numpy as np
 import pytest
-from conftest import ticks_frame, walk
+from helpers import ticks_frame, walk
 from pyspark.sql import functions as F
 
 from pricetide import schemas

@@ -6,7 +6,7 @@ from dataclasses import replace
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import ticks_frame, walk
+from helpers import ticks_frame, walk
 
 from pricetide.operators.learners import DEFAULTS, MEMBER_RULES, Learner, Panel, finite
 from pricetide.operators.online import ONE_MINUTE_LOOP, THIRTY_MINUTE_LOOP, ForecastLoop

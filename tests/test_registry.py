@@ -9,6 +9,8 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from __spark_entry__ import SMOKE_DIR, entry, oracle_sql, queries
+from catalog.oracles import ORACLES
+from catalog.queries import REGISTRY
 from tools.check import canonical
 
 # Learning is sequential and has no SQL form; tests/test_learning.py replays it instead.
@@ -32,14 +34,19 @@ def con():
 
 
 def test_only_learning_lacks_sql():
-    assert set(queries()) - set(oracle_sql()) == WITHOUT_SQL
+    assert set(REGISTRY) - set(ORACLES) == WITHOUT_SQL
+    assert set(ORACLES) <= set(REGISTRY)
+
+
+def test_all_queries_are_handed_out():
+    assert REGISTRY.items() <= queries().items() and ORACLES.items() <= oracle_sql().items()
     assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, con, name):
-    got = queries()[name](spark, SMOKE_DIR).toPandas()
-    want = con.execute(oracle_sql()[name]).df()
+    got = REGISTRY[name](spark, SMOKE_DIR).toPandas()
+    want = con.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert canonical(got) == canonical(want)
 

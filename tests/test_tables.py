@@ -6,7 +6,7 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import ticks_frame, walk
+from helpers import ticks_frame, walk
 from pyspark.sql import functions as F
 
 from pricetide import schemas
