@@ -1,19 +1,18 @@
 """Ranked lexical search by Block-Max MaxScore over an inverted index in shards.
 
 Index. A pass over all documents gives how often each holds the terms asked for, and its length; the sums over all
-documents are the statistics of the score. Each task then turns the documents it reads into shards of at most DOCS of
-them. A shard has a list of postings for each term, in the order of the ids, cut into blocks of BLOCK. A
-block is compressed (steps between documents and frequencies in the fewest bits they need) and has, beside its first and
+documents are the statistics of the score. Each task then turns the documents it reads into shards. A shard
+has a list of postings for each term, in the order of the ids, cut into blocks. A block is compressed (steps between documents and frequencies in the fewest bits they need) and has, beside its first and
 last document, the greatest part that it can add to a score. A shard is a row of the index; nothing is shuffled.
 
 Search. A shard is searched for all items. The terms of an item are ordered by the bounds of their lists; those whose bounds
 together stay below the least score that still counts are non-essential: a document that holds no other term can't be
-among the best. So candidates come from the essential lists alone, RANGE documents at a time. The block maxima of the
+among the best. So candidates come from the essential lists alone, a range of documents at a time. The block maxima of the
 non-essential lists are added to a candidate's score first, and only blocks of candidates that pass are
 decompressed, from the highest bound down, each after the candidates have been checked again. The 50 best of a shard, with
 the least id first among equals, are kept as the range goes on, and raise the least score.
 
-Shards are searched in two rounds: the best found in a part of them (one in SEEDS, by a hash) are merged, and the last of an
+Shards are searched in two rounds: the best found in a part of them (one in eight, by a hash) are merged, and the last of an
 item's best is a score that the other shards must reach, which leaves them little to unpack and almost
 nothing to return. The results of both rounds are merged. All numbers are whole, so the result is exact.
 """
@@ -32,17 +31,28 @@ from pricetide.llm.common import BASE, INVERSE, _LOWER, as_bytes, mix, pieces, p
 from pricetide.session import stage
 
 BEST = 50
-# Documents of a shard, at most, and postings above which it is closed.
-DOCS, POSTINGS = 1 << 15, 1 << 21
-BLOCK = 128
-RANGE = 1 << 13
-# One shard in so many is searched first.
-SEEDS = 8
 # Terms (8 bytes each) that are looked for in one pass over the documents.
 MOST_TERMS = 500_000
 # The score's constants.
 UNIT, STEEP, LENGTH, FLAT = 1_000_000_000, 1000, 20, 50
 
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Sizes of the index, which change the cost alone.
+
+    A shard has at most ``docs`` documents and is closed above so many ``postings``; a block has ``block`` postings; candidates
+    come ``span`` documents at a time; one shard in ``seeds`` is searched first.
+    """
+
+    docs: int = 1 << 15
+    postings: int = 1 << 21
+    block: int = 128
+    span: int = 1 << 13
+    seeds: int = 8
+
+
 _OPEN = np.zeros(256, bool)
 _OPEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -153,7 +163,7 @@ _SHARD = ("ids", "m", "terms", "firsts", "lasts", "maxima", "ends")
 SHARD_SCHEMA = "docs int, " + ", ".join(f"{c} binary" for c in _SHARD) + ", blocks binary"
 
 
-def _shard(ids: np.ndarray, m: np.ndarray, each: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+def shard(ids: np.ndarray, m: np.ndarray, each: np.ndarray, terms: np.ndarray, counts: np.ndarray, block: int = Layout.block) -> pa.RecordBatch:
     """A row of the index from documents and their postings; ``each`` is how many a document has."""
     order = np.argsort(ids, kind="stable")
     place = np.empty(len(ids), np.int64)
@@ -165,7 +175,7 @@ def _shard(ids: np.ndarray, m: np.ndarray, each: np.ndarray, terms: np.ndarray,
     value = parts(counts, m[owner])
     opens = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])) if len(terms) else np.zeros(0, np.int64)
     inside = np.arange(len(terms)) - np.repeat(opens, np.diff(np.append(opens, len(terms))))
-    starts = np.flatnonzero(inside % BLOCK == 0)
+    starts = np.flatnonzero(inside % block == 0)
     ends = np.append(starts[1:], len(terms)) if len(starts) else starts
     blocks = [compressed(owner[a:b], counts[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
     maxima = np.maximum.reduceat(value, starts) if len(starts) else starts
@@ -174,7 +184,7 @@ def _shard(ids: np.ndarray, m: np.ndarray, each: np.ndarray, terms: np.ndarray,
     return pa.RecordBatch.from_arrays(columns, names=["docs", *_SHARD, "blocks"])
 
 
-def build_index(counts: DataFrame, docs: int, length: int) -> DataFrame:
+def build_index(counts: DataFrame, docs: int, length: int, layout: Layout) -> DataFrame:
     """Shards (SHARD_SCHEMA) of the documents of ``counted`` that hold a term, for ``docs`` documents of ``length`` terms in all."""
 
     def run(batches):
@@ -182,7 +192,7 @@ def build_index(counts: DataFrame, docs: int, length: int) -> DataFrame:
         rows = postings = 0
 
         def closed():
-            return _shard(*[np.concatenate(c) for c in zip(*held, strict=True)])
+            return shard(*[np.concatenate(c) for c in zip(*held, strict=True)], layout.block)
 
         for batch in batches:
             each = np.diff(batch.column("terms").offsets.to_numpy())
@@ -191,10 +201,11 @@ def build_index(counts: DataFrame, docs: int, length: int) -> DataFrame:
             bounds = np.append(0, np.cumsum(each))
             low = 0
             while low < len(ids):
-                high = min(low + DOCS - rows, len(ids), max(int(np.searchsorted(bounds, bounds[low] + POSTINGS - postings, "right")) - 1, low + 1))
+                fits = int(np.searchsorted(bounds, bounds[low] + layout.postings - postings, "right")) - 1
+                high = min(low + layout.docs - rows, len(ids), max(fits, low + 1))
                 held.append((ids[low:high], length_terms(n[low:high], docs, length), each[low:high], terms[bounds[low] : bounds[high]], times[bounds[low] : bounds[high]]))
                 rows, postings, low = rows + high - low, postings + int(bounds[high] - bounds[low]), high
-                if rows >= DOCS or postings >= POSTINGS:
+                if rows >= layout.docs or postings >= layout.postings:
                     yield closed()
                     held, rows, postings = [], 0, 0
         if rows:
@@ -218,6 +229,7 @@ class Shard:
     """A row of the index, unpacked block by block as far as it is needed; blocks unpacked once are kept for the next item."""
 
     row: dict
+    span: int = Layout.span
     work: Work = field(default_factory=Work)
 
     def __post_init__(self):
@@ -248,8 +260,8 @@ class Shard:
         bounds = np.cumsum([x[3] for x in lists])
         ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         least = max(least, 1)
-        for low in range(0, len(self.ids), RANGE):
-            high = min(low + RANGE, len(self.ids))
+        for low in range(0, len(self.ids), self.span):
+            high = min(low + self.span, len(self.ids))
             # Lists before this one can't reach the least score together.
             split = int(np.searchsorted(bounds, least))
             if split == len(lists):
@@ -295,15 +307,15 @@ class Shard:
         return ids, scores
 
 
-def _searched(index: DataFrame, queries, best: int) -> DataFrame:
+def _searched(index: DataFrame, queries, best: int, layout: Layout) -> DataFrame:
     """item_id, doc_id, score: the best of each shard; ``queries`` has (item, terms, weights, least score) for each item."""
     shared = index.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                shard = Shard(row)
-                found = [(item, *shard.search(terms, weights, least, best)) for item, terms, weights, least in shared.value]
+                one = Shard(row, layout.span)
+                found = [(item, *one.search(terms, weights, least, best)) for item, terms, weights, least in shared.value]
                 items = np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(items), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], names=["item_id", "doc_id", "score"])
 
@@ -329,7 +341,7 @@ def _blocks_of_items(items: DataFrame, most: int) -> Iterator[dict[int, np.ndarr
         yield now
 
 
-def search(docs: DataFrame, items: DataFrame, best: int = BEST, most_terms: int = MOST_TERMS) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, best: int = BEST, most_terms: int = MOST_TERMS, layout: Layout = Layout()) -> DataFrame:  # noqa: B008
     """item_id, rank, doc_id, score: the ``best`` documents of each item with a score above 0, equal scores by the least id.
 
     Items (the query set) are worked off in blocks of at most ``most_terms`` terms, a pass over the documents for each. Items or documents
@@ -348,7 +360,7 @@ def search(docs: DataFrame, items: DataFrame, best: int = BEST, most_terms: int
         number, length = sums["docs"], int(sums["length"] or 0)
         held = counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         df = {r["term"]: r["df"] for r in held.toLocalIterator()}
-        index = stage(build_index(counts, number, length), "ranked-index")
+        index = stage(build_index(counts, number, length, layout), "ranked-index")
         weight = {t: int(np.floor(1000 * np.log((2 * number + 2) / (2 * n + 1)))) for t, n in df.items()}
 
         def queries(least: dict[int, int], block=block, weight=weight) -> list[tuple]:
@@ -356,10 +368,10 @@ def search(docs: DataFrame, items: DataFrame, best: int = BEST, most_terms: int
             return [(item, np.array(terms, np.int64), np.array([weight[t] for t in terms], np.int64), least.get(item, 1)) for item, terms in found]
 
         # By what the shard holds, so that a shard is in the same round when a task runs again.
-        first = F.pmod(F.xxhash64("ids", "ends"), F.lit(SEEDS)) == 0
-        early = stage(_merged(_searched(index.where(first), queries({}), best), best), "ranked-first")
+        first = F.pmod(F.xxhash64("ids", "ends"), F.lit(layout.seeds)) == 0
+        early = stage(_merged(_searched(index.where(first), queries({}), best, layout), best), "ranked-first")
         least = {r["item_id"]: r["score"] for r in early.where(F.col("rank") == best).select("item_id", "score").toLocalIterator()}
-        late = _searched(index.where(~first), queries(least), best)
+        late = _searched(index.where(~first), queries(least), best, layout)
         results.append(early.drop("rank").union(late))
     if not results:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
