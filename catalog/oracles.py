@@ -561,3 +561,11 @@ b AS (SELECT symbol, date_trunc('minute', ts)::TIMESTAMP AS minute, arg_max(pric
       FROM base GROUP BY 1, 2),
 n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY minute) AS rn, max(minute) OVER () AS newest FROM b)
 SELECT symbol, minute + INTERVAL 1 MINUTE AS target, {r('price')} AS baseline FROM n WHERE rn >= 100 AND minute < newest"""
+
+# ---- joins of streams, late rows --------------------------------------------------------------
+
+ORACLES["q_stream_scores"] = ORACLES["q_eval_join"] + " WHERE price_real IS NOT NULL"
+ORACLES["q_stream_settled"] = ORACLES["q_eval_join"]
+ORACLES["q_stream_pending"] = ORACLES["q_pending"]
+ORACLES["q_stream_labels"] = ORACLES["q_delayed_label"]
+ORACLES["q_late_bars"] = ORACLES["q_hour_bars"]

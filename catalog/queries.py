@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +38,21 @@ from pricetide.plans import forecast as L
 from pricetide.plans.statistics import statistics
 from pricetide.plans.features import FEATURES, ONE_MINUTE, THIRTY_MINUTES, feature_matrix
 from pricetide.sources import readers as R
-from pricetide.session import scratch_path
+from pricetide.session import scratch_path, stage
 from pricetide.sources import tables as W
 from pricetide.sources.readers import read_table
-from pricetide.streaming.ingest import start, stream_bars, tick_stream, upsert_sink, without_duplicates
+from pricetide.streaming.ingest import (
+    land,
+    land_clock,
+    start,
+    stream_bars,
+    tick_stream,
+    upsert_sink,
+    without_clock,
+    without_duplicates,
+)
+from pricetide.streaming.joins import label_stream, score_stream, settled_stream
+from pricetide.streaming import late as A
 from pricetide.streaming.online import forecast_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -782,3 +794,80 @@ def q_stream_forecast(spark, sf_dir):
 def q_stream_targets(spark, sf_dir):
     """What the stateful stream forecasts, and from which price: every closed bar from the hundredth on."""
     return _r(q_stream_forecast(spark, sf_dir).select("symbol", "target", "baseline"), 6, "baseline")
+
+
+# ---- joins of streams, late rows --------------------------------------------------------------
+
+# Files that a replay lands one after the other; a batch reads one of them.
+LANDED = 6
+EVALUATED = ("price_real", "y_hat", "y_hat_ret", "erro", "erro_base")
+
+
+def _landed(df, time: str, clock: bool = False, parts: int = LANDED):
+    """A stream of the rows of ``df``, landed in order of time; with a clock row, a day and more after them."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "landed")
+    land(df, path, time, parts)
+    if clock:
+        last = df.agg(F.max(time)).first()[0]
+        if last is not None:
+            land_clock(spark, path, df.schema, time, last + timedelta(days=2))
+    return tick_stream(spark, path, df.schema, files_per_batch=1)
+
+
+def _worked_off(stream, keys, name: str):
+    """What the stream gives, upserted batch by batch."""
+    spark = stream.sparkSession
+    out, state = scratch_path(spark, name), scratch_path(spark, name + "-state")
+    start(stream, without_clock(upsert_sink(out, keys, keys)), state, every=None).awaitTermination()
+    return W.latest(read_table(spark, out), keys).drop(W.VERSION)
+
+
+@query
+def q_stream_scores(spark, sf_dir):
+    """Forecasts joined, as streams, to the bars that realise them."""
+    preds, prices = stage(V.preds(spark, sf_dir), "preds"), stage(V.hour_bars(spark, sf_dir), "bars")
+    scored = score_stream(_landed(preds, "target"), _landed(prices, "minute"))
+    df = _worked_off(scored, ["symbol", "target"], "scores")
+    return _r(df.select("symbol", "target", *EVALUATED, "acerto_dir", "melhor_que_base"), 6, *EVALUATED)
+
+
+def _settled(spark, sf_dir):
+    preds, prices = stage(V.preds(spark, sf_dir), "preds"), stage(V.hour_bars(spark, sf_dir), "bars")
+    settled = settled_stream(_landed(preds, "target", clock=True), _landed(prices, "minute", clock=True))
+    return _worked_off(settled, ["symbol", "target"], "settled")
+
+
+@query
+def q_stream_settled(spark, sf_dir):
+    """Every forecast of the replay, realised ones when their bar comes, pending ones when it can't come any more."""
+    df = _settled(spark, sf_dir)
+    return _r(df.select("symbol", "target", *EVALUATED, "acerto_dir", "melhor_que_base"), 6, *EVALUATED)
+
+
+@query
+def q_stream_pending(spark, sf_dir):
+    return E.pending(_settled(spark, sf_dir))
+
+
+@query
+def q_stream_labels(spark, sf_dir):
+    """Labels that arrive thirty minutes late, by a stream joined with itself."""
+    minute = stage(bars(V.base_ticks(spark, sf_dir), "minute"), "bars")
+    return _r(_worked_off(label_stream(_landed(minute, "minute")), ["symbol", "minute"], "labels"), 6, "y_label")
+
+
+@query
+def q_late_bars(spark, sf_dir):
+    """Hour bars of a stream in which every fiftieth tick comes days late: the stream's own, and the late ones rebuilt."""
+    ticks = stage(V.base_ticks(spark, sf_dir), "ticks")
+    path, out, side, state = (scratch_path(spark, n) for n in ("landed", "bars", "late", "bars-state"))
+    delayed = F.col("seq") % 50 == 0
+    land(ticks.where(~delayed), path, "ts", LANDED)
+    ticks.where(delayed).coalesce(1).write.mode("append").parquet(path)
+    last = ticks.agg(F.max("ts")).first()[0]
+    land_clock(spark, path, ticks.schema, "ts", last + timedelta(days=2))
+    stream = tick_stream(spark, path, ticks.schema, files_per_batch=1)
+    sink = without_clock(A.late_sink(out, side))
+    start(A.bars_and_late(stream, 3600), sink, state, every=None).awaitTermination()
+    A.rebuild(spark, path, ticks.schema, out, side, 1, 3600, ticks=lambda df: df.where(F.col("symbol") != ""))
+    return A.stored_bars(spark, out).drop(W.VERSION)
