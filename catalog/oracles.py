@@ -569,3 +569,26 @@ ORACLES["q_stream_settled"] = ORACLES["q_eval_join"]
 ORACLES["q_stream_pending"] = ORACLES["q_pending"]
 ORACLES["q_stream_labels"] = ORACLES["q_delayed_label"]
 ORACLES["q_late_bars"] = ORACLES["q_hour_bars"]
+
+# ---- tables replaced by version, tables in order, posts as a stream ---------------------------
+
+ORACLES["q_table_versions"] = f"""WITH {BARS}
+SELECT symbol, minute, {r('price')} AS price, volume, n, 1 AS table_version FROM hour_bars
+UNION ALL SELECT symbol, minute, {r('price * 2')}, volume, n, 2 FROM hour_bars WHERE n > 1"""
+ORACLES["q_history"] = f"""WITH {ASSETS}
+SELECT *, CAST(year(d) AS INT) AS year FROM daily WHERE year(d) >= 1995"""
+ORACLES["q_daily_job"] = ORACLES["q_daily_features"] + " AND symbol = 'de'"
+ORACLES["q_posts_scan"] = f"""WITH {SCORED},
+firsts AS (SELECT seq FROM (SELECT seq, row_number() OVER (PARTITION BY ativo, data, texto ORDER BY seq) AS rn FROM posts) WHERE rn = 1)
+SELECT ativo, data, CAST(length(texto) AS INT) AS n_chars, {r('sentimento')} AS sentimento
+FROM firsts JOIN scored USING (seq) JOIN (SELECT seq, texto FROM posts) USING (seq)
+WHERE data BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'"""
+ORACLES["q_means_scan"] = f"""WITH {SCORED}
+SELECT ativo, data, {r('avg(sentimento)')} AS media_sentimento FROM scored
+WHERE data BETWEEN DATE '2024-01-11' AND DATE '2024-01-20' GROUP BY ativo, data"""
+ORACLES["q_stream_posts"] = ORACLES["q_keep_first_posts"]
+ORACLES["q_stream_malformed"] = """SELECT '{"title": ' || doc_id AS line FROM documents"""
+ORACLES["q_stream_means"] = f"""WITH {SCORED},
+firsts AS (SELECT seq FROM (SELECT seq, row_number() OVER (PARTITION BY ativo, data, texto ORDER BY seq) AS rn FROM posts) WHERE rn = 1)
+SELECT ativo, data, {r('avg(sentimento)')} AS media_sentimento, count(*) AS n FROM firsts JOIN scored USING (seq) GROUP BY ativo, data"""
+ORACLES["q_means_merged"] = ORACLES["q_sentiment_daily"]

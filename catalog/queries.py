@@ -52,7 +52,11 @@ from pricetide.streaming.ingest import (
     without_duplicates,
 )
 from pricetide.streaming.joins import label_stream, score_stream, settled_stream
+from pricetide.sources.aggregates import add_batch, stored_means
+from pricetide.sources.ordered import means_between, posts_between, write_ordered
+from pricetide.sources.versions import read_version, replace_table
 from pricetide.streaming import late as A
+from pricetide.streaming import posts as O
 from pricetide.streaming.online import forecast_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -871,3 +875,118 @@ def q_late_bars(spark, sf_dir):
     start(A.bars_and_late(stream, 3600), sink, state, every=None).awaitTermination()
     A.rebuild(spark, path, ticks.schema, out, side, 1, 3600, ticks=lambda df: df.where(F.col("symbol") != ""))
     return A.stored_bars(spark, out).drop(W.VERSION)
+
+
+# ---- tables replaced by version, tables in order ----------------------------------------------
+
+
+@query
+def q_table_versions(spark, sf_dir):
+    """A table replaced by one made from itself: what a reader of the first version still sees, and the current one."""
+    path = scratch_path(spark, "versions")
+    prices = V.hour_bars(spark, sf_dir)
+    replace_table(prices, path, unique=["symbol", "minute"])
+    before = read_version(spark, path, prices.schema)
+    replace_table(before.withColumn("price", F.col("price") * 2.0).where("n > 1"), path, unique=["symbol", "minute"])
+    now = read_version(spark, path, prices.schema)
+    both = before.withColumn("table_version", F.lit(1)).unionByName(now.withColumn("table_version", F.lit(2)))
+    return _r(both, 6, "price")
+
+
+def _stored_history(spark, sf_dir) -> str:
+    path = scratch_path(spark, "history")
+    # Three assets: a day is unique for each.
+    daily = W.conform(V.asset_daily(spark, sf_dir), schemas.DAILY).withColumn("year", F.year("d"))
+    replace_table(daily, path, unique=["symbol", "d"], by=["year"])
+    return path
+
+
+@query
+def q_history(spark, sf_dir):
+    """The stored daily history of the years from 1995 on: directories of other years are not read."""
+    rows = read_version(spark, _stored_history(spark, sf_dir), D.HISTORY, condition=F.col("year") >= 1995)
+    return rows.select("symbol", "d", "open", "high", "low", "close", "volume", "year")
+
+
+@query
+def q_daily_job(spark, sf_dir):
+    """The feature table of one asset, made from stored tables, published twice and read as it is now."""
+    calendar, means, out = (scratch_path(spark, n) for n in ("calendar", "means", "features"))
+    V.asset_calendar(spark, sf_dir).write.parquet(calendar)
+    W.upsert(_daily_sentiment(spark, sf_dir), means, ["ativo", "data"], 1, ["media_sentimento"])
+    history = _stored_history(spark, sf_dir)
+    D.daily_job(spark, history, calendar, scratch_path(spark, "none"), out)
+    D.daily_job(spark, history, calendar, means, out, asset="de")
+    return _r(D.read_features(spark, out), 4, *D.INDICATORS, "volume_norm", "media_sentimento")
+
+
+@query
+def q_posts_scan(spark, sf_dir):
+    """Stored posts of five days, newest first, from a table in order of days."""
+    keys = ["ativo", "data", "text_key"]
+    posts = R.keep_first(P.with_text_key(V.posts(spark, sf_dir), "texto_original"), keys, ["seq"])
+    scored = posts.join(P.polarity(posts, V.lexicon(spark, sf_dir), "texto_original", keys), keys)
+    path = scratch_path(spark, "posts")
+    write_ordered(W.conform(scored, schemas.POSTS), path, ["ativo", "texto_original"], by=["data"])
+    rows = posts_between(spark, path, schemas.POSTS, "2024-01-05", "2024-01-09")
+    rows = rows.select("ativo", "data", F.length("texto_original").alias("n_chars"), "sentimento")
+    return _r(rows, 6, "sentimento")
+
+
+@query
+def q_means_scan(spark, sf_dir):
+    """Day means of ten days, oldest first; the log holds some days twice."""
+    path = scratch_path(spark, "means")
+    means = stage(P.daily_means(_scored_posts(spark, sf_dir)), "means")
+    W.upsert(means.withColumn("media_sentimento", F.lit(0.0)), path, ["ativo", "data"], 1, ["media_sentimento"])
+    W.upsert(means, path, ["ativo", "data"], 2, ["media_sentimento"])
+    return _r(means_between(spark, path, schemas.SENTIMENT, "2024-01-11", "2024-01-20"), 6, "media_sentimento")
+
+
+# ---- posts as a stream ------------------------------------------------------------------------
+
+
+def _streamed_posts(spark, sf_dir) -> str:
+    """Posts landed as JSON lines in order of their number, and lines that are no posts; the path of what the stream stored."""
+    feed, out = scratch_path(spark, "feed"), scratch_path(spark, "stored")
+    posts = V.posts(spark, sf_dir).select(
+        "ativo", F.col("texto_original").alias("title"), F.unix_seconds(F.col("data").cast("timestamp")).alias("created_utc"), "seq"
+    )
+    land(stage(posts, "posts"), feed, "seq", LANDED, "json")
+    broken = F.concat(F.lit('{"title": '), F.col("doc_id").cast("string"))
+    V.table(spark, sf_dir, "documents").select(broken.alias("value")).coalesce(1).write.mode("append").text(feed)
+    sink = O.post_sink(out, V.lexicon(spark, sf_dir), "documents")
+    for _ in range(2):
+        # The second run has lost its checkpoint: all batches come again, and are in the ledger.
+        checkpoint = scratch_path(spark, "posts-state")
+        start(O.post_stream(spark, feed, 2), sink, checkpoint, every=None).awaitTermination()
+    return out
+
+
+@query
+def q_stream_posts(spark, sf_dir):
+    """Posts that a stream stored, none twice, by asset, day and text."""
+    return O.stored_posts(spark, _streamed_posts(spark, sf_dir)).select("seq", "ativo", "data")
+
+
+@query
+def q_stream_malformed(spark, sf_dir):
+    return O.malformed_lines(spark, _streamed_posts(spark, sf_dir)).select("line")
+
+
+@query
+def q_stream_means(spark, sf_dir):
+    """Day means kept up to date by sums and counts of the stream's batches."""
+    means = stored_means(spark, _streamed_posts(spark, sf_dir) + "/means", O.DAY_KEYS, "media_sentimento")
+    return _r(means, 6, "media_sentimento")
+
+
+@query
+def q_means_merged(spark, sf_dir):
+    """Day means of all posts from two batches, neither of which reads the other's posts."""
+    path = scratch_path(spark, "sums")
+    scored = stage(_scored_posts(spark, sf_dir), "scored")
+    half = F.pmod(F.xxhash64("seq"), F.lit(2)) == 0
+    for version, rows in enumerate((scored.where(half), scored.where(~half))):
+        add_batch(rows, "sentimento", O.DAY_KEYS.names, path, version)
+    return _r(stored_means(spark, path, O.DAY_KEYS, "media_sentimento").drop("n"), 6, "media_sentimento")

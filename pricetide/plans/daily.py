@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from pricetide import schemas
 from pricetide.functions import scalars as S
 from pricetide.operators import indicators as I
 from pricetide.operators.sentiment import with_daily_sentiment, with_event_flags
 from pricetide.operators.series import Ema, Layout, ema, home_rows, series, span_alpha
 from pricetide.operators.stats import zscore
-from pricetide.sources.readers import require_columns
+from pricetide.sources.readers import read_if_exists, require_columns
+from pricetide.sources.tables import latest, read_log
+from pricetide.sources.versions import read_version, replace_table
 
 REQUIRED = ("d", "open", "high", "low", "close", "volume")
 KINDS = ("halving", "fork")
@@ -88,3 +92,31 @@ def daily_features(
     df = zscore(daily_indicators(clean, layout), "volume", "volume_norm", layout.key)
     df = with_daily_sentiment(with_event_flags(df, calendar, "d", KINDS, layout.key), sentiment, "d", layout.key)
     return df.drop("gi").dropna("any")
+
+
+HISTORY = T.StructType([*schemas.DAILY, T.StructField("year", T.IntegerType())])
+FEATURE_COLUMNS = ("symbol", *REQUIRED, *INDICATORS, "volume_norm", *(f"evento_{k}" for k in KINDS), "media_sentimento")
+_KINDS = {"symbol": T.StringType(), "d": T.DateType()} | {f"evento_{k}": T.IntegerType() for k in KINDS}
+FEATURE_TABLE = T.StructType([T.StructField(c, _KINDS.get(c, T.DoubleType())) for c in FEATURE_COLUMNS])
+
+
+def daily_job(
+    spark: SparkSession, history_path: str, calendar_path: str, means_path: str, out_path: str, asset: str | None = None, layout: Layout = LAYOUT
+) -> int:
+    """The feature table of one asset, or of all, computed from the stored tables and published; its version.
+
+    The history is the current version of its table (``tables.write_history``). The calendar and the log of day means may
+    be absent; both are cut to the asset in the scan. Days of another asset than ``asset`` are neither read nor in the result.
+    """
+    only = lambda column: None if asset is None else F.col(column) == asset
+    history = read_version(spark, history_path, HISTORY, condition=only("symbol"))
+    calendar = read_if_exists(spark, calendar_path, schemas.CALENDAR, only("ativo"))
+    log = read_log(spark, means_path, schemas.SENTIMENT)
+    means = latest(log if asset is None else log.where(only("ativo")), ["ativo", "data"])
+    features = daily_features(history.select("symbol", *REQUIRED), calendar, means, layout)
+    return replace_table(features.select(*FEATURE_COLUMNS), out_path, unique=["symbol", "d"])
+
+
+def read_features(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The daily feature table as it was last published, or as a version of it."""
+    return read_version(spark, path, FEATURE_TABLE, version)

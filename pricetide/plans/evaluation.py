@@ -40,10 +40,10 @@ def take_ticks(feed: DataFrame, path: str) -> None:
         fresh.write.mode("append").partitionBy("day").parquet(path)
 
 
-def rewrite_unique(ticks: DataFrame, path: str, order: tuple[str, ...]) -> None:
-    """A copy of the table without duplicates, the first row of each (symbol, ts)."""
+def rewrite_unique(ticks: DataFrame, path: str, order: tuple[str, ...]) -> int:
+    """The table without duplicates, the first row of each (symbol, ts), as the next version at ``path``; its number."""
     unique = keep_first(ticks, TICK_KEY, order).withColumn("day", F.to_date("ts"))
-    unique.write.mode("overwrite").partitionBy("day").parquet(path)
+    return W.replace_table(unique, path, by=["day"])
 
 
 def load_forecasts(spark: SparkSession, path: str, horizon_min: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Stored tables: keyed upserts, insert-if-absent, key/value metadata, replacement, export.
+"""Stored tables: keyed upserts, insert-if-absent, key/value metadata, history, export.
 
 There is no row update in parquet files. A keyed table is a log: every write adds rows with a
 version, and readers take the newest row per key. Writing the same version again replaces it, so a
@@ -14,14 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricetide.session import scratch, stage
 from pricetide.sources.readers import keep_first, keep_last, read_if_exists
+from pricetide.sources.versions import DuplicateKeys, replace_table
 
-VERSION = "version"
-
+__all__ = ["DuplicateKeys", "replace_table"]
 
-class DuplicateKeys(ValueError):
-    """A table that must be unique on its key is not."""
+VERSION = "version"
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -90,27 +88,9 @@ def duplicates(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     )
 
 
-def replace_table(
-    df: DataFrame, path: str, unique: Sequence[str] = (), by: Sequence[str] = ()
-) -> None:
-    """Overwrite a table, optionally after checking its key and partitioned by columns.
-
-    The new rows are written to the shared folder first, so they are computed once and may come from the table
-    itself.
-    """
-    with scratch(df.sparkSession):
-        df = stage(df, "replacement")
-        if unique:
-            twice = df.groupBy(*unique).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-            if twice.head(1):
-                raise DuplicateKeys(f"{path}: rows repeat on {list(unique)}")
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*by) if by else writer).parquet(path)
-
-
-def write_history(df: DataFrame, path: str, day: str) -> None:
-    """Daily history, one directory per year."""
-    replace_table(df.withColumn("year", F.year(day)), path, unique=[day], by=["year"])
+def write_history(df: DataFrame, path: str, day: str) -> int:
+    """Daily history as a new version of its table, one directory per year; its number."""
+    return replace_table(df.withColumn("year", F.year(day)), path, unique=[day], by=["year"])
 
 
 def meta_row(spark: SparkSession, key: str, value: object) -> DataFrame:

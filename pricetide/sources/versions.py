@@ -73,11 +73,24 @@ def replace_table(df: DataFrame, path: str, unique: Sequence[str] = (), by: Sequ
     if unique:
         twice = spark.read.schema(df.schema).parquet(place).groupBy(*unique).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
         if twice.head(1):
+            files, written = _files(spark, place)
+            files.delete(written, True)
             raise DuplicateKeys(f"{path}: rows repeat on {list(unique)}")
     publish(spark, path, version)
     return version
 
 
+def mark(spark: SparkSession, path: str, name: str) -> None:
+    """Enter a name in a ledger, an empty file; entering it again changes nothing."""
+    files, place = _files(spark, f"{path}/{name}")
+    files.create(place, True).close()
+
+
+def marked(spark: SparkSession, path: str, name: str) -> bool:
+    files, place = _files(spark, f"{path}/{name}")
+    return files.exists(place)
+
+
 def publish(spark: SparkSession, path: str, version: int) -> None:
     """Make a written version the current one. A file system makes a file once, so of two writers one fails."""
     files, place = _files(spark, f"{path}/{POINTERS}/{version}")

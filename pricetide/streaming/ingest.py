@@ -64,16 +64,13 @@ def without_clock(sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame
     return lambda batch, batch_id: sink(batch.where(F.col("symbol") != CLOCK), batch_id)
 
 
-def land(df: DataFrame, path: str, time: str, parts: int) -> None:
-    """Land the rows of ``df`` as ``parts`` files that follow each other in time, as a feed would: for replays."""
-    seconds = F.unix_micros(time) / 1e6
-    low, high = df.agg(F.min(seconds), F.max(seconds)).first()
-    if low is None:
-        df.coalesce(1).write.mode("append").parquet(path)
-        return
-    place = F.least(F.floor((seconds - low) / max(high - low, 1e-6) * parts), F.lit(parts - 1))
-    for k in range(parts):
-        df.where(place == k).coalesce(1).write.mode("append").parquet(path)
+def land(df: DataFrame, path: str, order: str, parts: int, kind: str = "parquet") -> None:
+    """Land the rows of ``df`` as ``parts`` files that follow each other in ``order`` (a time or number), as a feed would: for replays."""
+    number = F.col(order).cast("double")
+    low, high = df.agg(F.min(number), F.max(number)).first()
+    place = F.lit(0) if low is None else F.least(F.floor((number - low) / max(high - low, 1e-6) * parts), F.lit(parts - 1))
+    for k in range(parts if low is not None else 1):
+        df.where(place == k).coalesce(1).write.mode("append").format(kind).save(path)
 
 
 def land_clock(spark: SparkSession, path: str, schema: T.StructType, time: str, at) -> None:

@@ -14,6 +14,7 @@ from pricetide.plans import evaluation as J
 from pricetide.plans.statistics import load_table, statistics
 from pricetide.session import scratch_path, shared_folder
 from pricetide.sources import tables as W
+from pricetide.sources import versions as V
 
 TARGETS = Layout(order=("target",))
 
@@ -31,7 +32,7 @@ def test_ticks_are_taken_once(spark):
     assert sorted((r.symbol, r.price) for r in got.collect()) == [("a", 1.0), ("a", 4.0), ("b", 5.0)]
     doubled = got.unionByName(got.withColumn("price", F.col("price") + 10)).drop("day")
     J.rewrite_unique(doubled, copy, ("price",))
-    assert sorted(r.price for r in spark.read.parquet(copy).collect()) == [1.0, 4.0, 5.0]
+    assert sorted(r.price for r in V.read_version(spark, copy, got.schema).collect()) == [1.0, 4.0, 5.0]
 
 
 def test_evaluation_of_stored_forecasts(spark):
@@ -99,7 +100,8 @@ def test_jobs_leave_their_outputs_alone(spark):
     assert rows(compacted) == rows(log) and W.read_log(spark, compacted, schemas.SENTIMENT).count() == 3
     assert W.read_log(spark, log, schemas.SENTIMENT).count() == 4
     made = set(os.listdir(shared_folder(spark))) - before
-    assert made == {os.path.basename(p) for p in (path, path + "-history", log, compacted)}
+    assert made == {os.path.basename(p) for p in (path, path + "-history", path + "-never", log, compacted)}
+    assert V.versions(spark, path + "-never") == [] and not os.listdir(path + "-never/data")
 
 
 def test_newest_rows_prune_the_scan(spark):
