@@ -195,7 +195,7 @@ def test_block_maxima_save_work():
     rare = r.choice(n, 40, replace=False)
     each = np.full(n, 1) + np.isin(np.arange(n), rare)
     terms = np.concatenate([[1, 2] if k == 2 else [1] for k in each]).astype(np.int64)
-    counts = np.where(terms == 1, r.integers(1, 4, len(terms)), 9)
+    counts = np.where(terms == 1, r.integers(1, 4, len(terms)), r.integers(1, 50, len(terms)))
     row = ranked.shard(np.arange(n) * 2, np.full(n, 100), each, terms, counts).to_pylist()[0]
     shard = ranked.Shard(row)
     ids, scores = shard.search(np.array([1, 2]), np.array([10, 5000]), 1, 10)
