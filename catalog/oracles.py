@@ -592,3 +592,10 @@ ORACLES["q_stream_means"] = f"""WITH {SCORED},
 firsts AS (SELECT seq FROM (SELECT seq, row_number() OVER (PARTITION BY ativo, data, texto ORDER BY seq) AS rn FROM posts) WHERE rn = 1)
 SELECT ativo, data, {r('avg(sentimento)')} AS media_sentimento, count(*) AS n FROM firsts JOIN scored USING (seq) GROUP BY ativo, data"""
 ORACLES["q_means_merged"] = ORACLES["q_sentiment_daily"]
+
+# ---- clustered ticks, tables that grow --------------------------------------------------------
+
+ORACLES["q_features_clustered"] = ORACLES["q_features_1m"]
+ORACLES["q_clustered_bars"] = ORACLES["q_minute_bars"]
+ORACLES["q_eval_clustered"] = ORACLES["q_eval_join"]
+ORACLES["q_daily_incremental"] = ORACLES["q_daily_features"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import timedelta
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,8 @@ from pricetide.streaming.ingest import (
 )
 from pricetide.streaming.joins import label_stream, score_stream, settled_stream
 from pricetide.sources.aggregates import add_batch, stored_means
+from pricetide.plans import incremental as N
+from pricetide.sources import clustered as K
 from pricetide.sources.ordered import means_between, posts_between, write_ordered
 from pricetide.sources.versions import read_version, replace_table
 from pricetide.streaming import late as A
@@ -990,3 +993,43 @@ def q_means_merged(spark, sf_dir):
     for version, rows in enumerate((scored.where(half), scored.where(~half))):
         add_batch(rows, "sentimento", O.DAY_KEYS.names, path, version)
     return _r(stored_means(spark, path, O.DAY_KEYS, "media_sentimento").drop("n"), 6, "media_sentimento")
+
+
+# ---- clustered ticks, tables that grow --------------------------------------------------------
+
+
+def _clustered(df, layout):
+    """``df`` stored by (symbol, time cell)."""
+    return K.write_clustered(df, f"clustered_{uuid4().hex}", scratch_path(df.sparkSession, "clustered"), layout, buckets=8)
+
+
+@query
+def q_features_clustered(spark, sf_dir):
+    """The feature matrix of ticks stored by (symbol, cell): they are numbered where they are read."""
+    df = feature_matrix(_clustered(V.ticks(spark, sf_dir), TICK_LAYOUT), ONE_MINUTE, TICK_LAYOUT)
+    return _r(df.select("symbol", "seq", *FEATURES, "y_ret"), 6, *FEATURES, "y_ret")
+
+
+@query
+def q_clustered_bars(spark, sf_dir):
+    return K.clustered_bars(_clustered(V.base_ticks(spark, sf_dir), TICK_LAYOUT)).drop("_cell")
+
+
+@query
+def q_eval_clustered(spark, sf_dir):
+    """Forecasts and bars stored by the cells of their times, joined where they are read."""
+    day = 86400
+    preds = _clustered(V.preds(spark, sf_dir), replace(V.TARGET_LAYOUT, cell_seconds=day))
+    df = K.evaluated_clustered(preds, _clustered(V.hour_bars(spark, sf_dir), replace(V.HOUR_LAYOUT, cell_seconds=day)))
+    return _r(df.select("symbol", "target", *EVALUATED, "acerto_dir", "melhor_que_base"), 6, *EVALUATED)
+
+
+@query
+def q_daily_incremental(spark, sf_dir):
+    """The daily feature table from indicators computed in three steps, each from the new days and the rows before them."""
+    path = scratch_path(spark, "indicators")
+    history = stage(V.asset_daily(spark, sf_dir), "history")
+    for run, until in enumerate(("1993-06-30", "1996-01-01", "2100-01-01")):
+        N.refresh(spark, history.where(F.col("d") <= until), path, run)
+    df = D.completed(N.indicators(spark, path), V.asset_calendar(spark, sf_dir), _daily_sentiment(spark, sf_dir))
+    return _r(df, 4, *D.INDICATORS, "volume_norm", "media_sentimento")

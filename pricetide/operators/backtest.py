@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricetide.operators.evaluate import recent
 from pricetide.operators.series import Layout, home_rows, join_runs, running_product, series
+from pricetide.session import stage
 
 LAYOUT = Layout(order=("target",))
 
@@ -60,14 +61,26 @@ def _with_equity(df: DataFrame, cut: Layout) -> DataFrame:
         F.product(F.when(F.col("home"), hold)).alias("_hold"),
         F.max(F.when(F.col("home"), F.col("_run"))).alias("_top"),
     )
-    earlier = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.withColumns(
+    # A row for each run, read several times below.
+    totals = stage(totals, "equity-runs")
+    # Equity and its peak relative to the start of a group of runs, then what the groups before amount to.
+    grouped = totals.withColumn("_group", F.floor(F.col("chunk") / cut.group_rows))
+    inside = Window.partitionBy(key, "_group").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(key).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    one = F.lit(1.0)
+    grouped = grouped.withColumns({f"_i{c}": F.coalesce(F.product(c).over(inside), one) for c in ("_model", "_hold")})
+    reached = F.col("_i_model") * F.col("_top")
+    groups = grouped.groupBy(key, "_group").agg(F.product("_model").alias("_gm"), F.product("_hold").alias("_gh"), F.max(reached).alias("_gt"))
+    groups = groups.withColumns({"_cm": F.coalesce(F.product("_gm").over(before), one), "_ch": F.coalesce(F.product("_gh").over(before), one)})
+    groups = groups.withColumn("_ct", F.max(F.col("_cm") * F.col("_gt")).over(before)).select(key, "_group", "_cm", "_ch", "_ct")
+    carried = grouped.withColumn("_it", F.max(reached).over(inside)).join(groups, [key, "_group"])
+    carried = carried.withColumns(
         {
-            "_model_in": F.coalesce(F.product("_model").over(earlier), F.lit(1.0)),
-            "_hold_in": F.coalesce(F.product("_hold").over(earlier), F.lit(1.0)),
+            "_model_in": F.col("_cm") * F.col("_i_model"),
+            "_hold_in": F.col("_ch") * F.col("_i_hold"),
+            "_peak_in": F.greatest("_ct", F.col("_cm") * F.col("_it")),
         }
     )
-    carried = carried.withColumn("_peak_in", F.max(F.col("_model_in") * F.col("_top")).over(earlier))
     df = join_runs(df, cut, carried.select(key, "chunk", "_model_in", "_hold_in", "_peak_in"))
     return df.withColumns(
         {

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.operators.series import Layout, join_runs
+from pricetide.operators.series import Layout, earlier_totals, join_runs
+from pricetide.session import stage
 
 
 def expanding(df: DataFrame, layout: Layout, columns: Sequence[str]) -> DataFrame:
@@ -17,27 +18,22 @@ def expanding(df: DataFrame, layout: Layout, columns: Sequence[str]) -> DataFram
     merged, and each row merges them with its own run up to itself. A deviation of 0 scales by 1.
     """
     key = layout.key
-    earlier = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
     own = {c: F.when(F.col("home"), F.col(c).cast("double")) for c in columns}
     aggs = []
     for c in columns:
         aggs += [F.count(own[c]).alias(f"_n_{c}"), F.avg(own[c]).alias(f"_m_{c}")]
         aggs += [F.var_pop(own[c]).alias(f"_v_{c}")]
-    runs = df.groupBy(key, "chunk").agg(*aggs)
+    # A row for each run, read several times below.
+    runs = stage(df.groupBy(key, "chunk").agg(*aggs), "scaler-runs")
     # Sums are taken around the first run's mean, which keeps squares of large values small.
-    runs = runs.withColumns(
-        {f"_c_{c}": F.first(f"_m_{c}", ignorenulls=True).over(whole) for c in columns}
-    )
+    known = {c: F.when(F.col(f"_m_{c}").isNotNull(), F.col("chunk")) for c in columns}
+    runs = runs.join(runs.groupBy(key).agg(*[F.min_by(f"_m_{c}", known[c]).alias(f"_c_{c}") for c in columns]), key)
     merged = {}
     for c in columns:
         n, shift = F.col(f"_n_{c}"), F.col(f"_m_{c}") - F.col(f"_c_{c}")
         square = F.col(f"_v_{c}") * n + n * shift * shift
-        merged[f"_n0_{c}"] = F.coalesce(F.sum(n).over(earlier), F.lit(0))
-        merged[f"_s0_{c}"] = F.coalesce(F.sum(n * shift).over(earlier), F.lit(0.0))
-        merged[f"_q0_{c}"] = F.coalesce(F.sum(square).over(earlier), F.lit(0.0))
-    runs = runs.withColumns(merged).select(key, "chunk", *merged, *[f"_c_{c}" for c in columns])
+        merged |= {f"_n0_{c}": ("sum", n), f"_s0_{c}": ("sum", n * shift), f"_q0_{c}": ("sum", square)}
+    runs = earlier_totals(runs, key, "chunk", merged, layout.group_rows).select(key, "chunk", *merged, *[f"_c_{c}" for c in columns])
 
     local = {}
     for c in columns:

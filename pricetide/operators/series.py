@@ -5,11 +5,11 @@ table, so no window here is partitioned by the symbol alone over data rows. Thre
 
 1. ``dense_index`` numbers the rows 0, 1, 2, ... per series. Rows are counted per (symbol, time
    cell), the counts are summed over the cells of a symbol, and rows are numbered inside a cell.
-   The per-symbol step only sees cells, whose number the calendar bounds (52,560 cells of ten minutes a year).
+   The per-symbol step only sees groups of cells (``earlier_totals``).
 2. ``chunk`` cuts a series into runs of ``chunk_rows`` rows and copies the rows just before (and
    after) a run into it. Lags, rolling windows and leads then look no further than their own run.
-3. Unbounded look-back needs one row per run and not the rows: ``carry_in`` totals each run and
-   hands every run the total of the earlier ones (prefix sum, product, last value). Exponential
+3. Unbounded look-back needs one row per run and not the rows: ``carry_in`` totals each run, and groups of
+   runs, and hands every run the total of the earlier ones (prefix sum, product, last value). Exponential
    averages do not even need that: their memory fades below double precision inside the copied
    rows, so ``ema`` is exact to rounding with no further shuffle.
 """
@@ -32,6 +32,8 @@ FADE = -math.log(1e-18)
 # exp of this is still far from the largest double.
 MAX_EXPONENT = 600.0
 CELL_CHOICES = (86400, 3600, 600, 60, 1)
+# The column of a row's time cell. A table stored by (symbol, cell) has it already.
+CELL = "_cell"
 
 
 @dataclass(frozen=True)
@@ -39,8 +41,8 @@ class Layout:
     """How a series is cut: ``chunk_rows`` per task, ``sub_rows`` per closed-form block.
 
     640 rows let an average of span 30 fade out, so one block of copies in front of a run suffices
-    (4 % more rows at the default size). The step over all runs of one symbol sees rows/chunk_rows
-    rows: 20 million for a symbol of 3.3e11 rows, 2.5 million with ``chunk_rows=133120``.
+    (4 % more rows at the default size). Runs and time cells of a symbol are totalled by two levels, ``group_rows``
+    of them to a group: a symbol of 3.3e11 rows has 20 million runs in 4,800 groups.
     ``cell_seconds`` should make a cell hold thousands to a few million rows of the busiest symbol:
     days for minute bars (see ``plans.features.layout_for``), seconds for a very dense feed.
     """
@@ -50,6 +52,7 @@ class Layout:
     cell_seconds: int = 600
     chunk_rows: int = 16640
     sub_rows: int = 640
+    group_rows: int = 4096
     back: int = 0
     ahead: int = 0
 
@@ -86,6 +89,11 @@ def _cell(layout: Layout) -> Column:
     return F.floor(seconds / layout.cell_seconds).cast("bigint")
 
 
+def with_cell(df: DataFrame, layout: Layout) -> DataFrame:
+    """Add the time cell unless the rows have it."""
+    return df if CELL in df.columns else df.withColumn(CELL, _cell(layout))
+
+
 def pick_cell_seconds(df: DataFrame, layout: Layout, max_rows: int = 2_000_000) -> int:
     """The widest time cell whose fullest cell stays below ``max_rows``.
 
@@ -103,10 +111,9 @@ def pick_cell_seconds(df: DataFrame, layout: Layout, max_rows: int = 2_000_000)
 def dense_index(df: DataFrame, layout: Layout) -> DataFrame:
     """Add ``gi``: the 0-based position of each row in its series."""
     key = layout.key
-    celled = df.withColumn("_cell", _cell(layout))
+    celled = with_cell(df, layout)
     counts = celled.groupBy(key, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(key, "_cell", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    offsets = earlier_totals(counts, key, "_cell", {"_off": ("sum", F.col("_n"))}, layout.group_rows).select(key, "_cell", "_off")
     in_cell = Window.partitionBy(key, "_cell").orderBy(*layout.order)
     numbered = celled.withColumn("_rn", F.row_number().over(in_cell))
     return (
@@ -267,35 +274,62 @@ def ema(
     return out.withColumns(result).drop(*local, *[f"_loc_{n}" for n in powers], *ends)
 
 
+def _total(kind: str, x: Column, position: Column) -> Column:
+    """What rows amount to, as an aggregate."""
+    known = F.when(x.isNotNull(), position)
+    return {"sum": F.sum, "product": F.product, "max": F.max, "last": lambda x: F.max_by(x, known)}[kind](x)
+
+
+def _before(kind: str, x: Column, window: WindowSpec) -> Column:
+    """What the rows of a window amount to; its rows are in order."""
+    if kind == "last":
+        return F.last(x, ignorenulls=True).over(window)
+    return {"sum": F.sum, "product": F.product, "max": F.max}[kind](x).over(window)
+
+
+def _joined(kind: str, earlier: Column, later: Column) -> Column:
+    """Two totals as one."""
+    if kind == "sum":
+        return F.coalesce(earlier, F.lit(0)) + F.coalesce(later, F.lit(0))
+    if kind == "product":
+        return F.coalesce(earlier, F.lit(1.0)) * F.coalesce(later, F.lit(1.0))
+    return {"max": F.greatest(earlier, later), "last": F.coalesce(later, earlier)}[kind]
+
+
+def earlier_totals(rows: DataFrame, key: str, position: str, totals: Mapping[str, tuple[str, Column]], group: int) -> DataFrame:
+    """Add to every row, per name, what the rows before it in its series amount to: by two levels of windows.
+
+    ``totals`` maps a name to (kind, expression): ``sum`` (0 without rows), ``product`` (1), ``max``, or the ``last``
+    value that is not NULL. Rows are grouped by ``position div group``; a window sees the rows of one group, another
+    one row for each group of a series, so with g rows to a group neither sees more than g or rows / g. No two rows of
+    a series share a position.
+    """
+    unknown = {kind for kind, _ in totals.values()} - {"sum", "product", "max", "last"}
+    if unknown:
+        raise ValueError(f"unknown kinds {sorted(unknown)}")
+    grouped = rows.withColumn("_group", F.floor(F.col(position) / group))
+    inside = Window.partitionBy(key, "_group").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(key).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    kinds = {name: kind for name, (kind, _) in totals.items()}
+    whole = grouped.groupBy(key, "_group").agg(*[_total(kind, x, F.col(position)).alias(f"_g_{name}") for name, (kind, x) in totals.items()])
+    carried = whole.select(key, "_group", *[_before(kind, F.col(f"_g_{name}"), before).alias(f"_c_{name}") for name, kind in kinds.items()])
+    own = grouped.withColumns({f"_i_{name}": _before(kind, x, inside) for name, (kind, x) in totals.items()})
+    both = own.join(carried, [key, "_group"])
+    out = both.withColumns({name: _joined(kind, F.col(f"_c_{name}"), F.col(f"_i_{name}")) for name, kind in kinds.items()})
+    return out.drop("_group", *[f"{p}_{name}" for p in ("_i", "_c") for name in totals])
+
+
 def carry_in(df: DataFrame, layout: Layout, totals: Mapping[str, tuple[str, Column]]) -> DataFrame:
-    """Add to every row, per name, what the runs before its own amount to.
+    """Add to every row, per name, what the runs before its own amount to (kinds as in ``earlier_totals``).
 
-    ``totals`` maps a column name to (kind, expression): ``sum``, ``product``, ``max`` or ``last``
-    (last non-NULL). One row per run is aggregated, so the per-symbol window sees rows/chunk_rows
-    rows.
+    One row per run is aggregated, and those are totalled by two levels.
     """
     key = layout.key
-    earlier = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    aggs, carries = [], []
-    for name, (kind, expr) in totals.items():
-        own = F.when(F.col("home"), expr)
-        total = F.col(f"_t_{name}")
-        if kind == "sum":
-            aggs.append(F.sum(own).alias(f"_t_{name}"))
-            carries.append(F.coalesce(F.sum(total).over(earlier), F.lit(0.0)).alias(name))
-        elif kind == "product":
-            aggs.append(F.product(own).alias(f"_t_{name}"))
-            carries.append(F.coalesce(F.product(total).over(earlier), F.lit(1.0)).alias(name))
-        elif kind == "max":
-            aggs.append(F.max(own).alias(f"_t_{name}"))
-            carries.append(F.max(total).over(earlier).alias(name))
-        elif kind == "last":
-            aggs.append(F.max_by(own, F.when(own.isNotNull(), F.col("gi"))).alias(f"_t_{name}"))
-            carries.append(F.last(total, ignorenulls=True).over(earlier).alias(name))
-        else:
-            raise ValueError(f"unknown kind {kind!r}")
-    per_run = df.groupBy(key, "chunk").agg(*aggs).select(key, "chunk", *carries)
-    return join_runs(df, layout, per_run)
+    own = {name: F.when(F.col("home"), x) for name, (_, x) in totals.items()}
+    aggs = [_total(kind, own[name], F.col("gi")).alias(f"_t_{name}") for name, (kind, _) in totals.items()]
+    runs = df.groupBy(key, "chunk").agg(*aggs)
+    carried = earlier_totals(runs, key, "chunk", {name: (kind, F.col(f"_t_{name}")) for name, (kind, _) in totals.items()}, layout.group_rows)
+    return join_runs(df, layout, carried.select(key, "chunk", *totals))
 
 
 def join_runs(df: DataFrame, layout: Layout, per_run: DataFrame) -> DataFrame:

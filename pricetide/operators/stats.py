@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,21 +31,38 @@ def default_columns(df: DataFrame) -> list[str]:
     return sorted(numeric_columns(df, exclude=("target_bin", "target_pct")))
 
 
-def correlations(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 2) -> DataFrame:
-    """Pearson matrix as rows (a, b, r), rounded half to even.
+# Columns of a block of the correlation matrix.
+CORR_BLOCK = 8
 
-    One aggregation over the data; a pair uses the rows where both values exist.
+
+def correlations(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 2, block: int = CORR_BLOCK) -> DataFrame:
+    """Pearson matrix as rows (a, b, r), rounded half to even; a pair uses the rows where both values exist.
+
+    The columns are cut into blocks. Every row is paired with itself once for each two blocks, and one aggregation by
+    the pair of blocks has the co-moments of ``block`` x ``block`` columns, partial before the shuffle: a plan of one size for any
+    number of columns, and a shuffle of one row for each two blocks and task.
     """
     columns = list(columns) if columns is not None else default_columns(df)
-    pairs = list(combinations(columns, 2))
-    own = [F.corr(c, c).alias(f"s{i}") for i, c in enumerate(columns)]
-    cross = [F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
-    entry = lambda a, b, r: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(r).alias("r"))
-    cells = [entry(c, c, f"s{i}") for i, c in enumerate(columns)]
-    for i, (a, b) in enumerate(pairs):
-        cells += [entry(a, b, f"r{i}"), entry(b, a, f"r{i}")]
-    one_row = df.agg(*own, *cross)
-    return one_row.select(F.inline(F.array(*cells))).withColumn("r", F.bround("r", digits))
+    if not columns:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
+    block = min(block, len(columns))
+    cuts = [columns[k : k + block] for k in range(0, len(columns), block)]
+    padded = [[*(F.col(f"`{c}`").cast("double") for c in cut), *[F.lit(None).cast("double")] * (block - len(cut))] for cut in cuts]
+    blocks = df.select(F.array(*[F.array(*cut) for cut in padded]).alias("_x"))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(len(cuts) - 1)), lambda i: F.transform(F.sequence(i, F.lit(len(cuts) - 1)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    both = blocks.select("_x", F.explode(pairs).alias("_p"))
+    both = both.select("_p.i", "_p.j", F.get("_x", F.col("_p.i")).alias("_l"), F.get("_x", F.col("_p.j")).alias("_r"))
+    values = [F.get("_l", F.lit(k)).alias(f"_l{k}") for k in range(block)] + [F.get("_r", F.lit(k)).alias(f"_r{k}") for k in range(block)]
+    cells = both.select("i", "j", *values).groupBy("i", "j").agg(*[F.corr(f"_l{m}", f"_r{n}").alias(f"_{m}_{n}") for m in range(block) for n in range(block)])
+    names = F.from_json(F.lit(json.dumps(columns)), "array<string>")
+    entry = lambda m, n: F.struct((F.col("i") * block + m).alias("m"), (F.col("j") * block + n).alias("n"), F.col(f"_{m}_{n}").alias("r"))
+    long = cells.select("i", "j", F.inline(F.array(*[entry(m, n) for m in range(block) for n in range(block)])))
+    # A pair of different blocks stands for both orders.
+    turned = F.when(F.col("i") == F.col("j"), F.array(F.struct("m", "n", "r"))).otherwise(
+        F.array(F.struct("m", "n", "r"), F.struct(F.col("n").alias("m"), F.col("m").alias("n"), "r"))
+    )
+    whole = long.where((F.col("m") < len(columns)) & (F.col("n") < len(columns))).select(F.inline(turned))
+    return whole.select(F.get(names, F.col("m")).alias("a"), F.get(names, F.col("n")).alias("b"), F.bround("r", digits).alias("r"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50, by: Sequence[str] = ()) -> DataFrame:

@@ -41,11 +41,16 @@ INDICATORS = (
 )
 
 
+def look_back(layout: Layout = LAYOUT) -> int:
+    """Rows before a row that its indicators depend on, to double precision."""
+    alphas = [span_alpha(n) for n in (*EMA_ROWS, *I.MACD_SPANS)] + [1.0 / I.RSI_WINDOW]
+    return I.look_back(alphas, max(SMA_ROWS), layout)
+
+
 def daily_indicators(daily: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
     """Indicators of the close. Each is NULL until its window is full."""
     fast, slow, signal = I.MACD_SPANS
-    alphas = [span_alpha(n) for n in (*EMA_ROWS, *I.MACD_SPANS)] + [1.0 / I.RSI_WINDOW]
-    df, cut = series(daily, layout, back=I.look_back(alphas, max(SMA_ROWS), layout))
+    df, cut = series(daily, layout, back=look_back(layout))
     df = I.gain_loss_from(df.withColumn("_prev", I.lag(cut, "close")), "close", "_prev")
     scans = {f"_ema{n}": Ema("close", span_alpha(n)) for n in EMA_ROWS}
     scans |= {"_fast": Ema("close", span_alpha(fast)), "_slow": Ema("close", span_alpha(slow))}
@@ -89,7 +94,12 @@ def daily_features(
     """
     require_columns(daily, REQUIRED)
     clean = daily.select(layout.key, *REQUIRED).dropna("any")
-    df = zscore(daily_indicators(clean, layout), "volume", "volume_norm", layout.key)
+    return completed(daily_indicators(clean, layout), calendar, sentiment, layout)
+
+
+def completed(indicators: DataFrame, calendar: DataFrame, sentiment: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
+    """Rows of ``daily_indicators`` with the volume score, event flags and sentiment; rows with anything missing go."""
+    df = zscore(indicators, "volume", "volume_norm", layout.key)
     df = with_daily_sentiment(with_event_flags(df, calendar, "d", KINDS, layout.key), sentiment, "d", layout.key)
     return df.drop("gi").dropna("any")
 

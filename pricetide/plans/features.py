@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pricetide.functions import scalars as S
 from pricetide.operators import indicators as I
 from pricetide.operators.series import (
+    CELL,
     Ema,
     Layout,
     carry_in,
@@ -81,7 +82,8 @@ def feature_matrix(
     ``staged`` writes the numbered rows to the shared folder once, so that the second pass for the
     running totals does not redo the reading and numbering; without it the plan stays lazy.
     """
-    rows = ticks.select(layout.key, *layout.order, *RAW_INPUTS)
+    # The cell of clustered ticks (``sources.clustered``) saves the exchange that numbers them.
+    rows = ticks.select(layout.key, *layout.order, *RAW_INPUTS, *[c for c in ticks.columns if c == CELL])
     if limit is not None:
         rows = tail_rows(rows, layout, limit)
     indexed = dense_index(rows, layout)

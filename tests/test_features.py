@@ -1,11 +1,13 @@
 """Indicators and the feature matrix against straight pandas formulas, for any way of cutting."""
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
 import pytest
 from helpers import ticks_frame, walk
+from pyspark.sql import functions as F
 
 from pricetide.operators import indicators as I
 from pricetide.operators.scaler import expanding
@@ -13,6 +15,7 @@ from pricetide.operators.series import (
     Ema,
     Layout,
     dense_index,
+    earlier_totals,
     ema,
     halo_rows,
     home_rows,
@@ -24,7 +27,11 @@ from pricetide.operators.series import (
 from pricetide.plans.features import FEATURES, ONE_MINUTE, THIRTY_MINUTES, feature_matrix
 from pricetide.session import shared_folder
 
-CUTS = [Layout(), Layout(chunk_rows=512, sub_rows=128), Layout(chunk_rows=7, sub_rows=300, cell_seconds=3600)]
+CUTS = [
+    Layout(),
+    Layout(chunk_rows=512, sub_rows=128, group_rows=2),
+    Layout(chunk_rows=7, sub_rows=300, cell_seconds=3600, group_rows=3),
+]
 
 
 class Mean:
@@ -252,3 +259,30 @@ def test_shared_folder_is_the_cluster_setting():
     with pytest.raises(ValueError):
         shared_folder(Session("yarn"))
     assert shared_folder(Session("local[2]")) == shared_folder(Session("local[2]"))
+
+
+@pytest.mark.parametrize("group", [1, 2, 5, 1000])
+def test_totals_of_earlier_rows_by_two_levels(spark, group):
+    r = np.random.default_rng(1)
+    pdf = pd.DataFrame({"k": np.repeat(["a", "b", "c"], [40, 1, 17]), "p": [*range(0, 120, 3), 5, *range(100, 117)]})
+    pdf["x"] = np.where(r.random(len(pdf)) < 0.3, np.nan, r.normal(1, 0.2, len(pdf)))
+    df = spark.createDataFrame(pdf.sample(frac=1, random_state=0)).withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
+    x = F.col("x")
+    totals = {"s": ("sum", x), "m": ("product", x), "h": ("max", x), "l": ("last", x)}
+    got = earlier_totals(df, "k", "p", totals, group).toPandas().sort_values(["k", "p"]).reset_index(drop=True)
+    for _, rows in pdf.groupby("k"):
+        own = got[got.k == rows.k.iloc[0]].reset_index(drop=True)
+        for i in range(len(rows)):
+            before = rows.x.iloc[:i].dropna()
+            assert own.s[i] == pytest.approx(before.sum()) and own.m[i] == pytest.approx(before.prod())
+            for name, want in (("h", before.max() if len(before) else None), ("l", before.iloc[-1] if len(before) else None)):
+                assert (pd.isna(own[name][i]) and want is None) or own[name][i] == pytest.approx(want)
+    with pytest.raises(ValueError):
+        earlier_totals(df, "k", "p", {"s": ("median", x)}, group)
+
+
+def test_windows_over_a_whole_symbol_see_groups_only(spark):
+    """Every window by the symbol alone stands on an aggregation by (symbol, group)."""
+    plan = feature_matrix(ticks_frame(spark, walk(50)), ONE_MINUTE, staged=False)._jdf.queryExecution().optimizedPlan().toString()
+    whole = [line for line in plan.splitlines() if "Window [" in line and re.search(r"\], \[symbol#\d+\], \[", line)]
+    assert whole and all(re.search(r"\], \[symbol#\d+\], \[_group#", line) for line in whole)

@@ -4,13 +4,22 @@ import datetime as dt
 import glob
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import ticks_frame, walk
+
 from pricetide import schemas
+from pricetide.operators import evaluate as E
+from pricetide.operators.bars import bars
+from pricetide.operators.series import Layout, dense_index
 from pricetide.plans import daily as D
+from pricetide.plans import incremental as N
+from pricetide.plans.features import ONE_MINUTE, feature_matrix
 from pricetide.session import scratch_path
 from pricetide.sources import aggregates as G
+from pricetide.sources import clustered as K
 from pricetide.sources import ordered as O
 from pricetide.sources import tables as W
 from pricetide.sources import versions as V
@@ -146,3 +155,55 @@ def test_daily_job_over_stored_tables(spark):
     assert [d for d, r in got.items() if r.evento_halving] == [days[50]] and not any(r.evento_fork for r in got.values())
     assert [d for d, r in got.items() if r.media_sentimento] == [days[60]]
     assert D.read_features(spark, out, 1).where("evento_halving = 1").count() == 0
+
+
+def exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_clustered_ticks_are_numbered_and_joined_where_they_are_read(spark):
+    layout = Layout(cell_seconds=3600)
+    ticks = ticks_frame(spark, walk(900)).unionByName(ticks_frame(spark, walk(300, "b", seed=5)))
+    path = scratch_path(spark, "clustered")
+    stored = K.write_clustered(ticks, "ticks_by_cell", path, layout, buckets=4)
+    plain = scratch_path(spark, "plain")
+    ticks.write.parquet(plain)
+    ticks = spark.read.parquet(plain)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert exchanges(K.clustered_bars(stored)) == 0 and exchanges(bars(ticks)) == 1
+        assert exchanges(dense_index(stored, layout)) < exchanges(dense_index(ticks, layout))
+        assert exchanges(feature_matrix(stored, ONE_MINUTE, layout, staged=False)) < exchanges(feature_matrix(ticks, ONE_MINUTE, layout, staged=False))
+        minute = K.write_clustered(bars(ticks), "bars_by_cell", scratch_path(spark, "bars"), Layout(order=("minute",), cell_seconds=3600), 4)
+        preds = ticks.select("symbol", F.date_trunc("minute", "ts").alias("target"), F.col("price").alias("y_hat"), F.lit(100.0).alias("baseline")).dropDuplicates(["symbol", "target"])
+        asked = K.write_clustered(preds, "preds_by_cell", scratch_path(spark, "preds"), Layout(order=("target",), cell_seconds=3600), 4)
+        joined = K.evaluated_clustered(asked, minute)
+        assert exchanges(joined) == 0
+        told = lambda df: sorted((r.symbol, r.target, r.price_real) for r in df.collect())
+        assert told(joined) == told(E.evaluated(asked.drop("_cell"), bars(ticks)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    key = lambda df: sorted(map(tuple, df.select("symbol", "seq", "gi").collect()))
+    assert key(dense_index(stored, layout)) == key(dense_index(ticks, layout))
+    # Another session knows the files alone.
+    again = K.attach(spark, "ticks_attached", path, stored.schema, layout, 4)
+    assert exchanges(K.clustered_bars(again)) == 0 and again.count() == 1200
+    for t in ("ticks_by_cell", "bars_by_cell", "preds_by_cell", "ticks_attached"):
+        spark.sql(f"DROP TABLE {t}")
+
+
+@pytest.mark.parametrize("steps", [[40, 41, 900, 1000], [1000], [700, 1000]])
+def test_indicators_in_steps_equal_those_made_at_once(spark, steps):
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(1000)]
+    rows = [(s, d, 1.0, 3.0, 0.5, 2.0 + (i * i * 7 % 113) / 50, None, 5.0 + i % 4) for s, n in (("x", 1000), ("y", 35)) for i, d in enumerate(days[-n:])]
+    history = spark.createDataFrame(rows, schemas.DAILY)
+    path = scratch_path(spark, "indicators")
+    for run, n in enumerate(steps):
+        for _ in range(2 if run == 1 else 1):
+            # The second step comes twice.
+            N.refresh(spark, history.where(F.col("d") <= days[n - 1]), path, run)
+    got = N.indicators(spark, path).toPandas().sort_values(["symbol", "d"]).reset_index(drop=True)
+    want = D.daily_indicators(history.select("symbol", *D.REQUIRED)).toPandas().sort_values(["symbol", "d"]).reset_index(drop=True)
+    assert got.gi.tolist() == want.gi.tolist() and got.d.tolist() == want.d.tolist()
+    for c in D.INDICATORS:
+        assert np.allclose(got[c].to_numpy(float), want[c].to_numpy(float), equal_nan=True, rtol=1e-9, atol=1e-12), c

@@ -292,3 +292,22 @@ def test_freshness(spark):
     df = spark.createDataFrame([("a", "2024-01-05"), ("b", "2024-01-01")], "s string, d string")
     got = {r.s: (r.is_fresh, r.days_behind) for r in X.freshness(df, "d", F.to_date(F.lit("2024-01-06")), ["s"]).collect()}
     assert got == {"a": (True, 1), "b": (False, 5)}
+
+
+def test_wide_correlations(spark):
+    """Hundreds of columns with gaps: pairs use the rows where both are there; the plan has one block of figures."""
+    rng = np.random.default_rng(5)
+    n, wide = 60, 500
+    base = rng.normal(size=(n, 5))
+    values = base @ rng.normal(size=(5, wide)) + rng.normal(size=(n, wide)) + 1e6
+    values[rng.random((n, wide)) < 0.1] = np.nan
+    pdf = pd.DataFrame(values, columns=[f"c{i:03d}" for i in range(wide)])
+    df = spark.createDataFrame(pdf).select(*[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in pdf.columns])
+    got = X.correlations(df, digits=9)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("corr(") <= X.CORR_BLOCK**2
+    rows = got.toPandas().pivot(index="a", columns="b", values="r")
+    assert rows.shape == (wide, wide) and np.allclose(rows.to_numpy(), pdf.corr().to_numpy(), atol=1e-6)
+    few = X.correlations(df, ["c001", "c000"], digits=9, block=1).collect()
+    assert sorted((r.a, r.b) for r in few) == [("c000", "c000"), ("c000", "c001"), ("c001", "c000"), ("c001", "c001")]
+    assert X.correlations(df.select(F.lit("x").alias("t"))).count() == 0
