@@ -599,3 +599,28 @@ ORACLES["q_features_clustered"] = ORACLES["q_features_1m"]
 ORACLES["q_clustered_bars"] = ORACLES["q_minute_bars"]
 ORACLES["q_eval_clustered"] = ORACLES["q_eval_join"]
 ORACLES["q_daily_incremental"] = ORACLES["q_daily_features"]
+
+# ---- the 30-minute table, metadata of both horizons, optional tables, exports, cycles ----------
+
+ORACLES["q_upsert_h30"] = f"""WITH {PREDS}
+SELECT symbol, date_trunc('minute', target)::TIMESTAMP AS target, {r('y_hat + 1')} AS y_hat, 30 AS horizon_min,
+       {_THIRD} AS w_pa, 2 AS version FROM preds"""
+_LAST = ", ".join(f"arg_max(mae_{m}, target) AS {m}" for m in MEMBERS)
+ORACLES["q_meta_errors"] = f"""SELECT symbol, {_LAST}, 1 AS horizon_min FROM ({weights(0.01, "1e-6", True)}) GROUP BY symbol
+UNION ALL SELECT symbol, {_LAST}, 30 FROM ({weights(0.02, "1e-8", False)}) GROUP BY symbol"""
+_MEMBER_ERRORS = " UNION ALL ".join(
+    f"SELECT symbol, {i} AS hp_id, extract(hour FROM target) % 3 AS fold, abs(price_real - y_hat_{m}) AS e FROM ev WHERE price_real IS NOT NULL"
+    for i, m in enumerate(MEMBERS)
+)
+ORACLES["q_winner_published"] = f"""WITH {PREDS},
+folds AS (SELECT symbol, hp_id, fold, avg(e) AS mae FROM ({_MEMBER_ERRORS}) GROUP BY ALL),
+means AS (SELECT symbol, hp_id, avg(mae) AS mae FROM folds GROUP BY ALL),
+best AS (SELECT symbol, arg_min(hp_id, row(mae, hp_id)) AS hp_id, min(mae) AS mae FROM means GROUP BY symbol),
+settings AS (SELECT * FROM (VALUES (0, 0.25::DOUBLE, 1e-5::DOUBLE), (1, 0.5, 1e-4), (2, 1.0, 1e-4)) AS t(hp_id, c, alpha))
+SELECT symbol, c, alpha, {r('mae')} AS mae, h AS horizon_min FROM best JOIN settings USING (hp_id), (SELECT unnest([1, 30]) AS h)"""
+ORACLES["q_optional_tables"] = f"""WITH {PREDS}, {FLAGS}
+SELECT symbol, count(*) AS n, 'one' AS source FROM preds GROUP BY symbol
+UNION ALL SELECT ativo, count(*), 'calendar' FROM calendar WHERE ativo = 'de' GROUP BY ativo"""
+ORACLES["q_export_files"] = f"""WITH e AS ({ORACLES['q_export']})
+SELECT *, 'parquet' AS format FROM e UNION ALL SELECT *, 'csv' FROM e"""
+ORACLES["q_minute_cycle"] = ORACLES["q_hour_bars"]

@@ -35,6 +35,7 @@ from pricetide.operators.series import (
 )
 from pricetide.operators.online import ONE_MINUTE_LOOP, THIRTY_MINUTE_LOOP
 from pricetide.plans import daily as D
+from pricetide.plans import evaluation as J
 from pricetide.plans import forecast as L
 from pricetide.plans.statistics import statistics
 from pricetide.plans.features import FEATURES, ONE_MINUTE, THIRTY_MINUTES, feature_matrix
@@ -1033,3 +1034,85 @@ def q_daily_incremental(spark, sf_dir):
         N.refresh(spark, history.where(F.col("d") <= until), path, run)
     df = D.completed(N.indicators(spark, path), V.asset_calendar(spark, sf_dir), _daily_sentiment(spark, sf_dir))
     return _r(df, 4, *D.INDICATORS, "volume_norm", "media_sentimento")
+
+
+# ---- the 30-minute table, metadata of both horizons, optional tables, exports, cycles ----------
+
+
+@query
+def q_upsert_h30(spark, sf_dir):
+    """Forecasts half an hour ahead stored twice in their own table, the second time 1 higher, and loaded as the newest."""
+    path = scratch_path(spark, "h30")
+    first = W.prepare_predictions(V.preds(spark, sf_dir), schemas.PREDICTIONS_H30, 30)
+    W.upsert(first, path, ["symbol", "target"], 1, ["y_hat"])
+    W.upsert(first.withColumn("y_hat", F.col("y_hat") + 1.0), path, ["symbol", "target"], 2, ["y_hat"])
+    df = J.load_forecasts(spark, path, 30)
+    return _r(df.select("symbol", "target", "y_hat", "horizon_min", "w_pa", W.VERSION), 6, "y_hat", "w_pa")
+
+
+@query
+def q_meta_errors(spark, sf_dir):
+    """Error averages of both horizons stored as metadata and read back, one row per symbol and horizon."""
+    path = scratch_path(spark, "meta")
+    rows = stage(V.gapped_preds(spark, sf_dir), "preds")
+    one = E.member_weights(rows, V.TARGET_LAYOUT)
+    half = E.member_weights(rows, V.TARGET_LAYOUT, seed=0.02, eps=1e-8, after_update=False)
+    for horizon, df in ((1, one), (30, half)):
+        L.error_averages(df, horizon).write.mode("append").parquet(path)
+    meta = read_table(spark, path, schemas.META)
+    both = [L.stored_averages(meta, h).withColumn("horizon_min", F.lit(h)) for h in (1, 30)]
+    return _r(both[0].unionByName(both[1]), 6, *schemas.MEMBERS)
+
+
+@query
+def q_winner_published(spark, sf_dir):
+    """The setting with the smallest mean error, published and read back as settings.
+
+    Fold errors are those of three forecasts (one per setting) on three parts of the hours.
+    """
+    rows = E.member_errors(V.evaluated_preds(spark, sf_dir))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("hp_id"), F.col(f"err_{m}").alias("e")) for i, m in enumerate(schemas.MEMBERS)]))
+    folds = rows.select("symbol", (F.hour("target") % 3).alias("fold"), each.alias("s")).groupBy("symbol", "s.hp_id", "fold").agg(F.avg("s.e").alias("mae"))
+    path = scratch_path(spark, "meta")
+    for horizon in (1, 30):
+        L.published(L.grid_winner(folds), horizon=horizon).write.mode("append").parquet(path)
+    meta = read_table(spark, path, schemas.META)
+    both = [L.tuned_settings(meta, h).withColumn("horizon_min", F.lit(h)) for h in (1, 30)]
+    found = both[0].unionByName(both[1])
+    return _r(found.select("symbol", F.col("hps.pa.C").alias("c"), F.col("hps.sgd.alpha").alias("alpha"), "mae", "horizon_min"), 6, "mae")
+
+
+@query
+def q_optional_tables(spark, sf_dir):
+    """Rows by symbol of a stored forecast table, of a table that is absent, and of one asset of the calendar."""
+    path, calendar = scratch_path(spark, "preds"), scratch_path(spark, "calendar")
+    W.upsert(W.prepare_predictions(V.preds(spark, sf_dir), schemas.PREDICTIONS, 60), path, ["symbol", "target"], 1, ["y_hat"])
+    V.asset_calendar(spark, sf_dir).write.parquet(calendar)
+    asset = R.read_if_exists(spark, calendar, schemas.CALENDAR, F.col("ativo") == "de").withColumnRenamed("ativo", "symbol")
+    tables = {"one": J.load_forecasts(spark, path, 1), "h30": J.load_forecasts(spark, scratch_path(spark, "none"), 30), "calendar": asset}
+    counts = [df.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).withColumn("source", F.lit(name)) for name, df in tables.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query
+def q_export_files(spark, sf_dir):
+    """The metrics export written as CSV and parquet and read again from both."""
+    path = scratch_path(spark, "export")
+    W.export_metrics(V.evaluated_preds(spark, sf_dir), path)
+    parquet = spark.read.parquet(f"{path}/parquet")
+    csv = spark.read.csv(f"{path}/csv", header=True, schema=parquet.schema)
+    both = parquet.withColumn("format", F.lit("parquet")).unionByName(csv.withColumn("format", F.lit("csv")))
+    return _r(both, 6, "y_hat", "erro", "erro_base", "y_hat_ret")
+
+
+@query
+def q_minute_cycle(spark, sf_dir):
+    """Hour bars upserted cycle by cycle by a stream that a timer triggers, until nothing is left to read."""
+    out, state = scratch_path(spark, "bars"), scratch_path(spark, "cycle-state")
+    ticks = _landed(stage(V.base_ticks(spark, sf_dir), "ticks"), "ts", parts=3)
+    cycle = start(stream_bars(ticks, "1 hour"), upsert_sink(out, ["symbol", "minute"], ["n"]), state, mode="update", every="1 second")
+    try:
+        cycle.processAllAvailable()
+    finally:
+        cycle.stop()
+    return W.latest(read_table(spark, out), ["symbol", "minute"]).drop(W.VERSION)

@@ -20,8 +20,8 @@ from pricetide.operators.learners import DEFAULTS, Panel
 from pricetide.operators.online import ForecastLoop, LoopSpec
 from pricetide.operators.series import Layout, per_series
 from pricetide.plans.features import FEATURES, ONE_MINUTE, FeatureSpec, feature_matrix
-from pricetide.schemas import HYPERPARAMETERS, MEMBERS, STATE_JSON
-from pricetide.sources.tables import meta_decoded
+from pricetide.schemas import ERROR_KEYS, ERRORS_JSON, HYPERPARAMETERS, MEMBERS, STATE_JSON, STATE_KEYS
+from pricetide.sources.tables import meta_decoded, meta_from
 
 FORECAST_SCHEMA = (
     "symbol string, target timestamp, y_hat double, y_hat_ret double, baseline double, mae double, "
@@ -215,23 +215,39 @@ def grid_winner(fold_errors: DataFrame) -> DataFrame:
     )
 
 
-def published(winner: DataFrame, grid: Sequence[Mapping] = GRID) -> DataFrame:
-    """The winner as metadata rows (key, value, updated_at) per symbol."""
+def published(winner: DataFrame, grid: Sequence[Mapping] = GRID, horizon: int = 1) -> DataFrame:
+    """The winner's settings and error as metadata rows (key, value, updated_at) per symbol; each horizon has a key of its own."""
     options = F.array(*[F.from_json(F.lit(json.dumps(g)), HYPERPARAMETERS) for g in grid])
     stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
-    state = F.struct(F.element_at(options, F.col("hp_id") + 1).alias("hps"), stamp.alias("tuned_at"))
-    return winner.select(
-        F.concat("symbol", F.lit(":v4_state")).alias("key"),
-        F.to_json(state).alias("value"),
-        F.current_timestamp().alias("updated_at"),
-    )
+    state = F.struct(F.element_at(options, F.col("hp_id") + 1).alias("hps"), stamp.alias("tuned_at"), F.col("mae").alias("mae"))
+    return meta_from(winner, _keyed(STATE_KEYS[horizon]), state)
+
+
+def tuned_settings(meta: DataFrame, horizon: int = 1) -> DataFrame:
+    """The newest published settings as (symbol, hps, mae); values that are no settings are left out."""
+    found = _stored(meta, STATE_KEYS[horizon], STATE_JSON)
+    return found.select("symbol", "decoded.hps", "decoded.mae").where(F.col("hps.pa").isNotNull())
+
+
+def error_averages(weighted: DataFrame, horizon: int = 1, order: str = "target") -> DataFrame:
+    """Metadata rows with each symbol's newest error averages (columns mae_<member> of ``evaluate.member_weights``)."""
+    last = weighted.groupBy("symbol").agg(*[F.max_by(f"mae_{m}", order).alias(m) for m in MEMBERS])
+    return meta_from(last, _keyed(ERROR_KEYS[horizon]), F.struct(*MEMBERS))
+
+
+def stored_averages(meta: DataFrame, horizon: int = 1) -> DataFrame:
+    """The newest stored averages as (symbol, one column per member); values that are no such JSON are left out."""
+    found = _stored(meta, ERROR_KEYS[horizon], ERRORS_JSON)
+    return found.select("symbol", *[F.col(f"decoded.{m}").alias(m) for m in MEMBERS]).where(F.coalesce(*MEMBERS).isNotNull())
+
+
+def _keyed(key: str) -> Column:
+    return F.concat("symbol", F.lit(f":{key}"))
 
 
-def tuned_settings(meta: DataFrame) -> DataFrame:
-    """The newest published settings as (symbol, hps); values that are no settings are left out."""
-    found = meta_decoded(meta.where(F.col("key").endswith(":v4_state")), STATE_JSON)
-    found = found.select(F.regexp_extract("key", "^(.*):", 1).alias("symbol"), F.col("decoded.hps").alias("hps"))
-    return found.where(F.col("hps.pa").isNotNull())
+def _stored(meta: DataFrame, key: str, schema: str) -> DataFrame:
+    found = meta_decoded(meta.where(F.col("key").endswith(f":{key}")), schema)
+    return found.withColumn("symbol", F.regexp_extract("key", "^(.*):", 1))
 
 
 def calibrate(ticks: DataFrame, layout: Layout = Layout(), light: bool = False) -> DataFrame:

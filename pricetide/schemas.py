@@ -50,5 +50,8 @@ SENTIMENT = _table(("ativo", _S), ("data", T.DateType()), ("media_sentimento", _
 HYPERPARAMETERS = (
     "struct<sgd:struct<epsilon:double,alpha:double>,ridge:struct<alpha:double>,pa:struct<C:double>>"
 )
-STATE_JSON = f"struct<hps:{HYPERPARAMETERS},tuned_at:string>"
+STATE_JSON = f"struct<hps:{HYPERPARAMETERS},tuned_at:string,mae:double>"
 ERRORS_JSON = "struct<sgd:double,ridge:double,pa:double>"
+# The metadata keys of settings and error averages, by minutes of the horizon; a symbol and ":" stand before them.
+STATE_KEYS = {1: "v4_state", 30: "v4_h30_state"}
+ERROR_KEYS = {1: "v4_ewm_mae", 30: "v4_h30_ewm_mae"}

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,10 +101,10 @@ def meta_row(spark: SparkSession, key: str, value: object) -> DataFrame:
     )
 
 
-def meta_from(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Metadata rows from a struct column, encoded as JSON without leaving Spark."""
+def meta_from(df: DataFrame, key: Column, value: Column) -> DataFrame:
+    """Metadata rows from a struct, encoded as JSON without leaving Spark."""
     return df.select(
-        F.lit(key).alias("key"),
+        key.alias("key"),
         F.to_json(value).alias("value"),
         F.current_timestamp().alias("updated_at"),
     )
