@@ -108,19 +108,25 @@ def pick_cell_seconds(df: DataFrame, layout: Layout, max_rows: int = 2_000_000)
     return CELL_CHOICES[-1]
 
 
-def dense_index(df: DataFrame, layout: Layout) -> DataFrame:
-    """Add ``gi``: the 0-based position of each row in its series."""
-    key = layout.key
+def dense_index(df: DataFrame, layout: Layout, previous: Mapping[str, str] | None = None) -> DataFrame:
+    """Add ``gi``: the 0-based position of each row in its series.
+
+    ``previous`` (name -> column) also adds the value of the row before, so that what is added up over a series can be totalled
+    before the rows are dealt to runs. The first row of a cell takes it from the last one of the cells before.
+    """
+    key, previous = layout.key, dict(previous or {})
     celled = with_cell(df, layout)
-    counts = celled.groupBy(key, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = earlier_totals(counts, key, "_cell", {"_off": ("sum", F.col("_n"))}, layout.group_rows).select(key, "_cell", "_off")
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    if previous:
+        aggs.append(F.max_by(F.struct(*[F.col(c).alias(name) for name, c in previous.items()]), F.struct(*layout.order)).alias("_last"))
+    counts = celled.groupBy(key, "_cell").agg(*aggs)
+    totals = {"_off": ("sum", F.col("_n"))} | ({"_from": ("last", F.col("_last"))} if previous else {})
+    offsets = earlier_totals(counts, key, "_cell", totals, layout.group_rows).select(key, "_cell", *totals)
     in_cell = Window.partitionBy(key, "_cell").orderBy(*layout.order)
-    numbered = celled.withColumn("_rn", F.row_number().over(in_cell))
-    return (
-        numbered.join(offsets, [key, "_cell"])
-        .withColumn("gi", F.col("_off") + F.col("_rn") - 1)
-        .drop("_cell", "_rn", "_off")
-    )
+    own = {"_rn": F.row_number().over(in_cell)} | {f"_own_{name}": F.lag(c).over(in_cell) for name, c in previous.items()}
+    joined = celled.withColumns(own).join(offsets, [key, "_cell"]).withColumn("gi", F.col("_off") + F.col("_rn") - 1)
+    before = {name: F.when(F.col("_rn") > 1, F.col(f"_own_{name}")).otherwise(F.col(f"_from.{name}")) for name in previous}
+    return joined.withColumns(before).drop("_cell", "_rn", "_off", "_from", *[f"_own_{name}" for name in previous])
 
 
 def halo_rows(alphas: Sequence[float], sub_rows: int) -> int:
@@ -319,15 +325,19 @@ def earlier_totals(rows: DataFrame, key: str, position: str, totals: Mapping[str
     return out.drop("_group", *[f"{p}_{name}" for p in ("_i", "_c") for name in totals])
 
 
-def carry_in(df: DataFrame, layout: Layout, totals: Mapping[str, tuple[str, Column]]) -> DataFrame:
+def carry_in(df: DataFrame, layout: Layout, totals: Mapping[str, tuple[str, Column]], rows: DataFrame | None = None) -> DataFrame:
     """Add to every row, per name, what the runs before its own amount to (kinds as in ``earlier_totals``).
 
-    One row per run is aggregated, and those are totalled by two levels.
+    One row per run is aggregated, and those are totalled by two levels. ``rows`` are the numbered rows that ``df`` was cut from, if
+    they have all that the totals read: they are added up where they lie, without the copies, shuffle and sort of the runs.
     """
     key = layout.key
-    own = {name: F.when(F.col("home"), x) for name, (_, x) in totals.items()}
+    if rows is None:
+        source, own = df, {name: F.when(F.col("home"), x) for name, (_, x) in totals.items()}
+    else:
+        source, own = rows.withColumn("chunk", F.expr(f"gi div {layout.chunk_rows}")), {name: x for name, (_, x) in totals.items()}
     aggs = [_total(kind, own[name], F.col("gi")).alias(f"_t_{name}") for name, (kind, _) in totals.items()]
-    runs = df.groupBy(key, "chunk").agg(*aggs)
+    runs = source.groupBy(key, "chunk").agg(*aggs)
     carried = earlier_totals(runs, key, "chunk", {name: (kind, F.col(f"_t_{name}")) for name, (kind, _) in totals.items()}, layout.group_rows)
     return join_runs(df, layout, carried.select(key, "chunk", *totals))
 

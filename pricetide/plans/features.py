@@ -86,16 +86,16 @@ def feature_matrix(
     rows = ticks.select(layout.key, *layout.order, *RAW_INPUTS, *[c for c in ticks.columns if c == CELL])
     if limit is not None:
         rows = tail_rows(rows, layout, limit)
-    indexed = dense_index(rows, layout)
+    indexed = dense_index(rows, layout, {"_prev": "price"})
     if staged:
         indexed = stage(indexed, "indexed")
+    indexed = indexed.withColumn("_signed", I.signed_volume("price", "_prev", "volume"))
     back = I.look_back(ALPHAS, max(I.RETURN_LAGS) + 1, layout)
     df, layout = chunk(indexed, layout, back=back, ahead=spec.horizon)
 
-    df = df.withColumns(
-        {"_prev": I.lag(layout, "price"), "_next": I.lead(layout, "price", spec.horizon)}
-    ).withColumn("_signed", I.signed_volume("price", "_prev", "volume"))
-    df = carry_in(df, layout, {"_obv_in": ("sum", F.col("_signed")), "_vol_in": ("last", F.col("volume"))})
+    df = df.withColumn("_next", I.lead(layout, "price", spec.horizon))
+    totals = {"_obv_in": ("sum", F.col("_signed")), "_vol_in": ("last", F.col("volume"))}
+    df = carry_in(df, layout, totals, indexed)
     # Three passes over the rows of a run follow; each carries every window that is ready by then.
     df = I.gain_loss_from(df, "price", "_prev").withColumn(
         "ret", I.bounded_return("price", "_prev", spec.ret_clip)
