@@ -31,6 +31,17 @@ def read_table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each made longer until no column has it (Spark ignores case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_batches(spark) -> None:
     """Arrow batches of about 8 MB, so that long texts don't fill a worker's memory."""
     for name, value in (("maxRecordsPerBatch", "2000"), ("maxBytesPerBatch", str(8 << 20))):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm.common import BASE, INVERSE, WORD, mix, powers, small_batches
+from pricetide.llm.common import BASE, INVERSE, WORD, mix, powers, small_batches, unused
 from pricetide.session import stage
 
 MIN_WORDS = 8
@@ -266,14 +266,16 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = stage(_deletions(docs, min_words), "line-deletions")
     docs = docs.drop("n_lines", "n_removed", "words_left")
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    joined = docs.withColumn("_own", key).join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_doc_id")) & (F.col("_own") == F.col("_key")), "left")
-    kept = joined.withColumn("text", F.col("text").cast("string")).drop("_doc_id", "_key", "_own")
-    names = [c for c in kept.columns if c != "gone"]
-    schema = kept.drop("gone").withColumns({"n_lines": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "words_left": F.lit(True)}).schema
+    own, other, other_key, lost_lines = unused(docs.columns, "_own", "_doc_id", "_key", "_gone")
+    gone = gone.toDF(other, other_key, lost_lines)
+    joined = docs.withColumn(own, key).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(other)) & (F.col(own) == F.col(other_key)), "left")
+    kept = joined.withColumn("text", F.col("text").cast("string")).drop(other, other_key, own)
+    names = [c for c in kept.columns if c != lost_lines]
+    schema = kept.drop(lost_lines).withColumns({"n_lines": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "words_left": F.lit(True)}).schema
 
     def run(batches):
         for batch in batches:
-            texts, lost = batch.column("text").to_pylist(), batch.column("gone").to_pylist()
+            texts, lost = batch.column("text").to_pylist(), batch.column(lost_lines).to_pylist()
             out, n, less = [], [], []
             for text, gone in zip(texts, lost, strict=True):
                 parts = [] if text is None else text.split("\n")
@@ -285,7 +287,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             new = {"text": pa.array(out, pa.string())}
             yield pa.RecordBatch.from_arrays([*(new.get(c, batch.column(c)) for c in names), pa.array(n, pa.int64()), pa.array(less, pa.int64()), pa.array(left)], names=[*names, "n_lines", "n_removed", "words_left"])
 
-    return kept.select(*names, "gone").mapInArrow(run, schema)
+    return kept.select(*[F.col(f"`{c}`") for c in names], lost_lines).mapInArrow(run, schema)
 
 
 def digests(found: DataFrame) -> DataFrame:
