@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricetide.llm.common import unused
 from pricetide.session import stage
 
 TOKEN = r"[\p{L}\p{N}]+"
@@ -113,6 +114,10 @@ def _checked(docs: DataFrame, benchmark: DataFrame, most_broadcast: int) -> Data
     aligned = hits.select("doc_id", "key", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("offset")).distinct()
     # Written, so that the next join is planned on its size, and the texts are not hashed again.
     aligned = stage(aligned, "benchmark-alignments")
+    # Texts without an alignment are left out where they are read, before the others are shuffled.
+    holders = stage(aligned.select(F.col("doc_id").alias("_holder"), F.col("key").alias("_holder_key")).distinct(), "benchmark-holders")
+    held = F.broadcast(holders) if holders.count() <= most_broadcast else holders
+    rows = rows.join(held, F.col("doc_id").eqNullSafe(F.col("_holder")) & (F.col("key") == F.col("_holder_key")), "left_semi")
     placed = aligned.join(F.broadcast(keyed) if few else keyed, ["item_id", "item_key"])
     same = placed["doc_id"].eqNullSafe(F.col("r.doc_id")) & (placed["key"] == F.col("r.key"))
     checked = placed.join(rows.alias("r"), same).select(placed["doc_id"], placed["key"], "item_id", "offset", F.size("item").alias("item_tokens"), _let(tokens(F.col("r.text")), lambda mine: _overlap(mine, F.col("item"), F.col("offset"))).alias("o"))
@@ -121,9 +126,10 @@ def _checked(docs: DataFrame, benchmark: DataFrame, most_broadcast: int) -> Data
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """doc_id, item_id, start, equal_tokens, overlap_tokens, item_tokens: one row for each document and item found in it.
+    """doc_id, item_id, start, equal_tokens, overlap_tokens, item_tokens, text_key: one row for each document and item found in it.
 
-    ``start`` is the token of the document on which the item's first token lies, at the best alignment (then the
+    A document is an id and a text (``text_key`` is its hash), so different texts under one id, or without one, give rows of their
+    own. ``start`` is the token of the document on which the item's first token lies, at the best alignment (then the
     first). Null and empty texts hold nothing; items without a token are found nowhere; rows with a null id give
     rows with a null id; repeated rows (of documents or items) give one row; empty tables give none; other
     columns are ignored.
@@ -131,15 +137,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MOST_BROA
     best = F.max(F.struct(F.col("o.equal").alias("equal"), (-F.col("offset")).alias("back"), F.col("o.length").alias("length"), "item_tokens")).alias("b")
     return (
         _checked(docs, benchmark, most_broadcast)
-        .groupBy("doc_id", "item_id")
+        .groupBy("doc_id", "key", "item_id")
         .agg(best)
-        .select("doc_id", "item_id", (-F.col("b.back")).alias("start"), F.col("b.equal").alias("equal_tokens"), F.col("b.length").alias("overlap_tokens"), F.col("b.item_tokens").alias("item_tokens"))
+        .select("doc_id", "item_id", (-F.col("b.back")).alias("start"), F.col("b.equal").alias("equal_tokens"), F.col("b.length").alias("overlap_tokens"), F.col("b.item_tokens").alias("item_tokens"), F.col("key").alias("text_key"))
     )
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in whose text no item was found; rows that share an id, or have none, are told apart by their text."""
-    found = _checked(docs, benchmark, MOST_BROADCAST).select(F.col("doc_id").alias("_leaking"), F.col("key").alias("_key")).distinct()
+    leaking, key = unused(docs.columns, "_leaking", "_key")
+    found = _checked(docs, benchmark, MOST_BROADCAST).select(F.col("doc_id").alias(leaking), F.col("key").alias(key)).distinct()
     found = stage(found, "benchmark-leaking")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_leaking")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_key"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(leaking)) & (F.xxhash64(F.col("text").cast("string")) == F.col(key))
     return docs.join(found, F.col("text").isNotNull() & same, "left_anti")
