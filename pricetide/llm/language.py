@@ -5,7 +5,7 @@ The log-probabilities (languages x 2 ** BITS single floats, 1 MB at 4 languages;
 counted before) go to the executors as a broadcast variable, and whole texts are scored a few megabytes at a
 time: each n-gram's column is looked up and the columns are summed per text.
 
-Learning is fitted on a bounded sample of labelled rows: TRAIN_ROWS rows, chosen by a hash of the id.
+Learning is fitted on a bounded sample of labelled rows: TRAIN_ROWS rows, chosen by a hash of id and text.
 """
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.nd
         return [], np.zeros((0, 1 << BITS), np.float32)
     # Rare languages keep more of their rows.
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], max(train_rows / total, train_rows / len(names) / r["count"] / 2))])
-    chosen = known.where((F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_003)) / 1_000_003) < share[F.col("lang")])
+    chosen = known.where((F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1_000_003)) / 1_000_003) < share[F.col("lang")])
 
     def count(batches):
         found = np.zeros((len(names), 1 << BITS), np.int64)
