@@ -329,18 +329,21 @@ def _regions(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _units(members: DataFrame) -> DataFrame:
-    """node, key, region, unit: the tasks a class's set goes to. ``members`` has node, key, n, region."""
+    """node, key, holder, region, unit: the tasks a class's set goes to. ``members`` has node, key, holder, n, region."""
     sizes = members.groupBy("region").agg(F.ceil(F.sum("n") / F.lit(MOST_SHINGLES)).cast("int").alias("blocks"))
     placed = members.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
     # Every two blocks meet in one unit; a region of one block is one unit.
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
     unit = F.explode(F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.filter(other, lambda u: u["i"] != u["j"])))
-    return placed.select("node", "key", "region", unit.alias("unit"))
+    return placed.select("node", "key", "holder", "region", unit.alias("unit"))
 
 
 def _linked(rows: DataFrame, units: DataFrame, shingle: int, percent: int) -> DataFrame:
     """a, b: a forest of each unit's links."""
-    texts = units.select("key").distinct().join(rows.select("key", "text"), "key").groupBy("key").agg(F.first("text").alias("text"))
+    # One row's text for each class, by id and text: copies of a text under other ids are not read.
+    wanted = units.select("key", "holder").distinct()
+    held = rows.select(F.col("key").alias("_key"), "doc_id", "text")
+    texts = wanted.join(held, (F.col("key") == F.col("_key")) & F.col("holder").eqNullSafe(F.col("doc_id"))).groupBy("key").agg(F.first("text").alias("text"))
     with_text = units.join(texts, "key").select("region", F.col("unit.i").alias("i"), F.col("unit.j").alias("j"), "node", "text")
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -362,10 +365,12 @@ def _known(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Data
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(F.col("text")).alias("key"))
     sketched = stage(_sketched(rows, shingle, percent), "jaccard-sketches")
-    grouped = sketched.where("n > 0").groupBy(*_CLASS).agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.min("pivots").alias("pivots"), F.min("profile").alias("profile"))
+    grouped = sketched.where("n > 0").groupBy(*_CLASS).agg(F.min("doc_id").alias("least"), F.min(F.struct("key", "doc_id")).alias("first"), F.min("pivots").alias("pivots"), F.min("profile").alias("profile"))
+    # The row whose text stands for the class.
+    grouped = grouped.withColumns({"key": F.col("first.key"), "holder": F.col("first.doc_id")}).drop("first")
     classes = stage(grouped.withColumn("node", F.xxhash64("f1", "f2", "n")), "jaccard-classes")
     regions = stage(_regions(classes, percent), "jaccard-regions")
-    members = classes.join(regions, "node").select("node", "key", "n", F.col("root").alias("region"))
+    members = classes.join(regions, "node").select("node", "key", "holder", "n", F.col("root").alias("region"))
     found = stage(_linked(rows, _units(members), shingle, percent), "jaccard-links")
     joined = components(found, "jaccard-components")
     named = classes.select("node", "least").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
