@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pricetide.llm import jaccard, lines, substring
+from pyspark.sql import functions as F
+
+from pricetide.llm import decontaminate, jaccard, language, lines, substring, toxicity
 from pricetide.llm.common import words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -198,3 +200,29 @@ def test_long_regions_are_chained(docs_of, monkeypatch, listed):
         ids = [d for (d, _), y in zip(rows, label) if y == x and d is not None] if s else [i]
         want.append((str(i), min(ids) if ids and ids[0] is not None else None))
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_lines_beside_columns_of_any_name(docs_of):
+    long = "this line has more than eight words in it, truly"
+    rows = [(1, f"a\n{long}"), (2, f"b\n{long}"), (None, f"c\n{long}")]
+    docs = docs_of(rows).withColumns({"gone": F.lit(9), "_key": F.lit("k"), "_OWN": F.lit(1.5), "_doc_id": F.lit(0), "_gone": F.lit(7), "a b": F.lit(4)})
+    got = sorted((r.text, r.gone, r["_key"], r["_OWN"], r["_doc_id"], r["_gone"], r["a b"]) for r in lines.dedup_lines(docs).collect())
+    assert got == [(f"a\n{long}", 9, "k", 1.5, 0, 7, 4), ("b", 9, "k", 1.5, 0, 7, 4), ("c", 9, "k", 1.5, 0, 7, 4)]
+
+
+def test_very_long_texts(spark, docs_of):
+    """Two texts of 3 MB that share all but their ends, next to short ones."""
+    r = random.Random(4)
+    words = [f"word{r.randrange(5000)}x{i % 977}" for i in range(230_000)]
+    first, second = " ".join(words), " ".join([*words[:-20], *(f"other{i}" for i in range(20))])
+    docs = docs_of([(1, first), (2, second), (3, "short one"), (4, None)]).repartition(2)
+    n = {r.doc_id: (r.n_words, r.n_removed) for r in substring.digests(substring.remove(docs)).collect()}
+    assert n == {1: (230_000, 229_980), 2: (230_000, 229_980), 3: (2, 0), 4: (0, 0)}
+    near = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert near == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert [r.n_lines for r in lines.dedup_lines(docs).orderBy("doc_id").collect()] == [1, 1, 1, 0]
+    item = spark.createDataFrame([(1, " ".join(words[100_000:100_030]))], "item_id long, text string")
+    assert sorted((r.doc_id, r.start) for r in decontaminate.leaks(docs, item).collect()) == [(1, 100_000), (2, 100_000)]
+    assert {r.doc_id: r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit("en"))).collect()} == {1: "en", 2: "en", 3: "en", 4: "und"}
+    labels = spark.createDataFrame([(1, 0, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity(docs, labels).count() == 4

@@ -88,6 +88,26 @@ def test_leaks(spark, docs_of):
     assert decontaminate.leaks(docs_of(rows), bench.where("false")).count() == 0
 
 
+def test_leaks_of_texts_that_share_an_id(spark, docs_of):
+    item = " ".join(f"tok{i}" for i in range(20))
+    rows = [(7, f"one {item}"), (7, f"another {item}"), (None, f"a third {item}"), (None, f"the fourth one {item}"), (7, "clean"), (7, f"one {item}")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for most in (decontaminate.MOST_BROADCAST, 0):
+        got = sorted((str(r.doc_id), r.start) for r in decontaminate.leaks(docs_of(rows), bench, most).collect())
+        assert got == [("7", 1), ("7", 1), ("None", 2), ("None", 3)]
+    clash = docs_of(rows).withColumns({"_leaking": F.lit(1), "_KEY": F.lit(2)})
+    kept = decontaminate.without_leaks(clash, bench)
+    assert [(r.doc_id, r.text, r["_leaking"], r["_KEY"]) for r in kept.collect()] == [(7, "clean", 1, 2)]
+
+
+def test_language_sample_without_ids(docs_of):
+    """Rows without an id are sampled one by one, not all or none."""
+    rows = [(None, f"der hund {i} und die katze {i * 7}", "de") for i in range(400)] + [(None, f"the dog {i} and the cat {i * 7}", "en") for i in range(400)]
+    names, table = language.fit(docs_of(rows).select("doc_id", "text", "lang"), 200)
+    whole = language.fit(docs_of(rows).select("doc_id", "text", "lang"))[1]
+    assert names == ["de", "en"] and not (table == whole).all() and (table != table.min()).any()
+
+
 def test_leaks_are_native(spark, docs_of):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve")], "item_id long, text string")
     plan = decontaminate.leaks(docs_of([(1, "a")]), bench)._jdf.queryExecution().executedPlan().toString()
