@@ -136,6 +136,10 @@ class Learner:
         self.w, self.mean, self.spread = (np.asarray(v, dtype=float) for v in state[2:])
 
 
+# Members whose steps ``Panel.learn`` can make for all lines at once.
+_LINES = ("sgd", "ridge", "pa")
+
+
 class Panel:
     """Members of several settings over the same rows: one scaler, one matrix of weights.
 
@@ -144,7 +148,10 @@ class Panel:
     """
 
     def __init__(self, settings: list[Mapping[str, Mapping[str, float]]], size: int):
-        self.lines = [(s, m) for s in range(len(settings)) for m in MEMBER_RULES if m in settings[s]]
+        unknown = {m for setting in settings for m in setting} - set(_LINES)
+        if unknown:
+            raise ValueError(f"no matrix form for the members {sorted(unknown)}")
+        self.lines = [(s, m) for s in range(len(settings)) for m in _LINES if m in settings[s]]
         value = lambda k, missing: np.array([settings[s][m].get(k, missing) for s, m in self.lines], dtype=float)
         kind = np.array([m for _, m in self.lines])
         self.passive = kind == "pa"

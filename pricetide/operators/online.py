@@ -38,6 +38,12 @@ class LoopSpec:
     bar_seconds: int = MINUTE
 
 
+def check_block(spec: LoopSpec) -> None:
+    """The first rows are learnt at once with labels that lie up to a horizon ahead, so no forecast may be made before those."""
+    if spec.init_rows and spec.min_history < spec.init_rows + spec.horizon_min:
+        raise ValueError("min_history must be at least init_rows + horizon_min: forecasts would know their own labels")
+
+
 # The settings of the two horizons.
 ONE_MINUTE_LOOP = LoopSpec()
 THIRTY_MINUTE_LOOP = LoopSpec(

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.operators.learners import DEFAULTS, Panel
-from pricetide.operators.online import ForecastLoop, LoopSpec
+from pricetide.operators.online import ForecastLoop, LoopSpec, check_block
 from pricetide.operators.series import Layout, per_series
 from pricetide.plans.features import FEATURES, ONE_MINUTE, FeatureSpec, feature_matrix
 from pricetide.schemas import ERROR_KEYS, ERRORS_JSON, HYPERPARAMETERS, MEMBERS, STATE_JSON, STATE_KEYS
@@ -61,6 +61,7 @@ def replay(
     The first ``init_rows`` rows are learnt as a block with the labels of the feature matrix.
     ``tuned`` (see ``tuned_settings``) overrides ``settings`` for the symbols it names.
     """
+    check_block(loop)
     whole = FeatureSpec(**{**features.__dict__, "drop_null": False})
     matrix = feature_matrix(ticks, whole, layout, limit=loop.max_rows)
     target = features.target

@@ -49,11 +49,14 @@ def stream_bars(ticks: DataFrame, width: str = "1 minute", watermark: str | None
 
 
 def upsert_sink(path: str, keys: Sequence[str], order: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
-    """A batch writer whose version is the batch number: a repeated batch replaces itself."""
+    """A batch writer whose version is the batch number: a repeated batch replaces itself.
+
+    Of rows with equal keys in one batch the last by ``order`` stays; without an order any one of them, but just one.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch.dropna("any", subset=list(keys))
-        write_version(keep_last(rows, keys, order) if order else rows, path, batch_id)
+        write_version(keep_last(rows, keys, order or keys), path, batch_id)
 
     return write
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pricetide.operators.learners import DEFAULTS
-from pricetide.operators.online import ForecastLoop, LoopSpec
+from pricetide.operators.online import ForecastLoop, LoopSpec, check_block
 from pricetide.operators.series import Layout, tail_rows
 from pricetide.plans.features import FEATURES, FeatureSpec
 from pricetide.plans.forecast import FORECAST_SCHEMA, forecast_frame
@@ -52,6 +52,7 @@ def initial_states(
 
     The first ``init_rows`` bars are learnt as a block, the others one by one as the stream does.
     """
+    check_block(loop)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         state, model = FeatureState(features), ForecastLoop(loop, len(FEATURES), settings)

@@ -297,3 +297,32 @@ def test_published_settings_reach_the_replay(spark):
     a = L.replay(frame, SHORT, ONE_MINUTE, tuned=tuned).toPandas().sort_values("target")
     b = L.replay(frame, SHORT, ONE_MINUTE, settings=L.GRID[3]).toPandas().sort_values("target")
     assert np.allclose(a.y_hat, b.y_hat)
+
+
+def test_settings_that_make_no_sense_are_refused(spark):
+    with pytest.raises(ValueError, match="huber"):
+        Panel([{"sgd": {"alpha": 1e-4}, "huber": {}}], 3)
+    early = replace(ONE_MINUTE_LOOP, min_history=100, init_rows=600)
+    frame = ticks_frame(spark, bar_walk(10))
+    with pytest.raises(ValueError, match="min_history"):
+        L.replay(frame, early, ONE_MINUTE)
+    with pytest.raises(ValueError, match="min_history"):
+        initial_states(frame.withColumnRenamed("ts", "minute"), early, ONE_MINUTE, Layout(order=("minute",)))
+
+
+def test_metadata_of_both_horizons(spark):
+    winner = spark.createDataFrame([("a", 3, 0.1), ("b", 0, 0.2)], "symbol string, hp_id int, mae double")
+    errors = spark.createDataFrame([("a", 1, 0.1, 0.2, 0.3), ("a", 2, 0.5, None, 0.7)], "symbol string, target int, mae_sgd double, mae_ridge double, mae_pa double")
+    meta = L.published(winner, horizon=30).unionByName(L.error_averages(errors, 1)).unionByName(W.meta_row(spark, "c:v4_ewm_mae", "none"))
+    assert sorted((r.symbol, r.hps.pa.C, r.mae) for r in L.tuned_settings(meta, 30).collect()) == [("a", 0.75, 0.1), ("b", 0.25, 0.2)]
+    assert L.tuned_settings(meta).count() == 0 and L.stored_averages(meta, 30).count() == 0
+    assert [tuple(r) for r in L.stored_averages(meta).collect()] == [("a", 0.5, None, 0.7)]
+
+
+def test_equal_keys_of_a_batch_are_stored_once(spark):
+    out = scratch_path(spark, "once")
+    rows = spark.createDataFrame([("a", 1, 5.0), ("a", 1, 7.0), ("b", 1, 1.0), (None, 1, 1.0)], "symbol string, k int, v double")
+    ingest.upsert_sink(out, ["symbol", "k"])(rows, 0)
+    assert sorted(r.symbol for r in spark.read.parquet(out).collect()) == ["a", "b"]
+    ingest.upsert_sink(out, ["symbol", "k"], ["v"])(rows, 0)
+    assert sorted((r.symbol, r.v) for r in spark.read.parquet(out).collect()) == [("a", 7.0), ("b", 1.0)]
