@@ -317,9 +317,11 @@ def earlier_totals(rows: DataFrame, key: str, position: str, totals: Mapping[str
     inside = Window.partitionBy(key, "_group").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(key).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     kinds = {name: kind for name, (kind, _) in totals.items()}
-    whole = grouped.groupBy(key, "_group").agg(*[_total(kind, x, F.col(position)).alias(f"_g_{name}") for name, (kind, x) in totals.items()])
-    carried = whole.select(key, "_group", *[_before(kind, F.col(f"_g_{name}"), before).alias(f"_c_{name}") for name, kind in kinds.items()])
     own = grouped.withColumns({f"_i_{name}": _before(kind, x, inside) for name, (kind, x) in totals.items()})
+    # A group's total is what stands before its last row, with that row: it needs no other shuffle than the window.
+    ends = [F.max_by(_joined(kind, F.col(f"_i_{name}"), x), F.col(position)).alias(f"_g_{name}") for name, (kind, x) in totals.items()]
+    whole = own.groupBy(key, "_group").agg(*ends)
+    carried = whole.select(key, "_group", *[_before(kind, F.col(f"_g_{name}"), before).alias(f"_c_{name}") for name, kind in kinds.items()])
     both = own.join(carried, [key, "_group"])
     out = both.withColumns({name: _joined(kind, F.col(f"_c_{name}"), F.col(f"_i_{name}")) for name, kind in kinds.items()})
     return out.drop("_group", *[f"{p}_{name}" for p in ("_i", "_c") for name in totals])
