@@ -1,9 +1,13 @@
 """Language by multinomial naive Bayes over hashed character n-grams.
 
-Training counts n-grams of 1 to 4 bytes of lower-cased text per language, in a table of 2 ** BITS columns.
-The log-probabilities (languages x 2 ** BITS single floats, 1 MB at 4 languages; the languages are few and
-counted before) go to the executors as a broadcast variable, and whole texts are scored a few megabytes at a
-time: each n-gram's column is looked up and the columns are summed per text.
+Training counts n-grams of 1 to 4 characters (code points of the text in lower case; what is no letter is a blank) per language, in
+a table of 2 ** BITS columns, and the languages themselves for their priors. The log-probabilities (languages x 2 ** BITS
+single floats, 1 MB at 4 languages; the languages are few and counted before) go to the executors as a broadcast
+variable.
+
+Scoring multiplies a sparse matrix (texts x columns, an entry for each n-gram) with that table: the rows of the
+table that the n-grams of a piece of text name are added up per text. A piece has at most PIECE characters, a longer text
+is several, and languages are taken AT_ONCE at a time, so a task's memory depends on neither.
 
 Learning is fitted on a bounded sample of labelled rows: TRAIN_ROWS rows, chosen by a hash of id and text.
 """
@@ -14,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,36 +26,72 @@ from pricetide.llm.common import as_bytes, pieces, small_batches
 
 BITS = 16
 GRAMS = (1, 2, 3, 4)
+# Characters of a piece, languages that are scored together.
+PIECE = 1 << 15
+AT_ONCE = 16
 # Labelled rows that the model is fitted on, at most (in the mean: rows are chosen by a hash).
 TRAIN_ROWS = 20_000
 # Languages with a table in memory, at most.
 MOST_LANGUAGES = 1_000
 UNKNOWN = "und"
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-# Digits and punctuation say nothing about the language; they count as blanks.
-_LOWER[[*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = 0x20
+_BLANK = 0x20
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_letters: list[np.ndarray] = []
 
 
-def columns(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """n, and the column of the n-gram that starts at each byte (those that run past the end are left out)."""
-    low = _LOWER[data].astype(np.uint32)
-    value = np.zeros(len(low), np.uint32)
-    for n in range(1, max(GRAMS) + 1):
-        value = value[: len(low) - n + 1] * np.uint32(257) + low[n - 1 :]
-        if n in GRAMS:
-            yield n, ((value * np.uint32(2654435761) + np.uint32(n * 40503)) >> np.uint32(32 - BITS)).astype(np.int64)
+def _is_letter() -> np.ndarray:
+    """For every code point, made once for a worker."""
+    if not _letters:
+        _letters.append(np.array([chr(i).isalpha() for i in range(0x110000)]))
+    return _letters[0]
+
 
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of UTF-8 bytes, and the byte at which each begins."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    lead = data[at].astype(np.uint32)
+    more = (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
+    value = np.where(more > 0, lead & (0x3F >> more), lead)
+    for k in (1, 2, 3):
+        far = np.flatnonzero(more >= k)
+        value[far] = value[far] << 6 | data[at[far] + k] & 0x3F
+    return value, at
 
-def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    data, offsets = as_bytes(column)
+
+def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, int, np.ndarray]]:
+    """Pieces of some whole texts: the first row, where each text begins and ends, characters repeated, characters.
+
+    A piece that goes on repeats the last characters of the one before, as many as an n-gram may reach back.
+    """
+    data, offsets = as_bytes(pc.utf8_lower(column.cast(pa.large_string())))
     for low, high in pieces(offsets, 1 << 18):
-        yield low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+        value, at = code_points(data[offsets[low] : offsets[high]])
+        value = np.where(_is_letter()[value], value, _BLANK).astype(np.uint64)
+        bounds = np.searchsorted(at, offsets[low : high + 1] - offsets[low])
+        for begin in range(0, len(value), PIECE):
+            end = min(begin + PIECE, len(value))
+            first, last = int(np.searchsorted(bounds, begin, "right")) - 1, int(np.searchsorted(bounds, end))
+            back = min(max(GRAMS) - 1, begin - int(bounds[first]))
+            own = np.clip(bounds[first : last + 1], begin - back, end) - (begin - back)
+            yield low + first, own, back, value[begin - back : end]
 
 
-def _inside(offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per text, the first n-gram and the one after its last."""
-    return offsets[:-1], np.maximum(offsets[1:] - n + 1, offsets[:-1])
+def columns(value: np.ndarray, bounds: np.ndarray, back: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length, the column of every n-gram of a piece and which of its texts it is of, in order.
+
+    N-grams that end in the first ``back`` characters are left out: the piece before has them.
+    """
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    # How many characters of its own text stand up to each one.
+    reach = np.arange(len(value)) - bounds[:-1][text] + 1
+    key = np.zeros(len(value), np.uint64)
+    for n in range(1, max(GRAMS) + 1):
+        # The n-gram that ends here: the one before, shorter by a character, and this one.
+        key = np.append(np.zeros(1, np.uint64), key[:-1]) if n > 1 else key
+        key = (key + value + np.uint64(n)) * _SPREAD
+        if n in GRAMS:
+            keep = np.flatnonzero(reach[back:] >= n) + back
+            yield (key[keep] >> np.uint64(64 - BITS)).astype(np.int64), text[keep]
 
 
 def held_out(doc_id: Column, mod: int = 4, rest: int = 2) -> Column:
@@ -58,7 +99,7 @@ def held_out(doc_id: Column, mod: int = 4, rest: int = 2) -> Column:
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages, and their log-probabilities (languages x columns) with add-one smoothing.
+    """Languages, and their log-probabilities (languages x columns) with add-one smoothing; a last column has the log priors.
 
     ``docs`` has text and lang; rows without either don't count. Without any row there is no language.
     """
@@ -69,7 +110,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.nd
     names = sorted(r["lang"] for r in sizes)
     total = sum(r["count"] for r in sizes)
     if not names:
-        return [], np.zeros((0, 1 << BITS), np.float32)
+        return [], np.zeros((0, (1 << BITS) + 1), np.float32)
     # Rare languages keep more of their rows.
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], max(train_rows / total, train_rows / len(names) / r["count"] / 2))])
     chosen = known.where((F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1_000_003)) / 1_000_003) < share[F.col("lang")])
@@ -78,12 +119,9 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.nd
         found = np.zeros((len(names), 1 << BITS), np.int64)
         for batch in batches:
             lang = np.array([names.index(x) for x in batch.column("lang").to_pylist()], np.int64)
-            for low, high, data, offsets in _texts(batch.column("text")):
-                for n, column in columns(data):
-                    first, end = _inside(offsets, n)
-                    inside = np.arange((end - first).sum()) + np.repeat(first - (np.cumsum(end - first) - (end - first)), end - first)
-                    of = np.repeat(lang[low:high], end - first)
-                    found += np.bincount(of << BITS | column[inside], minlength=found.size).reshape(found.shape)
+            for first, bounds, back, value in _texts(batch.column("text")):
+                for column, owner in columns(value, bounds, back):
+                    np.add.at(found.ravel(), lang[first + owner] << BITS | column, 1)
         at = np.flatnonzero(found)
         for k in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 100_000]), pa.array(found.ravel()[at[k : k + 100_000]])], names=["at", "n"])
@@ -92,37 +130,40 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.nd
     table = np.ones((len(names), 1 << BITS))
     for r in counts.toLocalIterator():
         table.flat[r["at"]] += r["n"]
-    return names, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+    rows = {r["lang"]: r["count"] for r in sizes}
+    prior = np.log([[(rows[x] + 1) / (total + len(names))] for x in names])
+    return names, np.hstack([np.log(table / table.sum(axis=1, keepdims=True)), prior]).astype(np.float32)
+
+
+def log_likelihoods(column: pa.Array, model: np.ndarray) -> np.ndarray:
+    """Rows x languages, without the priors; ``model`` has a row for each column of n-grams."""
+    logs = np.zeros((len(column), model.shape[1]))
+    for first, bounds, back, value in _texts(column):
+        for at, owner in columns(value, bounds, back):
+            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+            for k in range(0, model.shape[1] if len(starts) else 0, AT_ONCE):
+                logs[first + owner[starts], k : k + AT_ONCE] += np.add.reduceat(model[at, k : k + AT_ONCE], starts, axis=0, dtype=np.float64)
+    return logs
 
 
 def predict(docs: DataFrame, names: list[str], table: np.ndarray, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``docs`` and lang_pred, score (the language's posterior probability).
 
-    A null text, one without a letter, or a model without languages gives "und" with score 0. Languages have
-    equal priors; of equal languages the first in order is taken.
+    A null text, one without a letter, or a model without languages gives "und" with score 0. Of equal languages the
+    first in order is taken.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(table.T))
 
     def run(batches):
-        model = shared.value
+        model, prior = shared.value[:-1], shared.value[-1] if len(names) else None
         for batch in batches:
             best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
-            for low, high, data, offsets in _texts(batch.column("text")):
-                if not names or not len(data):
-                    continue
-                logs = np.zeros((high - low, len(names)))
-                for n, column in columns(data):
-                    total = np.zeros((len(column) + 1, len(names)))
-                    np.cumsum(model[column], axis=0, dtype=np.float64, out=total[1:])
-                    first, end = (np.minimum(x, len(column)) for x in _inside(offsets, n))
-                    logs += total[end] - total[first]
-                some = np.diff(offsets) > 0
-                top = logs.max(axis=1)
-                score[low:high] = np.where(some, 1 / np.exp(logs - top[:, None]).sum(axis=1), 0)
-                best[low:high] = np.where(some, logs.argmax(axis=1), -1)
             letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
-            best[~letters], score[~letters] = -1, 0
+            if names and letters.any():
+                logs = log_likelihoods(batch.column("text"), model) + prior
+                score = np.where(letters, 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1), 0)
+                best = np.where(letters, logs.argmax(axis=1), -1)
             pred = pa.array([*names, UNKNOWN], pa.string()).take(pa.array(np.where(best < 0, len(names), best)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pred, pa.array(score)], names=[*keep, "lang_pred", "score"])
 

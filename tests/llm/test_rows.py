@@ -4,6 +4,9 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +59,47 @@ def test_language_held_out(spark):
     assert total > 150 and right >= 0.99 * total
 
 
+SAMPLES = ["Ab é", None, "", "x" * 70_000, "ÀÉ Straße 12 ΑΣ 語言 𝔘nicode", "z", "  7 "]
+
+
+def grams_of(text):
+    """The columns of all n-grams of a text, one by one."""
+    lowered = pa.compute.utf8_lower(pa.array([text or ""]))[0].as_py()
+    codes = [ord(c) if c.isalpha() else 32 for c in lowered]
+    for n in language.GRAMS:
+        for i in range(len(codes) - n + 1):
+            key = 0
+            for m, c in enumerate(codes[i : i + n], 1):
+                key = (key + c + m) * 0x9E3779B97F4A7C15 % 2**64
+            yield key >> (64 - language.BITS)
+
+
+@pytest.mark.parametrize("piece", [5, 1 << 15])
+def test_likelihoods_equal_a_plain_sum(monkeypatch, piece):
+    """Texts in one piece, and cut into pieces of a few characters; more languages than are scored at once."""
+    monkeypatch.setattr(language, "PIECE", piece)
+    model = np.random.default_rng(0).normal(size=(1 << language.BITS, 20)).astype(np.float32)
+    texts = SAMPLES if piece > 5 else [t for t in SAMPLES if len(t or "") < 100] * 2
+    got = language.log_likelihoods(pa.array(texts), model)
+    for row, text in zip(got, texts, strict=True):
+        assert np.allclose(row, model[list(grams_of(text))].sum(axis=0, dtype=float) if text else 0, rtol=1e-9, atol=1e-6)
+
+
+def test_language_model_is_a_plain_count(docs_of):
+    rows = [(1, "Der Hund, die Katze", "de"), (2, "the dog", "en"), (3, "ΤΟ ΣΚΥΛΊ το", "el"), (4, "the cat", "en"), (5, None, "en"), (6, "x", None)]
+    names, table = language.fit(docs_of(rows).select("doc_id", "text", "lang"))
+    assert names == ["de", "el", "en"]
+    for k, name in enumerate(names):
+        n = np.ones(1 << language.BITS)
+        for _, text, lang in rows:
+            if lang == name:
+                for c in grams_of(text):
+                    n[c] += 1
+        assert np.allclose(table[k, :-1], np.log(n / n.sum()), atol=1e-5)
+    # Four rows with a text and a language: one, one and two.
+    assert np.allclose(table[:, -1], np.log(np.array([2, 2, 3]) / 7), atol=1e-6)
+
+
 def test_language_edges(docs_of):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr")] * 12)]
     rows += [(100, None, "en"), (101, "", "de"), (102, "12 !? 3", "fr"), (103, "der Hund", None), (None, "the dog", "xx"), (None, "the dog", "xx")]
