@@ -807,7 +807,7 @@ def q_stream_targets(spark, sf_dir):
 # ---- joins of streams, late rows --------------------------------------------------------------
 
 # Files that a replay lands one after the other; a batch reads one of them.
-LANDED = 6
+LANDED = 4
 EVALUATED = ("price_real", "y_hat", "y_hat_ret", "erro", "erro_base")
 
 
