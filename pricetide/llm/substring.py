@@ -1,4 +1,4 @@
-"""Substring duplicates by relative Lempel-Ziv parsing against indexed blocks of all documents.
+"""Substring duplicates by relative Lempel-Ziv factoring against the indexed blocks of all documents.
 
 A window is WINDOW consecutive words of one document. A word is a duplicate if a window that covers it begins
 anywhere else too, in the same document or in another.
@@ -8,25 +8,30 @@ have equal anchors at the same place. Windows that follow each other and share a
 stretch of at most WINDOW - 1 + STEP words, STEP = WINDOW - GRAM + 1. A document is cut into its blocks by its own words alone,
 so documents that share a passage share the blocks inside it, wherever the passage stands.
 
-Index. Anchors are counted over all documents (a row per block, less than a tenth of the rows that windows
+Reference. Anchors are counted over all documents (a row per block, less than a tenth of the rows that windows
 would give; equal ones are added up before they are shuffled). Where an anchor stands twice, its blocks are the
-indexed reference, counted by their words.
+indexed reference: every block is indexed with the number and the least of its places, its source.
 
-Parsing. A document is factored from the left into blocks of the index: a block that is found twice or more is a
-copy as a whole, and neighbouring ones join into one long factor. A block found once under an anchor that has no
+Factoring. A document is factored greedily from the left: a block that the index knows twice opens a factor, which
+copies the reference from the block's source, and every following block (and window, see below) whose source
+goes on where the factor's copy ends extends it. A block found once under an anchor that has no
 other block is literal text. What is left is a block found once whose anchor has other blocks too: there a factor
-begins or ends within the block. These boundary blocks, and one of each other block under the same
-anchor, are taken apart into their windows, and the windows are counted. So every window that begins twice is
-found, and no two documents are ever paired.
+begins or ends within the block. These boundary blocks, and the source of each other block under the same
+anchor, are taken apart into their windows, and the windows are counted: a window found twice extends the factor beside
+it word by word, or opens one. Factors of WINDOW words and more are all there are, and those that touch make one span.
+So every window that begins twice is found, and no two documents are ever paired.
 
 Windows, anchors and blocks are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.llm.common import BASE, INVERSE, Words, mix, powers, small_batches, words_of
@@ -108,18 +113,19 @@ def _placed(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "key", "text").mapInArrow(run, _BLOCK)
 
 
-def parse(rows: DataFrame) -> DataFrame:
-    """Blocks of every document under anchors that stand at two places or more, with what the index knows of them.
+def parse(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks of every document under anchors that stand at two places or more, with what the index knows of them; the index.
 
-    ``twice``: the block is found twice or more. ``apart``: its anchor also has a block that is found once.
+    ``twice``: the block is found twice or more. ``apart``: its anchor also has a block that is found once. ``source``:
+    the least place of the block.
     """
     # Written first, so that Spark can split the tasks of a frequent anchor in the join.
     often = stage(_anchors(rows).groupBy("anchor").agg(F.sum("n").alias("places")).where("places > 1").select("anchor"), "substring-anchors")
     placed = stage(_placed(rows).join(often, "anchor"), "substring-blocks")
-    counted = placed.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("n"))
+    counted = placed.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "first", "windows")).alias("source"))
     least = counted.groupBy("anchor").agg(F.min("n").alias("least"))
-    known = stage(counted.join(least, "anchor").select("anchor", "block", (F.col("n") > 1).alias("twice"), (F.col("least") == 1).alias("apart")), "substring-index")
-    return stage(placed.join(known, ["anchor", "block"]), "substring-factors")
+    index = stage(counted.join(least, "anchor").select("anchor", "block", (F.col("n") > 1).alias("twice"), (F.col("least") == 1).alias("apart"), "source"), "substring-index")
+    return stage(placed.join(index, ["anchor", "block"]), "substring-factors"), index
 
 
 def _windows(blocks_of: DataFrame, rows: DataFrame) -> DataFrame:
@@ -154,35 +160,61 @@ def _with_texts(found: DataFrame, rows: DataFrame, how: str = "inner") -> DataFr
     return rows.join(f, rows["doc_id"].eqNullSafe(f["_doc"]) & (rows["key"] == f["_key"]), how).drop("_doc", "_key")
 
 
-def duplicate_spans(rows: DataFrame) -> DataFrame:
-    """doc_id, key, spans (array of [first word, word after the last], in order, apart) of documents with duplicates.
+def _runs(p: Column, joins: Callable[[Column, Column], Column]) -> Column:
+    """first, last: the ends of every longest run of elements of ``p`` that each join the one before."""
+    starts = F.filter(F.transform(p, lambda x, i: F.when((i == 0) | ~joins(F.get(p, i - 1), x), i)), lambda i: i.isNotNull())
+    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(p)))
+    return F.zip_with(starts, ends, lambda s, e: F.struct(F.get(p, s).alias("first"), F.get(p, e - 1).alias("last")))
+
+
+def factors(rows: DataFrame) -> DataFrame:
+    """doc_id, key, factors, spans of documents with duplicates.
 
+    ``factors``: [low, high, source_id, source_key, source_low], words low to high - 1 copy the words from source_low on of the
+    source, which may be the place itself. ``spans``: [low, high], factors that overlap or touch are one span. Both are in order.
     ``rows`` has doc_id, text and key, a hash of the text.
     """
-    marked = parse(rows)
-    # Blocks found once, and of the others under such an anchor one copy each. Equal rows are places of their own,
+    marked, index = parse(rows)
+    # Blocks found once, and of the others under such an anchor the source. Equal rows are places of their own,
     # so a block found once is in a row that has no equal.
     once = marked.where("apart and not twice").select("doc_id", "key", "first", "windows", "twice")
-    copies = marked.where("apart and twice").groupBy("anchor", "block").agg(F.min(F.struct("doc_id", "key", "first", "windows", "twice")).alias("b")).select("b.*")
+    copies = index.where("apart and twice").select("source.*", "twice")
     apart = once.union(copies).groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "windows", "twice")).alias("parts"))
     windows = stage(_windows(apart, rows), "substring-windows")
-    weights = windows.groupBy("window").agg(F.sum("weight").alias("n")).where("n > 1").select("window")
-    single = windows.where("weight = 1").join(weights, "window").select("doc_id", "key", F.col("at").alias("low"), (F.col("at") + WINDOW).alias("high"))
-    whole = marked.where("twice").select("doc_id", "key", F.col("first").alias("low"), (F.col("first") + F.col("windows") + (WINDOW - 1)).alias("high"))
-    # Factors: what overlaps or touches becomes one span.
-    pieces = whole.union(single).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("p"))
-    zero = F.array().cast("array<struct<low:int,high:int>>")
-
-    def add(spans, p):
-        last = F.get(spans, F.size(spans) - 1)
-        grown = F.concat(F.slice(spans, F.lit(1), F.greatest(F.size(spans) - 1, F.lit(0))), F.array(F.struct(last["low"].alias("low"), F.greatest(last["high"], p["high"]).alias("high"))))
-        return F.when((F.size(spans) > 0) & (p["low"] <= last["high"]), grown).otherwise(F.concat(spans, F.array(p)))
-
-    return pieces.select("doc_id", "key", F.aggregate("p", zero, add).alias("spans"))
+    known = windows.groupBy("window").agg(F.sum("weight").alias("n"), F.min(F.struct("doc_id", "key", F.col("at").alias("first"))).alias("source")).where("n > 1")
+
+    def piece(first: Column, windows: Column) -> Column:
+        source = [F.col(f"source.{c}").alias(f"source_{c}") for c in ("doc_id", "key", "first")]
+        return F.struct(first.alias("first"), windows.alias("windows"), *source).alias("piece")
+
+    # All windows of the pieces of a document are different, so an order by the first is one by the last too.
+    single = windows.where("weight = 1").join(known.select("window", "source"), "window").select("doc_id", "key", piece(F.col("at"), F.lit(1)))
+    whole = marked.where("twice").select("doc_id", "key", piece(F.col("first"), F.col("windows")))
+    pieces = whole.union(single).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("piece")).alias("p"))
+
+    def extends(a: Column, b: Column) -> Column:
+        same = a["source_doc_id"].eqNullSafe(b["source_doc_id"]) & (a["source_key"] == b["source_key"])
+        return same & (a["first"] + a["windows"] == b["first"]) & (a["source_first"] + a["windows"] == b["source_first"])
+
+    high = lambda x: x["first"] + x["windows"] + (WINDOW - 1)
+    factor = lambda r: F.struct(
+        r["first"]["first"].alias("low"),
+        high(r["last"]).alias("high"),
+        r["first"]["source_doc_id"].alias("source_id"),
+        r["first"]["source_key"].alias("source_key"),
+        r["first"]["source_first"].alias("source_low"),
+    )
+    span = lambda r: F.struct(r["first"]["first"].alias("low"), high(r["last"]).alias("high"))
+    return pieces.select(
+        "doc_id",
+        "key",
+        F.transform(_runs(F.col("p"), extends), factor).alias("factors"),
+        F.transform(_runs(F.col("p"), lambda a, b: b["first"] <= high(a)), span).alias("spans"),
+    )
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text, spans for every row: the words outside the spans, joined by a blank.
+    """doc_id, n_words, n_removed, kept_text, spans, n_factors for every row: the words outside the spans, joined by a blank.
 
     Null and empty texts have no words and keep an empty text. Repeated rows are places of their own, so their long
     texts go entirely. Rows with a null id stay, with a null id. Texts of fewer than WINDOW words stay
@@ -191,7 +223,8 @@ def remove(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
-    spans = stage(duplicate_spans(rows), "substring-spans")
+    found = factors(rows).select("doc_id", "key", "spans", F.size("factors").cast("long").alias("n_factors"))
+    spans = stage(found, "substring-spans")
 
     def run(batches):
         for batch in batches:
@@ -210,12 +243,14 @@ def remove(docs: DataFrame) -> DataFrame:
                     n_removed.append(high - low - len(chosen))
                     kept.append(b" ".join([data[a:b] for a, b in zip(words.starts[chosen].tolist(), words.ends[chosen].tolist(), strict=True)]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), batch.column("spans")],
-                names=["doc_id", "n_words", "n_removed", "kept_text", "spans"],
+                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), batch.column("spans"), pc.fill_null(batch.column("n_factors"), 0)],
+                names=["doc_id", "n_words", "n_removed", "kept_text", "spans", "n_factors"],
             )
 
-    return _with_texts(spans, rows, "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<low:int,high:int>>")
+    return _with_texts(spans, rows, "left").select("doc_id", "text", "spans", "n_factors").mapInArrow(
+        run, "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<low:int,high:int>>, n_factors long"
+    )
 
 
 def digests(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), F.size(F.coalesce("spans", F.array().cast("array<struct<low:int,high:int>>"))).cast("long").alias("n_spans"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), F.size(F.coalesce("spans", F.array().cast("array<struct<low:int,high:int>>"))).cast("long").alias("n_spans"), "n_factors")

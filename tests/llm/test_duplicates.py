@@ -77,6 +77,33 @@ def test_substring_against_all_windows(docs_of, seed):
     assert sum(len(g) for g in gone) > 1000
 
 
+def test_factors_copy_their_sources(docs_of):
+    """Every factor's words stand at its source, none goes on where the one before ends, and together they are the spans."""
+    rows = [r for r in corpus(5) if r[0] is not None]
+    docs = docs_of(rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    words = {(r.doc_id, r.key): WORD.findall(r.text) for r in docs.collect()}
+    n = 0
+    for r in substring.factors(docs).collect():
+        w, last = words[r.doc_id, r.key], None
+        for f in r.factors:
+            assert f.high - f.low >= substring.WINDOW and w[f.low : f.high] == words[f.source_id, f.source_key][f.source_low : f.source_low + f.high - f.low]
+            begin = (f.source_id, f.source_key, f.source_low, f.low)
+            # The windows of the factor before end here or earlier, and its copy does not go on here.
+            assert last is None or last[3] <= f.low and last != begin
+            last = (f.source_id, f.source_key, f.source_low + f.high - f.low - substring.WINDOW + 1, f.high - substring.WINDOW + 1)
+            n += 1
+        assert {k for s in r.spans for k in range(s.low, s.high)} == {k for f in r.factors for k in range(f.low, f.high)}
+    assert n > 30
+
+
+def test_one_change_makes_two_factors(docs_of):
+    first = [f"w{i}" for i in range(900)]
+    rows = [(1, " ".join(first)), (2, " ".join(["x", *first[:400], "new", *first[401:]]))]
+    docs = docs_of(rows).select("doc_id", "text", F.xxhash64("text").alias("key"))
+    got = {r.doc_id: [(f.low, f.high, f.source_id, f.source_low) for f in r.factors] for r in substring.factors(docs).collect()}
+    assert got == {1: [(0, 400, 1, 0), (401, 900, 1, 401)], 2: [(1, 401, 1, 0), (402, 901, 1, 401)]}
+
+
 def shingles(text):
     w = WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
     return frozenset(tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))) if w else frozenset()
