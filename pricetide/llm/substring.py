@@ -123,7 +123,9 @@ def parse(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     often = stage(_anchors(rows).groupBy("anchor").agg(F.sum("n").alias("places")).where("places > 1").select("anchor"), "substring-anchors")
     placed = stage(_placed(rows).join(often, "anchor"), "substring-blocks")
     counted = placed.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "first", "windows")).alias("source"))
-    least = counted.groupBy("anchor").agg(F.min("n").alias("least"))
+    # Both written, for the same reason: an anchor may have very many blocks.
+    counted = stage(counted, "substring-counts")
+    least = stage(counted.groupBy("anchor").agg(F.min("n").alias("least")), "substring-least")
     index = stage(counted.join(least, "anchor").select("anchor", "block", (F.col("n") > 1).alias("twice"), (F.col("least") == 1).alias("apart"), "source"), "substring-index")
     return stage(placed.join(index, ["anchor", "block"]), "substring-factors"), index
 
