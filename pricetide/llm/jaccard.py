@@ -14,8 +14,9 @@ Windows inside a region. A document's distances to coarse pivots, classes of shi
 into each (``profile``). By the triangle inequality these differ by no more than the sets do, so two documents of
 a region whose sizes or profiles are farther apart than linked ones can be are not neighbours. A region of
 more than MOST_LISTED documents lists no pairs; there each document is a neighbour of the next one by size, unless
-the step in size alone rules out a link across it. Documents that neighbours connect form one region from here on, so
-that each document goes to one region, once, and linked documents stay together.
+the step in size alone rules out a link across it, and those so connected are linked with the least of them. Documents
+that neighbours connect form one region from here on, so that each document goes to one region, once, and linked
+documents stay together.
 
 Recursion by documents. Inside a region documents are the pivots: distances to a few of them split it into Voronoi
 cells, a document is also put into every cell whose pivot is at most 2 t farther than its nearest, and the cells are
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.llm.common import Words, mix, small_batches, text_key, words_of
-from pricetide.llm.components import components
+from pricetide.llm.components import components, contract
 from pricetide.session import stage
 
 SHINGLE = 4
@@ -207,16 +208,13 @@ def _frequent(rows: DataFrame, shingle: int) -> np.ndarray:
 
     counted = sample.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     counted = stage(counted.where(F.col("n") >= SAMPLE_COPIES), "jaccard-frequent")
-    # The lowest count above which there are no more than MOST_FREQUENT shingles.
-    cut, total = None, 0
-    for r in counted.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
-        total += r["count"]
-        if total > MOST_FREQUENT:
-            break
-        cut = r["n"]
-    if cut is None:
+    # The lowest count above which there are no more than MOST_FREQUENT shingles. Different counts add up to at least
+    # half their number squared, so there are few of them.
+    sizes = counted.groupBy("n").count().toPandas().sort_values("n", ascending=False)
+    within = sizes["n"][sizes["count"].cumsum() <= MOST_FREQUENT]
+    if not len(within):
         return np.zeros(0, np.uint64)
-    return np.sort(counted.where(F.col("n") >= cut).select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
+    return np.sort(counted.where(F.col("n") >= int(within.min())).select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
 
 
 def _sketched(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -253,8 +251,8 @@ def _sketched(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
 def neighbours(pivot: np.ndarray, node: np.ndarray, n: np.ndarray, chained: np.ndarray, listed: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """a, b, sure: pairs of rows of a region, for whole regions in the order of (pivot, n).
 
-    Rows marked ``chained`` give the pair with the next one, which is ``sure``: it stands for others too. Other regions
-    have at most ``listed`` rows.
+    Of rows marked ``chained``, those that neighbours in this order connect are each paired with the least of them, which is
+    ``sure``: it stands for others too. Other regions have at most ``listed`` rows.
     """
     out = []
     for lag in range(1, max(2, listed)):
@@ -264,9 +262,12 @@ def neighbours(pivot: np.ndarray, node: np.ndarray, n: np.ndarray, chained: np.n
         if not same.any():
             break
         near = same & (100 * n[:-lag] >= percent * n[lag:])
-        if lag > 1:
-            near &= ~chained[:-lag]
-        at = np.flatnonzero(near)
+        if lag == 1 and chained.any():
+            starts = np.flatnonzero(np.concatenate([[True], ~near]))
+            least = np.repeat(np.minimum.reduceat(node, starts), np.diff(np.append(starts, len(node))))
+            at = np.flatnonzero(chained & (node != least))
+            out.append((least[at], node[at], chained[at]))
+        at = np.flatnonzero(near & ~chained[:-lag])
         out.append((node[at], node[at + lag], chained[at]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
@@ -315,17 +316,17 @@ def _regions(classes: DataFrame, percent: int) -> DataFrame:
     """node, root: classes that neighbours connect. ``node`` is a class's number."""
     pairs = stage(_neighbours(classes, percent).groupBy("a", "b").agg(F.max("sure").alias("sure")), "jaccard-neighbours")
     sketch = classes.select("node", "n", "profile")
-    both = pairs.where("not sure").join(sketch.toDF("a", "n_a", "p_a"), "a").join(sketch.toDF("b", "n_b", "p_b"), "b")
+    unsure = pairs.where("not sure").join(sketch.toDF("a", "n_a", "p_a"), "a").join(sketch.toDF("b", "n_b", "p_b"), "b")
+    both = unsure.drop("sure").unionByName(pairs.where("sure").select("a", "b"), allowMissingColumns=True)
 
-    def run(batches):
+    def near(batches):
         for batch in batches:
-            n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            profiles = zip(batch.column("p_a").to_pylist(), batch.column("p_b").to_pylist(), n.tolist(), strict=True)
-            keep = [may_link(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), k, percent) for x, y, k in profiles]
+            told = zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "p_a", "p_b")), strict=True)
+            keep = [x is None or may_link(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), i + j, percent) for i, j, x, y in told]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = both.mapInArrow(run, "a long, b long").union(pairs.where("sure").select("a", "b"))
-    return components(near, "jaccard-regions")
+    # Contracted by the same worker, so that a task has one.
+    return components(both.mapInArrow(lambda batches: contract(near(batches)), "a long, b long"), "jaccard-regions", contracted=True)
 
 
 def _units(members: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from pricetide.llm import decontaminate, jaccard, language, lines, substring, toxicity
+from pricetide.llm import components, decontaminate, jaccard, language, lines, substring, toxicity
 from pricetide.llm.common import words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -166,6 +166,81 @@ def test_jaccard_blocks_of_a_large_region(docs_of, monkeypatch):
     assert [got[i] for i in range(40)] == label
 
 
+def linked(pairs):
+    """node, root of a graph by plain union."""
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {x: find(x) for x in root}
+
+
+def graph(seed):
+    """A star, a path in random order, and small random components, with repeated links."""
+    r = random.Random(seed)
+    at = r.sample(range(-(10**6), 10**6), 2000)
+    path = at[600:1000]
+    pairs = [(at[300], at[i]) for i in range(300)] + list(zip(path, path[1:])) + [(at[1000 + 8 * k + r.randrange(8)], at[1000 + 8 * k + r.randrange(8)]) for k in range(125) for _ in range(7)]
+    pairs = [(a, b) for a, b in [*pairs, *pairs[::7]] if a != b]
+    r.shuffle(pairs)
+    return pairs
+
+
+@pytest.mark.parametrize("most", [1, 50, 1 << 19])
+def test_components_of_a_graph(spark, monkeypatch, most):
+    """Integers and bytes; a task that holds few links at once gives the same."""
+    monkeypatch.setattr(components, "MOST_LINKS", most)
+    pairs = graph(most)
+    want = linked(pairs)
+    stars = [(x.as_py(), y.as_py()) for batch in components.contract(pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in pairs[k : k + 20]]) for k in range(0, len(pairs), 20)) for x, y in zip(*batch.columns)]
+    assert linked(stars) == want and all(a > b for a, b in stars)
+    if most > 50:
+        links = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+        got = [(r.node, r.root) for r in components.components(links).collect()]
+        assert sorted(got) == sorted(want.items())
+        named = {x: f"{x + 10**6:08d}".encode() for p in pairs for x in p}
+        links = spark.createDataFrame([(named[a], named[b]) for a, b in pairs], "a binary, b binary").repartition(3)
+        got = [(bytes(r.node), bytes(r.root)) for r in components.components(links).collect()]
+        assert sorted(got) == sorted((named[x], named[y]) for x, y in want.items())
+
+
+def test_components_in_few_rounds(spark, monkeypatch):
+    """Families whose links stand in one partition are settled by the first pass: two tables are written."""
+    written = []
+    monkeypatch.setattr(components, "stage", lambda df, name, to=components.stage: written.append(name) or to(df, name))
+    pairs = [(f * 1000 + i, f * 1000 + i + 1) for f in range(4) for i in range(500)]
+    got = components.components(spark.createDataFrame(pairs, "a long, b long").repartition(1)).collect()
+    assert sorted((r.node, r.root) for r in got) == sorted(linked(pairs).items())
+    assert len(written) == 2
+
+
+def test_frequent_shingles_in_few_jobs(spark, docs_of):
+    """The number of jobs does not grow with that of the shuffle's partitions."""
+    rows = [(i, " ".join(f"w{(i * k) % 13}" for k in range(30 + i % 7))) for i in range(400)]
+    docs = docs_of(rows).select(F.encode("text", "utf-8").alias("key"), "text")
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    kept, jobs = {k: spark.conf.get(k) for k in names}, []
+    try:
+        spark.conf.set(names[1], "false")
+        for n in ("2", "40"):
+            spark.conf.set(names[0], n)
+            before = max(spark.sparkContext.statusTracker().getJobIdsForGroup(), default=0)
+            found = jaccard._frequent(docs, 4)
+            docs.count()
+            jobs.append(max(spark.sparkContext.statusTracker().getJobIdsForGroup()) - before)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(found) and (np.diff(found.astype(object)) > 0).all()
+    assert jobs[1] <= jobs[0] + 2
+
+
 def test_empty_tables(docs_of):
     empty = docs_of([(1, "x")]).where("false")
     assert substring.remove(empty).count() == 0
