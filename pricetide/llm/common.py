@@ -25,6 +25,8 @@ _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[list(b".,!?;:$%&*#|")] = True
 _ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
 _powers: dict[int, np.ndarray] = {}
+# Bits of a filter that is broadcast, at most; 64 of them are a row.
+MOST_BITS = 1 << 25
 
 
 def read_table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +55,23 @@ def text_key(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16)
 
 
+def may_be_in(rows: DataFrame, values: list[Column], keys: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` with a column ``_in``, false only where no row of ``keys`` has the ``values`` in its ``columns`` (of the same types).
+
+    A Bloom filter of one hash: bits by hash, 16 or more for a row of ``keys`` up to MOST_BITS, are broadcast, so that rows are told
+    where they are read and only those that may be in a small table are shuffled to be joined with it. Missing values are
+    like others. Beyond MOST_BITS / 16 rows of ``keys`` more rows are told wrongly that they may be in them.
+    """
+    bits = min(MOST_BITS, 1 << max(10, (16 * keys.count()).bit_length()))
+    bit = lambda place: place.bitwiseAND(63).cast("int")
+    place = lambda of: F.pmod(F.xxhash64(*of), F.lit(bits))
+    found = keys.select(place(columns).alias("_place"))
+    words = found.groupBy(F.shiftright("_place", 6).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("_place")))).alias("_bits"))
+    placed = rows.withColumn("_place", place(values))
+    told = placed.join(F.broadcast(words), F.shiftright("_place", 6) == F.col("_word"), "left")
+    return told.withColumn("_in", F.coalesce(F.getbit("_bits", bit(F.col("_place"))) == 1, F.lit(False))).drop("_place", "_word", "_bits")
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n-1) modulo 2 ** 64, kept for the worker's next chunk."""
     have = _powers.get(base)

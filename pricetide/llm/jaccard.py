@@ -12,9 +12,11 @@ result. Most regions hold one document and end there.
 
 Windows inside a region. A document's distances to coarse pivots, classes of shingles, are how many of its shingles fall
 into each (``profile``). By the triangle inequality these differ by no more than the sets do, so two documents of
-a region whose sizes or profiles are farther apart than linked ones can be are not neighbours. A region of
-more than MOST_LISTED documents lists no pairs; there each document is a neighbour of the next one by size, unless
-the step in size alone rules out a link across it, and those so connected are linked with the least of them. Documents
+a region whose sizes or profiles are farther apart than linked ones can be are not neighbours, nor are those that have
+too much before the region's shingle in the rank, if it is the first they share. Documents that meet none by size and rank, nearly all,
+end there. The others of a region go beside the least of them, their hub, get their profiles, and are compared in one task, so
+pairs are never written. Only a region or hub of more than MOST_COMPARED documents is not compared: there each is a neighbour of the
+next one by size, unless the step in size alone rules out a link across it, and those so connected are linked with the least of them. Documents
 that neighbours connect form one region from here on, so that each document goes to one region, once, and linked
 documents stay together.
 
@@ -30,14 +32,14 @@ Equal sets are one class from the start. Links leave a task as a forest, not as
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm.common import Words, mix, small_batches, text_key, words_of
+from pricetide.llm.common import Words, may_be_in, mix, small_batches, text_key, words_of
 from pricetide.llm.components import components, contract
 from pricetide.session import stage
 
@@ -49,11 +51,16 @@ MOST_FREQUENT = 500_000
 SAMPLE_COPIES = 2
 # Shingles of a block of a region (8 bytes each).
 MOST_SHINGLES = 1_500_000
-# Documents of a region whose pairs are looked at one by one; a longer region is chained by size.
-MOST_LISTED = 64
+# Documents of a region, or beside a hub, whose pairs are all looked at; in longer ones, pairs that are not connected yet.
+# Beyond MOST_COMPARED they are chained by size.
+MOST_LISTED = 128
+MOST_COMPARED = 8192
 SMALL_CELL = 400
 PIVOTS = 8
 _CLASS = ("f1", "f2", "n")
+# Numbers that profiles are compared by at once; bytes of a region that are held, or it is chained.
+_CELLS = 1 << 20
+_REGION_BYTES = 32 << 20
 
 
 def sets_of(words: Words, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -248,85 +255,197 @@ def _sketched(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     return rows.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key binary, f1 long, f2 long, n long, pivots array<long>, profile binary")
 
 
-def neighbours(pivot: np.ndarray, node: np.ndarray, n: np.ndarray, chained: np.ndarray, listed: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """a, b, sure: pairs of rows of a region, for whole regions in the order of (pivot, n).
+def near_sizes(n: np.ndarray, at: np.ndarray, i: np.ndarray, k: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Can rows ``i`` and ``k`` of a region link, if its pivot is the first in order that they share?
 
-    Of rows marked ``chained``, those that neighbours in this order connect are each paired with the least of them, which is
-    ``sure``: it stands for others too. Other regions have at most ``listed`` rows.
+    ``n`` are their sizes, ``at`` how many of their shingles come before the pivot: the other one has none of those.
     """
-    out = []
-    for lag in range(1, max(2, listed)):
-        if lag >= len(pivot):
+    both = np.minimum(n[i] - at[i], n[k] - at[k])
+    either = np.maximum(np.maximum(n[i] + at[k], n[k] + at[i]), n[i] + n[k] - both)
+    return 100 * both >= percent * either
+
+
+class Profiles:
+    """The profiles of some rows, as a matrix for each length."""
+
+    def __init__(self, profiles: list[bytes]):
+        self.length = np.array([len(x) for x in profiles], np.int64)
+        self.slot = np.zeros(len(profiles), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        for m in np.unique(self.length).tolist():
+            rows = np.flatnonzero(self.length == m)
+            self.slot[rows] = np.arange(len(rows))
+            self.of[m] = np.frombuffer(b"".join([profiles[r] for r in rows.tolist()]), np.uint8).reshape(-1, m)
+
+    def near(self, n: np.ndarray, i: np.ndarray, k: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+        """``may_link`` of the rows ``i`` and ``k``, of sizes ``n``."""
+        out = np.zeros(len(i), bool)
+        kinds = self.length[i] * (1 << 32) + self.length[k]
+        for kind in np.unique(kinds).tolist():
+            x, y = kind >> 32, kind & ((1 << 32) - 1)
+            every = np.flatnonzero(kinds == kind)
+            for low in range(0, len(every), max(1, _CELLS // max(x, y))):
+                at = every[low : low + max(1, _CELLS // max(x, y))]
+                a, b = (self.of[m][self.slot[j[at]]].astype(np.int32) for m, j in ((x, i), (y, k)))
+                full = np.zeros(len(at), bool) if x == y else (a.max(axis=1) == 255) | (b.max(axis=1) == 255)
+                m = min(x, y)
+                apart = np.abs(a.reshape(len(at), -1, m).sum(axis=1) - b.reshape(len(at), -1, m).sum(axis=1)).sum(axis=1)
+                out[at] = full | (apart * (100 + percent) <= (n[i[at]] + n[k[at]]) * (100 - percent))
+        return out
+
+
+def connected(size: int, near: Callable[[int], np.ndarray]) -> np.ndarray:
+    """For each of ``size`` rows one row of its component; ``near`` gives the neighbours of a row, which is not asked for rows of what is the largest component."""
+    label = np.arange(size)
+    largest, passed = -1, []
+
+    def join(i: int) -> bool:
+        labels = np.unique(label[np.append(near(i), i)])
+        if len(labels) > 1:
+            label[np.isin(label, labels)] = labels[0]
+        return len(labels) > 1
+
+    for i in range(size):
+        if label[i] == largest:
+            passed.append(i)
+        elif join(i):
+            largest = int(np.bincount(label).argmax())
+    # Those that were passed over because they were in what was the largest component then.
+    for i in passed:
+        if label[i] != label[largest]:
+            join(i)
+    return label
+
+
+def _pairs(region: np.ndarray, of: np.ndarray, listed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """i, k: all pairs of rows of a region, for whole regions in order, of those rows of which ``of`` holds."""
+    ends = np.searchsorted(region, region, "right")
+    left = np.where(of, ends - np.arange(len(region)), 0)
+    for lag in range(1, listed):
+        i = np.flatnonzero(left > lag)
+        if not len(i):
             break
-        same = pivot[lag:] == pivot[:-lag]
-        if not same.any():
-            break
-        near = same & (100 * n[:-lag] >= percent * n[lag:])
-        if lag == 1 and chained.any():
-            starts = np.flatnonzero(np.concatenate([[True], ~near]))
-            least = np.repeat(np.minimum.reduceat(node, starts), np.diff(np.append(starts, len(node))))
-            at = np.flatnonzero(chained & (node != least))
-            out.append((least[at], node[at], chained[at]))
-        at = np.flatnonzero(near & ~chained[:-lag])
-        out.append((node[at], node[at + lag], chained[at]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
+        yield i, i + lag
 
 
-def _neighbours(classes: DataFrame, percent: int) -> DataFrame:
-    """a, b, sure: neighbours of all regions."""
-    spread = classes.select(F.explode("pivots").alias("pivot"), "node", "n")
-    kind = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
-    listed = MOST_LISTED
-
-    def told(pivot, node, n, hot):
-        starts = np.flatnonzero(np.concatenate([[True], pivot[1:] != pivot[:-1]]))
-        sizes = np.diff(np.append(starts, len(pivot)))
-        chained = np.repeat(sizes > listed, sizes)
-        if hot is not None:
-            chained |= pivot == hot
-        a, b, sure = neighbours(pivot, node, n, chained, listed, percent)
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        first = np.unique(mix(low.view(np.uint64) ^ mix(high.view(np.uint64))) ^ sure.astype(np.uint64), return_index=True)[1]
-        return pa.RecordBatch.from_arrays([pa.array(low[first]), pa.array(high[first]), pa.array(sure[first])], schema=kind)
+def _sizes(region: np.ndarray) -> np.ndarray:
+    """For each row how many its region has."""
+    starts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
+    sizes = np.diff(np.append(starts, len(region)))
+    return np.repeat(sizes, sizes)
 
-    def run(batches):
-        rest, hot = [np.zeros(0, np.int64)] * 3, None
-        for batch in batches:
-            rows = [np.concatenate([r, batch.column(c).to_numpy(zero_copy_only=False)]) for r, c in zip(rest, ("pivot", "node", "n"), strict=True)]
-            open_at = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
-            if open_at:
-                yield told(*(r[:open_at] for r in rows), hot)
-                rows = [r[open_at:] for r in rows]
-            if len(rows[0]) > 50 * listed:
-                # A region without end in sight is chained as it comes, the last row links it to the rest.
-                hot = rows[0][0]
-                yield told(*rows, hot)
-                rows = [r[-1:] for r in rows]
-            rest = rows
-        if len(rest[0]):
-            yield told(*rest, hot)
-
-    ordered = spread.repartition("pivot").sortWithinPartitions("pivot", "n", "node")
-    return ordered.mapInArrow(run, "a long, b long, sure boolean")
 
+def meeting(pivot: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray, listed: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """hub, node: those of a region that may link to another one of it by ``near_sizes``, beside the least of them.
 
-def _regions(classes: DataFrame, percent: int) -> DataFrame:
-    """node, root: classes that neighbours connect. ``node`` is a class's number."""
-    pairs = stage(_neighbours(classes, percent).groupBy("a", "b").agg(F.max("sure").alias("sure")), "jaccard-neighbours")
-    sketch = classes.select("node", "n", "profile")
-    unsure = pairs.where("not sure").join(sketch.toDF("a", "n_a", "p_a"), "a").join(sketch.toDF("b", "n_b", "p_b"), "b")
-    both = unsure.drop("sure").unionByName(pairs.where("sure").select("a", "b"), allowMissingColumns=True)
+    For whole regions in the order of (pivot, n). In regions of over ``listed`` rows all count.
+    """
+    keep = _sizes(pivot) > listed
+    for i, k in _pairs(pivot, ~keep, listed):
+        near = near_sizes(n, at, i, k, percent)
+        keep[i[near]] = keep[k[near]] = True
+    pivot, node = pivot[keep], node[keep]
+    if not len(node):
+        return node, node
+    starts = np.flatnonzero(np.concatenate([[True], pivot[1:] != pivot[:-1]]))
+    return np.repeat(np.minimum.reduceat(node, starts), np.diff(np.append(starts, len(node)))), node
 
-    def near(batches):
-        for batch in batches:
-            told = zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "p_a", "p_b")), strict=True)
-            keep = [x is None or may_link(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), i + j, percent) for i, j, x, y in told]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+def chained(region: np.ndarray, node: np.ndarray, n: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """node, least: rows that follow each other by size, without a step too long for a link across it, beside the least of them."""
+    starts = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (100 * n[:-1] < percent * n[1:])]))
+    least = np.repeat(np.minimum.reduceat(node, starts), np.diff(np.append(starts, len(node))))
+    return node[node != least], least[node != least]
+
+
+def neighbours(hub: np.ndarray, node: np.ndarray, n: np.ndarray, profiles: Profiles, listed: int, compared: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """a, b: links with the components of those beside a hub that may link by size and profile, for whole hubs in the order of (hub, n).
+
+    Beside a hub of over ``compared`` rows those are linked that ``chained`` gives.
+    """
+    sizes = _sizes(hub)
+    out = [(node[:0], node[:0])]
+    for i, k in _pairs(hub, sizes <= listed, listed):
+        near = 100 * n[i] >= percent * n[k]
+        i, k = i[near], k[near]
+        near = profiles.near(n, i, k, percent)
+        out.append((node[i[near]], node[k[near]]))
+    first = np.flatnonzero((sizes > listed) & (sizes <= compared))
+    while len(first):
+        low, high = int(first[0]), int(first[0] + sizes[first[0]])
+        own = n[low:high]
+
+        def near_to(x: int, low: int = low, own: np.ndarray = own) -> np.ndarray:
+            k = np.arange(np.searchsorted(own, -(-percent * own[x] // 100)), np.searchsorted(own, 100 * own[x] // percent, "right"))
+            return k[profiles.near(n, np.full(len(k), low + x), low + k, percent)]
+
+        label = connected(high - low, near_to)
+        rest = np.flatnonzero(label != np.arange(len(label)))
+        out.append((node[low + label[rest]], node[low + rest]))
+        first = first[first >= high]
+    long = sizes > compared
+    if long.any():
+        out.append(chained(hub[long], node[long], n[long], percent))
+    return tuple(np.concatenate([o[x] for o in out]) for x in range(2))
+
+
+def _whole_regions(batches: Iterator[pa.RecordBatch], by: str, most: int) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """Rows in the order of ``by``, whole regions at a time; of a region of over ``most`` rows a part, and True.
+
+    The last row of such a part comes again at the head of the next one.
+    """
+    rest, hot = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if rest is None else pa.concat_batches([rest, batch])
+        region = rows.column(by).to_numpy()
+        open_at = int(np.searchsorted(region, region[-1]))
+        hot_to = 0 if hot is None else min(open_at, int(np.searchsorted(region, hot, "right")))
+        for low, high in ((0, hot_to), (hot_to, open_at)):
+            if low < high:
+                yield rows.slice(low, high - low), low < hot_to
+        rest = rows.slice(open_at)
+        if region[-1] != hot:
+            hot = None
+        if rest.num_rows > most or rest.nbytes > _REGION_BYTES:
+            hot = region[-1]
+            yield rest, True
+            rest = rest.slice(rest.num_rows - 1)
+    if rest is not None:
+        yield rest, hot is not None
+
+
+def _neighbours(classes: DataFrame, percent: int) -> DataFrame:
+    """a, b: links with the components of the neighbours of all regions."""
+    listed, compared = MOST_LISTED, MOST_COMPARED
+    numbers = lambda rows, *names: [rows.column(c).to_numpy().astype(np.int64) for c in names]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, hot in _whole_regions(batches, "pivot", compared):
+            pivot, node, n, at = numbers(rows, "pivot", "node", "n", "at")
+            a, b = chained(pivot, node, n, percent) if hot else meeting(pivot, node, n, at, listed, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), hot))], names=["a", "b", "sure"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, hot in _whole_regions(batches, "hub", compared):
+            hub, node, n = numbers(rows, "hub", "node", "n")
+            a, b = chained(hub, node, n, percent) if hot else neighbours(hub, node, n, Profiles(rows.column("profile").to_pylist()), listed, compared, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    spread = classes.select(F.posexplode("pivots").alias("at", "pivot"), "node", "n")
+    spread = spread.repartition("pivot").sortWithinPartitions("pivot", "n", "node")
+    # A family meets in many regions, in most of them beside the same hub: it gets its profiles once.
+    met = stage(spread.mapInArrow(meet, "a long, b long, sure boolean").distinct(), "jaccard-meeting")
+    beside = met.where("not sure").select(F.col("a").alias("hub"), F.col("b").alias("node")).join(classes.select("node", "n", "profile"), "node")
+    beside = beside.repartition("hub").sortWithinPartitions("hub", "n", "node")
     # Contracted by the same worker, so that a task has one.
-    return components(both.mapInArrow(lambda batches: contract(near(batches)), "a long, b long"), "jaccard-regions", contracted=True)
+    return beside.mapInArrow(lambda batches: contract(near(batches)), "a long, b long").union(met.where("sure").select("a", "b"))
+
+
+def _regions(classes: DataFrame, percent: int) -> DataFrame:
+    """node, root: classes that neighbours connect. ``node`` is a class's number."""
+    return components(_neighbours(classes, percent), "jaccard-regions", contracted=True)
 
 
 def _units(members: DataFrame) -> DataFrame:
@@ -343,7 +462,8 @@ def _linked(rows: DataFrame, units: DataFrame, shingle: int, percent: int) -> Da
     """a, b: a forest of each unit's links."""
     # One row's text for each class, by id and text: copies of a text under other ids are not read.
     wanted = units.select("key", "holder").distinct()
-    held = rows.select(F.col("key").alias("_key"), "doc_id", "text")
+    # Other texts, nearly all, are not shuffled.
+    held = may_be_in(rows, [F.col("key"), F.col("doc_id")], wanted, ["key", "holder"]).where("_in").select(F.col("key").alias("_key"), "doc_id", "text")
     texts = wanted.join(held, (F.col("key") == F.col("_key")) & F.col("holder").eqNullSafe(F.col("doc_id"))).groupBy("key").agg(F.first("text").alias("text"))
     with_text = units.join(texts, "key").select("region", F.col("unit.i").alias("i"), F.col("unit.j").alias("j"), "node", "text")
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -372,7 +492,8 @@ def _known(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Data
     classes = stage(grouped.withColumn("node", F.xxhash64("f1", "f2", "n")), "jaccard-classes")
     regions = stage(_regions(classes, percent), "jaccard-regions")
     members = classes.join(regions, "node").select("node", "key", "holder", "n", F.col("root").alias("region"))
-    found = stage(_linked(rows, _units(members), shingle, percent), "jaccard-links")
+    units = stage(_units(members), "jaccard-units")
+    found = stage(_linked(rows, units, shingle, percent), "jaccard-links")
     joined = components(found, "jaccard-components")
     named = classes.select("node", "least").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -10,7 +10,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from pricetide.llm import components, decontaminate, jaccard, language, lines, substring, toxicity
+from pricetide.llm import common, components, decontaminate, jaccard, language, lines, substring, toxicity
 from pricetide.llm.common import words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -304,6 +304,77 @@ def test_long_regions_are_chained(docs_of, monkeypatch, listed):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def strangers(count, own=80, common=24):
+    """Texts that share a passage of fewer words than their own: their shingles meet in regions, but none links."""
+    r = random.Random(count)
+    passage = " ".join(f"same{i}" for i in range(common))
+    return [(i, " ".join([passage, *(f"w{r.randrange(10**6)}" for _ in range(own + i % 5))])) for i in range(count)]
+
+
+@pytest.mark.parametrize("count", [40, 150])
+def test_strangers_of_a_region_are_not_joined(docs_of, monkeypatch, count):
+    """Texts that share frequent shingles only, also more than are listed, are sent to no task to be joined."""
+    monkeypatch.setattr(jaccard, "MOST_FREQUENT", 0)
+    sent = []
+    monkeypatch.setattr(jaccard, "_units", lambda members, to=jaccard._units: sent.append(members.count()) or to(members))
+    rows = [*strangers(count), (900, strangers(count)[7][1] + " end"), (901, strangers(count)[7][1] + " ends")]
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs_of(rows)).collect()}
+    assert got == {i: 7 if i > 800 else i for i, _ in rows}
+    assert sent == [3]
+
+
+@pytest.mark.parametrize("listed, compared", [(1, 8192), (3, 8192), (1, 5), (128, 20)])
+def test_regions_and_hubs_of_any_size(docs_of, monkeypatch, listed, compared):
+    """Small, long and chained regions and hubs give the components of all pairs."""
+    monkeypatch.setattr(jaccard, "MOST_LISTED", listed)
+    monkeypatch.setattr(jaccard, "MOST_COMPARED", compared, raising=False)
+    base = [r for r in corpus(8) if r[0] is None or r[0] != 900]
+    r = random.Random(6)
+    family = [(2000 + i, " ".join(w if r.random() > 0.01 else f"n{i}" for w in (f"f{k}" for k in range(60 + i % 9)))) for i in range(45)]
+    rows = [*base, *family, *strangers(12)]
+    sets = [shingles(t) for _, t in rows]
+    label = components_of(sets)
+    want = []
+    for (i, _), s, x in zip(rows, sets, label):
+        ids = [d for (d, _), y in zip(rows, label) if y == x and d is not None] if s else [i]
+        want.append((str(i), min(ids) if ids and ids[0] is not None else None))
+    got = [(str(r.doc_id), r.component_id) for r in jaccard.near_duplicates(docs_of(rows).repartition(2)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_connected_asks_what_it_must():
+    """The components of all neighbours, with few questions in a large family."""
+    r = np.random.default_rng(4)
+    for n in (1, 2, 30, 200):
+        near = r.random((n, n)) < 1.2 / n
+        near |= near.T
+        label = jaccard.connected(n, lambda i: np.flatnonzero(near[i]))
+        want = linked([(i, int(k)) for i in range(n) for k in [i, *np.flatnonzero(near[i])]])
+        assert label.tolist() == [want[i] for i in range(n)]
+    asked = []
+    assert set(jaccard.connected(500, lambda i: asked.append(i) or np.arange(500)).tolist()) == {0} and asked == [0]
+
+
+def test_only_what_may_be_in_a_table_is_told_so(spark, monkeypatch):
+    rows = spark.range(4000).select(F.when(F.col("id") != 3, F.col("id")).alias("x"), F.col("id").cast("string").alias("y"))
+    keys = rows.where("y in ('3', '40', '777')").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    for most, limit in ((common.MOST_BITS, 60), (64, 4000)):
+        monkeypatch.setattr(common, "MOST_BITS", most)
+        told = common.may_be_in(rows, [F.col("x"), F.col("y")], keys, ["a", "b"])
+        found = {r.y for r in told.where("_in").collect()}
+        assert told.columns == ["x", "y", "_in"] and told.count() == 4000 and {"3", "40", "777"} <= found and len(found) < limit
+    assert not common.may_be_in(rows, [F.col("x"), F.col("y")], keys.where("false"), ["a", "b"]).where("_in").count()
+
+
+def test_texts_that_are_not_joined_stay(docs_of, monkeypatch):
+    """Of rows without a neighbour none is told to be shuffled with the texts to be joined."""
+    rows = [*strangers(60), (900, strangers(60)[7][1] + " end")]
+    told = []
+    monkeypatch.setattr(jaccard, "may_be_in", lambda *a, to=jaccard.may_be_in: told.append(to(*a)) or told[-1])
+    jaccard.near_duplicates(docs_of(rows)).collect()
+    assert {r.doc_id for r in told[0].where("_in").collect()} >= {7, 900} and told[0].where("_in").count() <= 12
+
+
 def test_lines_beside_columns_of_any_name(docs_of):
     long = "this line has more than eight words in it, truly"
     rows = [(1, f"a\n{long}"), (2, f"b\n{long}"), (None, f"c\n{long}")]
